@@ -27,8 +27,5 @@ def pick_fields(keys: tuple[str, ...], fields: str | Column = "fields") -> Colum
     """
     arr = F.col(fields) if isinstance(fields, str) else fields
     wanted = F.filter(arr, lambda f: f["key"].isin(*keys))
-    first_of_key = [
-        F.nullif(F.get(F.filter(wanted, lambda f, k=k: f["key"] == k), F.lit(0))["val"], F.lit(""))
-        for k in keys
-    ]
+    first_of_key = [F.nullif(first_field(k, wanted), F.lit("")) for k in keys]
     return F.when(F.size(wanted) > 0, F.coalesce(*first_of_key))
