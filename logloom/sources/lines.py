@@ -23,18 +23,21 @@ def _raw() -> Column:
     return F.regexp_replace("value", r"\r\z", "")
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of text files, every file a stream; blank lines are rows too.
+def _position(block: Column) -> Column:
+    """A line's place in its file, from its split and its number in the task.
 
-    ``pos`` orders the lines of a file without a shuffle: the place of the
-    file split in KiB, then the line's number in its task. It rises along the
-    file with gaps between splits.
+    Rises along the file, with gaps between splits; needs no shuffle.
     """
-    split = F.col("_metadata.file_block_start").bitwiseAND(~1023)
     local = F.monotonically_increasing_id().bitwiseAND(_LOCAL)
-    pos = F.shiftleft(F.shiftright(split, 10), _LOCAL_BITS).bitwiseOR(local)
+    return F.shiftleft(F.shiftright(block, 10), _LOCAL_BITS).bitwiseOR(local)
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of text files, every file a stream; blank lines are rows too."""
     return _text(spark.read, path).select(
-        F.col("_metadata.file_path").alias("stream_id"), pos.alias("pos"), _raw().alias("raw")
+        F.col("_metadata.file_path").alias("stream_id"),
+        _position(F.col("_metadata.file_block_start")).alias("pos"),
+        _raw().alias("raw"),
     )
 
 
@@ -65,22 +68,21 @@ def split_long(lines: DataFrame, limit: int = MAX_LINE) -> tuple[DataFrame, Data
 
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of files as they appear in a directory: ``stream_id, raw``.
+    """Lines of files as they appear in a directory: ``stream_id, block, raw``.
 
-    A stream of files has no line numbers; use ``number_batch`` on each
-    micro-batch where order matters.
+    Lines cannot be numbered in a streaming plan; where order matters, call
+    ``number_lines`` on the micro-batches.
     """
     return _text(spark.readStream, path).select(
-        F.col("_metadata.file_path").alias("stream_id"), _raw().alias("raw")
+        F.col("_metadata.file_path").alias("stream_id"),
+        F.col("_metadata.file_block_start").alias("block"),
+        _raw().alias("raw"),
     )
 
 
-def number_batch(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Add ``pos`` to the lines of one micro-batch, after those of earlier ones."""
-    local = F.monotonically_increasing_id()
-    first = batch_id << 40
-    order = F.shiftleft(F.shiftright(local, _LOCAL_BITS), 24).bitwiseOR(local.bitwiseAND(0xFFFFFF))
-    return batch.withColumn("pos", F.lit(first) + order)
+def number_lines(batch: DataFrame) -> DataFrame:
+    """``pos`` for a micro-batch of ``stream_lines``: a file is read in one batch."""
+    return batch.select("stream_id", _position(F.col("block")).alias("pos"), "raw")
 
 
 def kafka_lines(records: DataFrame) -> DataFrame:
