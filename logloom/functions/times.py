@@ -15,6 +15,7 @@ ZERO_US = -62135596800 * 1_000_000
 
 _FRACTION = r"(?:[.,]\d+)?"
 _CLOCK = r"\d{1,2}:\d{2}:\d{2}"
+_PLAIN = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,9})?"
 _ZONED = rf"^\d{{4}}-\d{{2}}-\d{{2}}T{_CLOCK}{_FRACTION}(?:Z|[+-]\d{{2}}:\d{{2}})$"
 _ZONELESS = rf"^\d{{4}}-\d{{2}}-\d{{2}}(?:T| +){_CLOCK}{_FRACTION}$"
 _YEARLESS = rf"^\d{{4}} +{_CLOCK}{_FRACTION}$"
@@ -48,7 +49,10 @@ def parse_micros(s: Column) -> Column:
         F.lit(YEARLESS_YEAR + "-"), F.substring(s, 1, 2), F.lit("-"), F.substring(s, 3, 2)
     )
     return (
-        F.when(s.rlike(_ZONED),
+        # The two usual forms need no taking apart.
+        F.when(s.rlike(_PLAIN + "Z$"), F.unix_micros(F.try_to_timestamp(s)))
+        .when(s.rlike(_PLAIN + "$"), F.unix_micros(F.try_to_timestamp(F.concat(s, F.lit("Z")))))
+        .when(s.rlike(_ZONED),
                F.when(F.endswith(s, F.lit("Z")), _utc_micros(date, s))
                .otherwise(_utc_micros(date, s) - _offset_micros(s)))
         .when(s.rlike(_ZONELESS), _utc_micros(date, s))

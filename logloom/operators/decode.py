@@ -1,6 +1,6 @@
 """Line decoders: each turns a line into its ordered key/value pairs.
 
-A decoder is a Column of ``array<struct<key,val>>``, NULL where the line is not
+A decoder is a Column of ``array<struct<key,value>>``, NULL where the line is not
 of its format. Everything is built-in expressions, so parsing stays in the JVM.
 """
 
@@ -12,14 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logloom.functions.stage import let
 from logloom.functions.text import SPACE_CHARS, SPACE_CLASS, strip_ansi, trim_space, unescape
 from logloom.schema import UNKNOWN, parse_level
 
-PAIRS_TYPE = "array<struct<key:string,val:string>>"
+PAIRS_TYPE = "array<struct<key:string,value:string>>"
 
 
 def _pair(key: str, val: Column) -> Column:
-    return F.struct(F.lit(key).alias("key"), val.alias("val"))
+    return F.struct(F.lit(key).alias("key"), val.alias("value"))
 
 
 def _after(c: Column, needle: str) -> Column:
@@ -34,8 +35,10 @@ _END = "\\u0001"
 
 # A value that the JSON reader would rewrite: a fraction, an exponent, minus
 # zero; or an escape that may sit inside a nested value, or half a surrogate.
-_REWRITTEN_NUMBER = r'(?:"\s*+:|[\[,])\s*+-?(?:\d++[.eE]|(?<=-)0)'
-_NESTED_OR_SURROGATE = r'(?:"\s*+:|[\[,])\s*+[\[{]|\\u[dD][89a-fA-F]'
+_VALUE_START = r'(?:"\s*+:|[\[,])\s*+'
+_REWRITTEN_NUMBER = _VALUE_START + r"-?+(?:\d++[.eE]|(?<=-)0)"
+_NESTED = _VALUE_START + r"[\[{]"
+_SURROGATE = r"\\u[dD][89a-fA-F]"
 
 # Guarded text: every backslash escape, and every number, is spelled with MARK
 # and a letter, so that the JSON reader hands it back as it was written.
@@ -73,47 +76,47 @@ def _unguard_json(val: Column) -> Column:
     )
 
 
-def json_pairs(raw: Column) -> Column:
-    """Members of a line that is exactly one JSON object.
-
-    The line is read as the first element of an array whose second element is a
-    fixed end object, so anything after the object shows up as a changed array.
-    Strings are decoded, null is "", other values are their compact JSON text.
-    """
-    guarded = raw.rlike(_REWRITTEN_NUMBER) | (
+def json_needs_guard(raw: Column) -> Column:
+    """Whether the JSON reader, left alone, would not give values as written."""
+    return raw.rlike(_REWRITTEN_NUMBER) | (
         F.contains(raw, F.lit("\\"))
-        & (raw.rlike(_NESTED_OR_SURROGATE) | F.contains(raw, F.lit(_END)))
+        & (raw.rlike(_NESTED) | raw.rlike(_SURROGATE) | F.contains(raw, F.lit(_END)))
     )
+
+
+def json_parts(raw: Column, guarded: Column) -> Column:
+    """A line read as the first element of an array that ends with a fixed object.
+
+    Anything after the line's own object shows up as a changed array.
+    """
     text = F.when(guarded, _guard_json(raw)).otherwise(raw)
     doc = F.concat(F.lit("["), text, F.lit(f',{{"{_END}":""}}]'))
-    parts = F.from_json(doc, "array<map<string,string>>", _JSON_STRICT)
-    return F.struct(guarded.alias("guarded"), parts.alias("parts"))
+    return F.from_json(doc, "array<map<string,string>>", _JSON_STRICT)
 
 
-def json_members(decoded: Column) -> Column:
-    """Second half of ``json_pairs``, on its result as a column of its own."""
-    parts = decoded["parts"]
+def json_members(parts: Column, guarded: Column) -> Column:
+    """Members of a line that is exactly one JSON object.
+
+    Strings are decoded, null is NULL, other values are their compact JSON text.
+    """
     whole = (
         (F.size(parts) == 2)
         & F.get(parts, F.lit(0)).isNotNull()
-        & (F.array_join(F.map_keys(F.get(parts, F.lit(1))), "") == "\x01")
+        & F.get(parts, F.lit(1))["\x01"].isNotNull()
     )
-    guarded = decoded["guarded"]
-
-    def text(v: Column) -> Column:
-        return F.when(v.isNull(), "").when(guarded, _unguard_json(v)).otherwise(v)
-
-    def name(k: Column) -> Column:
-        return F.when(guarded, _unguard_json(k)).otherwise(k)
-
     entries = F.map_entries(F.get(parts, F.lit(0)))
-    return F.when(
-        whole,
-        F.transform(
-            entries,
-            lambda e: F.struct(name(e["key"]).alias("key"), text(e["value"]).alias("val")),
+    as_written = F.transform(
+        entries,
+        lambda e: F.struct(
+            _unguard_json(e["key"]).alias("key"), _unguard_json(e["value"]).alias("value")
         ),
     )
+    return F.when(whole, F.when(guarded, as_written).otherwise(entries))
+
+
+def json_pairs(raw: Column) -> Column:
+    guarded = json_needs_guard(raw)
+    return let(json_parts(raw, guarded), lambda parts: json_members(parts, guarded))
 
 
 # --- logfmt ----------------------------------------------------------------
@@ -134,28 +137,30 @@ def _sniff_logfmt(trimmed: Column) -> Column:
 
 
 def logfmt_pairs(raw: Column) -> Column:
-    tokens = F.regexp_extract_all(raw, F.lit(_LOGFMT_TOKEN), F.lit(0))
+    """Pairs of a logfmt line; an unterminated quote makes it none."""
 
-    def pair(t: Column) -> Column:
-        val = F.when(F.contains(t, F.lit("=")), _after(t, "=")).otherwise(F.lit(""))
+    def text(val: Column) -> Column:
         inner = F.substring(val, 2, F.length(val) - 2)
-        text = (
-            F.when(~F.startswith(val, F.lit('"')), val)
-            .when(~F.contains(val, F.lit("\\")), inner)
-            .when(inner.rlike(_VALID_ESCAPES), unescape(inner))
-            .otherwise(inner)
+        plain = F.when(~F.contains(val, F.lit("\\")), inner).when(
+            inner.rlike(_VALID_ESCAPES), unescape(inner)
+        ).otherwise(inner)
+        # NULL marks a quote that never ends.
+        return F.when(~F.startswith(val, F.lit('"')), val).when(
+            val.rlike(rf"(?s)^{_QUOTED}\z"), plain
         )
-        return F.struct(F.substring_index(t, "=", 1).alias("key"), text.alias("val"))
 
-    def unterminated(t: Column) -> Column:
-        return F.contains(t, F.lit('="')) & _after(t, "=").rlike('^"') & ~_after(t, "=").rlike(
-            rf"(?s)^{_QUOTED}\z"
+    def pair(t: Column) -> Column:
+        val = F.when(F.contains(t, F.lit("=")), _after(t, "=")).otherwise(F.lit(""))
+        return F.struct(
+            F.substring_index(t, "=", 1).alias("key"), let(val, text).alias("value")
         )
 
-    usable = (F.size(tokens) > 0) & ~(
-        F.contains(raw, F.lit('="')) & F.exists(tokens, unterminated)
-    )
-    return F.when(usable, F.transform(tokens, pair))
+    def usable(pairs: Column) -> Column:
+        broken = F.contains(raw, F.lit('="')) & F.exists(pairs, lambda p: p["value"].isNull())
+        return F.when((F.size(pairs) > 0) & ~broken, pairs)
+
+    tokens = F.regexp_extract_all(raw, F.lit(_LOGFMT_TOKEN), F.lit(0))
+    return let(F.transform(tokens, pair), usable)
 
 
 # --- glog / klog -----------------------------------------------------------
@@ -169,28 +174,31 @@ def _sniff_glog(trimmed: Column) -> Column:
 
 
 def glog_pairs(raw: Column) -> Column:
-    parts = F.split(trim_space(F.substring_index(raw, "]", 1)), SPACE_CLASS + "+")
-    head, clock, thread, caller = (F.get(parts, F.lit(i)) for i in range(4))
-    letter = F.substring(head, 1, 1)
-    level = F.when(letter == "I", _GLOG_LEVELS["I"])
-    for k in "WEF":
-        level = level.when(letter == k, _GLOG_LEVELS[k])
-    usable = (
-        F.contains(raw, F.lit("]"))
-        & (F.size(parts) >= 4)
-        & (F.octet_length(head) == 5)
-        & letter.isin(*_GLOG_LEVELS)
-    )
-    return F.when(
-        usable,
-        F.array(
-            _pair("time", F.concat_ws(" ", F.substring(head, 2, 4), clock)),
-            _pair("level", level),
-            _pair("msg", trim_space(_after(raw, "]"))),
-            _pair("thread", thread),
-            _pair("caller", caller),
-        ),
-    )
+    def of_parts(parts: Column) -> Column:
+        head, clock, thread, caller = (F.get(parts, F.lit(i)) for i in range(4))
+        letter = F.substring(head, 1, 1)
+        level = F.when(letter == "I", _GLOG_LEVELS["I"])
+        for k in "WEF":
+            level = level.when(letter == k, _GLOG_LEVELS[k])
+        usable = (
+            F.contains(raw, F.lit("]"))
+            & (F.size(parts) >= 4)
+            & (F.octet_length(head) == 5)
+            & letter.isin(*_GLOG_LEVELS)
+        )
+        return F.when(
+            usable,
+            F.array(
+                _pair("time", F.concat_ws(" ", F.substring(head, 2, 4), clock)),
+                _pair("level", level),
+                _pair("msg", trim_space(_after(raw, "]"))),
+                _pair("thread", thread),
+                _pair("caller", caller),
+            ),
+        )
+
+    header = trim_space(F.substring_index(raw, "]", 1))
+    return let(F.split(header, SPACE_CLASS + "+"), of_parts)
 
 
 # --- Python logging ----------------------------------------------------------
@@ -205,22 +213,25 @@ def pylog_pairs(raw: Column) -> Column:
     line = F.ltrim(raw, F.lit(" \t")).cast("binary")
     stamp = F.substring(line, 1, 23).cast("string")
     rest = F.substring(line, 27, 2_000_000_000).cast("string")
-    parts = F.split(rest, " - ", 3)
-    name, level, msg = (F.get(parts, F.lit(i)) for i in range(3))
-    usable = (
-        (F.substring(line, 24, 3).cast("string") == " - ")
-        & (F.size(parts) == 3)
-        & (parse_level(level) != UNKNOWN)
-    )
-    return F.when(
-        usable,
-        F.array(
-            _pair("time", F.regexp_replace(stamp, "^([^,]*),", "$1.")),
-            _pair("level", level),
-            _pair("logger", name),
-            _pair("msg", msg),
-        ),
-    )
+
+    def of_parts(parts: Column) -> Column:
+        name, level, msg = (F.get(parts, F.lit(i)) for i in range(3))
+        usable = (
+            (F.substring(line, 24, 3).cast("string") == " - ")
+            & (F.size(parts) == 3)
+            & (parse_level(level) != UNKNOWN)
+        )
+        return F.when(
+            usable,
+            F.array(
+                _pair("time", F.regexp_replace(stamp, "^([^,]*),", "$1.")),
+                _pair("level", level),
+                _pair("logger", name),
+                _pair("msg", msg),
+            ),
+        )
+
+    return let(F.split(rest, " - ", 3), of_parts)
 
 
 # --- logrus ------------------------------------------------------------------
@@ -243,28 +254,39 @@ def _sniff_logrus(trimmed: Column) -> Column:
 
 
 def logrus_pairs(raw: Column) -> Column:
-    s = F.ltrim(strip_ansi(raw), F.lit(" \t"))
-    token = F.substring_index(s, "[", 1)
-    level = F.when(token == "INFO", "info")
-    for spelled, word in _LOGRUS_LEVELS.items():
-        level = level.when(token == spelled, word)
-    stamp = F.substring_index(_after(s, "["), "]", 1)
-    rest = F.ltrim(_after(s, "]"), F.lit(" "))
-    gap = F.instr(rest, "  ")
-    tail = F.ltrim(F.substring(rest, gap, F.length(rest)), F.lit(" "))
-    tail_pairs = F.when((gap > 0) & _sniff_logfmt(tail), logfmt_pairs(tail))
-    head = F.substring(rest, F.lit(1), gap - 1)
-    msg = F.rtrim(F.when(tail_pairs.isNotNull(), head).otherwise(rest), F.lit(" "))
-    lead = (
-        F.when(stamp.rlike("[:T-]"), F.array(_pair("time", stamp)))
-        .when(stamp != "", F.array(_pair("elapsed", stamp)))
-        .otherwise(F.array().cast(PAIRS_TYPE))
-    )
-    own = F.concat(lead, F.array(_pair("level", level), _pair("msg", msg)))
-    return F.when(
-        s.rlike(r"(?s)" + _LOGRUS_LEAD + r"[^\]]*\]"),
-        F.concat(own, F.coalesce(tail_pairs, F.array().cast(PAIRS_TYPE))),
-    )
+    none = F.array().cast(PAIRS_TYPE)
+
+    def of_rest(lead: Column, rest: Column) -> Column:
+        gap = F.instr(rest, "  ")
+        tail = F.ltrim(F.substring(rest, gap, F.length(rest)), F.lit(" "))
+        tail_pairs = F.when((gap > 0) & _sniff_logfmt(tail), logfmt_pairs(tail))
+        head = F.substring(rest, F.lit(1), gap - 1)
+
+        def with_message(found: Column) -> Column:
+            msg = F.rtrim(F.when(found.isNotNull(), head).otherwise(rest), F.lit(" "))
+            return F.concat(lead, F.array(_pair("msg", msg)), F.coalesce(found, none))
+
+        return let(tail_pairs, with_message)
+
+    def of_line(s: Column) -> Column:
+        token = F.substring_index(s, "[", 1)
+        level = F.when(token == "INFO", "info")
+        for spelled, word in _LOGRUS_LEVELS.items():
+            level = level.when(token == spelled, word)
+        stamp = F.substring_index(_after(s, "["), "]", 1)
+        at = (
+            F.when(stamp.rlike("[:T-]"), F.array(_pair("time", stamp)))
+            .when(stamp != "", F.array(_pair("elapsed", stamp)))
+            .otherwise(none)
+        )
+        lead = F.concat(at, F.array(_pair("level", level)))
+        rest = F.ltrim(_after(s, "]"), F.lit(" "))
+        return F.when(
+            s.rlike(r"(?s)" + _LOGRUS_LEAD + r"[^\]]*\]"),
+            let(rest, lambda r: of_rest(lead, r)),
+        )
+
+    return let(F.ltrim(strip_ansi(raw), F.lit(" \t")), of_line)
 
 
 # --- registry ----------------------------------------------------------------

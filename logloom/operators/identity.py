@@ -36,9 +36,13 @@ SUMMARY_BYTES = 60
 
 
 def mask(text: Column, rules: tuple[tuple[str, str], ...] = MASK_RULES) -> Column:
+    masked = text
     for pattern, name in rules:
-        text = F.regexp_replace(text, pattern, name)
-    return text
+        masked = F.regexp_replace(masked, pattern, name)
+    if rules != MASK_RULES:
+        return masked
+    # Each of the standard rules needs a digit, a dash or a double colon.
+    return F.when(text.rlike("[0-9-]|::"), masked).otherwise(text)
 
 
 def record_text() -> Column:

@@ -27,6 +27,7 @@ from logloom.plans.derived import (
     document_lines,
     log_lines,
     source_inventory,
+    spread,
     table,
     trace_lines,
 )
@@ -281,7 +282,7 @@ def _part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(' msg="failed to price '), F.col("p_name"), F.lit(" "), F.col("p_type"),
         F.lit(" "), F.col("p_partkey").cast("string"), F.lit('"'),
     )
-    lines = table(spark, sf_dir, "part").select(
+    lines = spread(table(spark, sf_dir, "part")).select(
         F.concat(F.lit("line"), (F.col("p_size") % 3).cast("string")).alias("stream_id"),
         F.col("p_partkey").alias("pos"), text.alias("raw"),
     )

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, where the files hold fewer splits than there are cores.
+
+    Lines cost much more to parse than to move; large tables stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _two(c: Column, width: int = 2) -> Column:
     return F.lpad(c.cast("long").cast("string"), width, "0")
 
@@ -107,7 +116,7 @@ def log_lines(spark: SparkSession, sf_dir: str, fmt: str = "mixed") -> DataFrame
 
     "mixed" takes the six formats in turn, else every line has format ``fmt``.
     """
-    facts = event_facts(table(spark, sf_dir, "events"))
+    facts = event_facts(spread(table(spark, sf_dir, "events")))
     names = F.array(*[F.lit(f) for f in FORMATS])
     chosen = F.get(names, (F.col("pos") % 6).cast("int")) if fmt == "mixed" else F.lit(fmt)
     return facts.select("stream_id", "pos", _lines_of(chosen).alias("raw"))
@@ -116,7 +125,7 @@ def log_lines(spark: SparkSession, sf_dir: str, fmt: str = "mixed") -> DataFrame
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, the document being the stream."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .select(
             F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stream_id"),
@@ -152,7 +161,7 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
               r"\n    at Layer.handle (/srv/app/node_modules/express/lib/layer.js:95:5)"
               r'\n    at process.tick (node:internal/process/task_queues:95:5)"}'),
     )
-    parts = table(spark, sf_dir, "part").select(
+    parts = spread(table(spark, sf_dir, "part")).select(
         F.lit("parts").alias("stream_id"), F.col("p_partkey").alias("pos"), go.alias("raw")
     )
     suppliers = table(spark, sf_dir, "supplier").select(
