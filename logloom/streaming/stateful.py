@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from logloom.operators import columns as constant
-from logloom.operators import correlate as corr
+from logloom.operators.columns import MIN_SEEN
+from logloom.operators.columns import WINDOW as FIELD_WINDOW
+from logloom.operators.correlate import GROUP_SPAN_US, LINK_SPAN_US
+from logloom.operators.correlate import WINDOW as RECORD_WINDOW
 from logloom.operators.fold import IDLE_MS, MAX_HOLD_MS, OpenRuns
 from logloom.operators.identity import summarize
 from logloom.schema import WARN
@@ -114,7 +116,7 @@ class MarkStream(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         recent, ring = self.kept.load([[], []])
-        recent = deque(recent, maxlen=corr.WINDOW)
+        recent = deque(recent, maxlen=RECORD_WINDOW)
         ring = deque(ring)
         counts: dict[str, dict[str, int]] = {}
         for fields in ring:
@@ -126,12 +128,12 @@ class MarkStream(StatefulProcessor):
             here = [us, corr_key, method, row.template, row.effective >= WARN,
                     _none(row.summary), int(row.pos), _none(row.clock)]
             grouped = corr_key is not None and any(
-                e[1] == corr_key and _near(e[0], us, corr.GROUP_SPAN_US) for e in recent
+                e[1] == corr_key and _near(e[0], us, GROUP_SPAN_US) for e in recent
             )
             link = next(
                 (e for e in reversed(recent)
                  if method is not None and e[4] and e[2] == method and e[3] != row.template
-                 and _near(e[0], us, corr.LINK_SPAN_US)),
+                 and _near(e[0], us, LINK_SPAN_US)),
                 None,
             )
             recent.append([*here[:4], bool(here[4]), *here[5:]])
@@ -140,11 +142,11 @@ class MarkStream(StatefulProcessor):
             if fields:
                 ring.append(fields)
                 _count(counts, fields, 1)
-                if len(ring) > constant.WINDOW:
+                if len(ring) > FIELD_WINDOW:
                     _count(counts, ring.popleft(), -1)
                 flags = [
                     i for i, (k, _) in enumerate(fields)
-                    if len(counts[k]) == 1 and sum(counts[k].values()) >= constant.MIN_SEEN
+                    if len(counts[k]) == 1 and sum(counts[k].values()) >= MIN_SEEN
                 ]
             out.append((
                 key[0], here[6], corr_key if grouped else None,
