@@ -18,7 +18,9 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
     kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(row)))
+    # The values are made in a projection, which compiles them; the generator
+    # above it, which only unpacks them, is what filters do not pass.
+    return df.select(*kept, row.alias("_row")).select(*kept, F.inline(F.array("_row")))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

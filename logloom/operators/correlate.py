@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from logloom.operators.identity import corr_tag, summarize
 from logloom.operators.ordinals import CHUNK, SLICE, in_reach, with_chunks, with_ordinal
 from logloom.schema import WARN
+from logloom.sources.materialize import materialize
 
 # Records remembered, and the two time spans in microseconds.
 WINDOW = 512
@@ -25,8 +26,13 @@ NARROW = ("stream_id", "pos", "ts", "clock", "effective", "text", "template", "c
 
 
 def remembered(df: DataFrame, size: int = SLICE) -> DataFrame:
-    """The parsed records with ``pn``, their ordinal, and ``us``, their time."""
-    narrow = df.filter("parsed").select(*NARROW)
+    """The parsed records with ``pn``, their ordinal, and ``us``, their time.
+
+    Only elevated ones keep their text: others are never pointed at.
+    """
+    narrow = df.filter("parsed").select(*NARROW).withColumn(
+        "text", F.when(F.col("effective") >= WARN, F.col("text"))
+    )
     return with_ordinal(narrow, "pn", size=size).withColumn("us", F.unix_micros("ts"))
 
 
@@ -171,7 +177,7 @@ def correlate(df: DataFrame, chunk: int = CHUNK, size: int = SLICE) -> DataFrame
     Only narrow columns travel through the windows; the records themselves are
     shuffled once, to take up what was found.
     """
-    records = remembered(df, size)
+    records = materialize(remembered(df, size))
     groups = corr_groups(records, chunk=chunk).select(
         "stream_id", "pos", corr_tag(F.col("corr_key")).alias("corr")
     )

@@ -215,8 +215,11 @@ def fold_runs(
     parts = None
     rounds = 0
     while True:
+        asked_for = rows if parts is None else rows.join(
+            starts.select("stream_id", "chunk").distinct(), ["stream_id", "chunk"], "left_semi"
+        )
         got = materialize(
-            rows.select("stream_id", "chunk", "q", "pos", "template")
+            asked_for.select("stream_id", "chunk", "q", "pos", "template")
             .groupBy("stream_id", "chunk")
             .cogroup(starts.groupBy("stream_id", "chunk"))
             .applyInPandas(_fold_parts, _PART_SCHEMA)

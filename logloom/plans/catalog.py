@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import frames, render, summary
 from logloom.operators.columns import constant_fields
-from logloom.operators.correlate import corr_groups, related_events, remembered
+from logloom.operators.correlate import NARROW, corr_groups, related_events, remembered
 from logloom.operators.fold import fold_islands, fold_runs, fold_session
 from logloom.operators.identity import corr_tag, identify, mask
 from logloom.operators.normalize import normalize
@@ -394,7 +394,7 @@ FROM (
       AND b.pn < a.pn AND b.pn >= a.pn - 512 AND abs(a.ts_us - b.ts_us) <= 60000000))""",
        name="corr_groups")
 def corr_groups_query(spark, sf_dir):
-    records = materialize(remembered(_mixed(spark, sf_dir)))
+    records = remembered(materialize(_mixed(spark, sf_dir).select("parsed", *NARROW)))
     return corr_groups(records).withColumn("corr", corr_tag(F.col("corr_key")))
 
 
@@ -407,7 +407,7 @@ FROM par a JOIN par b ON b.stream_id = a.stream_id AND b.rpc = a.rpc AND b.eff >
   AND abs(a.ts_us - b.ts_us) <= 5000000
 GROUP BY a.stream_id, a.pos""", name="related_events")
 def related_events_query(spark, sf_dir):
-    records = materialize(remembered(_mixed(spark, sf_dir)))
+    records = remembered(materialize(_mixed(spark, sf_dir).select("parsed", *NARROW)))
     return related_events(records).select(
         "stream_id", "pos", F.col("related.pos").alias("related_pos"),
         F.col("related.clock").alias("related_clock"), "related.summary",
@@ -470,7 +470,8 @@ def fold_session_query(spark, sf_dir):
 def fold_runs_query(spark, sf_dir):
     """The exact stream fold has no plain SQL form; tests compare it with a loop."""
     records = enrich(log_lines(spark, sf_dir, "json"))
-    return fold_runs(records).withColumn("template", _plain("template"))
+    narrow = materialize(records.select("stream_id", "pos", "parsed", "template"))
+    return fold_runs(narrow).withColumn("template", _plain("template"))
 
 
 # --- stacks -------------------------------------------------------------------------------
