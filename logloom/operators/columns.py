@@ -64,10 +64,16 @@ def constant_fields(
     return judged.select("stream_id", "pos", "i")
 
 
-def demote_constant_fields(df: DataFrame, **kw) -> DataFrame:
-    """Set ``demoted`` on the fields that ``constant_fields`` finds."""
+def demote_constant_fields(
+    df: DataFrame, source: DataFrame | None = None, **kw
+) -> DataFrame:
+    """Set ``demoted`` on the fields that ``constant_fields`` finds.
+
+    ``source`` gives the same records where ``df`` already has joins on top,
+    which would be run again to read the fields.
+    """
     marks = (
-        constant_fields(df, **kw)
+        constant_fields(df if source is None else source, **kw)
         .groupBy("stream_id", "pos")
         .agg(F.collect_list("i").alias("_constant"))
     )

@@ -33,7 +33,8 @@ from logloom.plans.derived import (
 )
 from logloom.plans.pipeline import Options, enrich, run
 from logloom.schema import level_label
-from logloom.sources.materialize import materialize
+from logloom.sources.materialize import materialize, new_folder
+from logloom.sources.sinks import write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -595,3 +596,18 @@ def format_stack_lines(spark, sf_dir):
 def pipeline_lines(spark, sf_dir):
     """Everything at once, as text; its parts are checked by the queries above."""
     return render.format_lines(run(log_lines(spark, sf_dir)))
+
+
+@query(_normalized_sql("pos % 6"))
+def stream_normalize(spark, sf_dir):
+    """The lines as a stream of files, decoded on the way and appended to a table."""
+    written = f"{new_folder(spark)}/lines"
+    lines = log_lines(spark, sf_dir)
+    lines.write.parquet(written)
+    source = spark.readStream.schema(lines.schema).parquet(written)
+    out = new_folder(spark)
+    stream = write_stream(
+        _normalized(source), f"{out}/rows", f"{out}/progress", available_now=True
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")

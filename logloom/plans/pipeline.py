@@ -59,7 +59,7 @@ def run(lines: DataFrame, options: Options = Options()) -> DataFrame:
     if options.correlate:
         out = correlate(out)
     if options.columns:
-        out = demote_constant_fields(out)
+        out = demote_constant_fields(out, source=records)
     if options.folding == "runs":
         out = fold(out, fold_runs(records))
     elif options.folding == "islands":

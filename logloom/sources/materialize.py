@@ -26,6 +26,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own for each use; the scratch folder's owner cleans up."""
+    return f"{scratch_folder(spark)}/logloom/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The same rows read back from a written table.
 
@@ -33,6 +38,6 @@ def materialize(df: DataFrame) -> DataFrame:
     columns they need; like it, lineage ends here and lost executors cost a
     re-read instead of a recomputation.
     """
-    path = f"{scratch_folder(df.sparkSession)}/logloom/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
