@@ -136,3 +136,9 @@ def test_fold_keeps_heads_and_plain_lines(spark):
     df = _frame(spark, rows)
     got = fold(df, fold_islands(df)).select("pos", "repeat").orderBy("pos").collect()
     assert [tuple(r) for r in got] == [(0, 2), (2, 0), (3, 1)]
+
+
+def test_steady_interleaving_settles_in_few_rounds(spark):
+    rows = [("s", i, "ba"[i % 2]) for i in range(1_001)]
+    got = fold_runs(_frame(spark, rows), chunk=50, size=64, max_rounds=4).collect()
+    assert sorted(tuple(r) for r in got) == [("s", 0, 501, "b"), ("s", 1, 500, "a")]

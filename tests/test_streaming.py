@@ -10,7 +10,7 @@ from logloom.operators.fold import fold_session
 from logloom.plans.derived import log_lines
 from logloom.plans.pipeline import enrich
 from logloom.sources.sinks import write_stream
-from logloom.streaming.live import late_rows, live_counts, live_sessions, timed
+from logloom.streaming.live import late_rows, live_counts, live_sessions, live_templates, timed
 from logloom.streaming.stateful import fold_stream, mark_stream
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,11 @@ def test_fold_on_a_timer(spark, tmp_path):
             got = set()
     query.stop()
     assert got == want
+
+
+def test_templates_per_window(spark):
+    records = enrich(log_lines(spark, SF, "json")).withColumn("at", F.col("ts"))
+    got = live_templates(records, "1 minute")
+    want = records.filter("effective >= 3")
+    assert got.agg(F.sum("n")).first()[0] == want.count() > 0
+    assert got.select("start", "stream_id", "template").distinct().count() == got.count()
