@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, quality
 from .common import table
-from .mixing import mix
 
-QUERIES = {}
-ORACLES: dict[str, str] = {}
+
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select(
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
 
-QUERIES["op9_mixing"] = op9_mixing
+QUERIES = {
+    "op7_quality_cascade": op7_quality_cascade,
+    "op9_mixing": op9_mixing,
+}
+ORACLES = {
+    "op7_quality_cascade": quality.SQL,
+}
