@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality
-from .common import table
+from . import mixing, pii, quality
+from .common import materialize, table
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,20 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Narrow: the candidates are found once, for fitting and for selecting.
+    found = materialize(pii.candidates(docs).drop("text"))
+    out = pii.selected(found, pii.fit(found))
+    count = lambda k: F.size(F.filter("base", lambda b: b["k"] == k)).cast("long")
+    return out.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)],
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -21,6 +36,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op7_quality_cascade": op7_quality_cascade,
+    "op8_pii_boosting": op8_pii_boosting,
     "op9_mixing": op9_mixing,
 }
 ORACLES = {
