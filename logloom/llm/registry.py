@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality
-from .common import materialize, table
+from . import mixing, pii, quality, toxicity
+from .common import fold, materialize, table
+
+
+def op1_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scores(docs, table(spark, sf_dir, "labels"), narrow=True)
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +41,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity_kneser_ney": op1_toxicity_kneser_ney,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_pii_boosting": op8_pii_boosting,
     "op9_mixing": op9_mixing,
