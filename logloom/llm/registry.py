@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, toxicity
+from . import mixing, packing, pii, quality, toxicity
 from .common import fold, materialize, table
 
 
@@ -40,11 +40,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary; only queries name it, operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_toxicity_kneser_ney": op1_toxicity_kneser_ney,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_pii_boosting": op8_pii_boosting,
     "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
 ORACLES = {
     "op7_quality_cascade": quality.SQL,
