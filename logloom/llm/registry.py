@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, toxicity
+from . import jaccard, mixing, packing, pii, quality, toxicity
 from .common import fold, materialize, table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
@@ -53,11 +57,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity_kneser_ney": op1_toxicity_kneser_ney,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_pii_boosting": op8_pii_boosting,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
 ORACLES = {
+    "op4_ngram_jaccard": jaccard.SQL,
     "op7_quality_cascade": quality.SQL,
 }
