@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, pii, quality, toxicity
+from . import jaccard, language, mixing, packing, pii, quality, toxicity
 from .common import fold, materialize, table
 
 
@@ -19,6 +19,13 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op5_language_words_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    out = language.identified(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
@@ -58,6 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity_kneser_ney": op1_toxicity_kneser_ney,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_language_words_first": op5_language_words_first,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_pii_boosting": op8_pii_boosting,
     "op9_mixing": op9_mixing,
