@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, packing, pii, quality, toxicity
+from . import jaccard, language, licenses, mixing, packing, pii, quality, toxicity
 from .common import fold, materialize, table
 
 
@@ -26,6 +26,20 @@ def op5_language_words_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("matches", lambda m: m["base"] == 1)
+    starts = F.transform(base, lambda m: m["start"])
+    names = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
+    # A notice or licence text of the method's own is surer than a mere phrase.
+    score = F.when(F.exists("matches", lambda m: m["base"] == 0), 1.0).when(F.size(base) > 0, 0.5).otherwise(0.0)
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"), names(F.col("matches")).alias("labels"), score.alias("score"),
+    )
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
@@ -66,6 +80,7 @@ QUERIES = {
     "op1_toxicity_kneser_ney": op1_toxicity_kneser_ney,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_language_words_first": op5_language_words_first,
+    "op6_license_templates": op6_license_templates,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_pii_boosting": op8_pii_boosting,
     "op9_mixing": op9_mixing,
@@ -73,5 +88,6 @@ QUERIES = {
 }
 ORACLES = {
     "op4_ngram_jaccard": jaccard.SQL,
+    "op6_license_templates": licenses.SQL,
     "op7_quality_cascade": quality.SQL,
 }
