@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, licenses, mixing, packing, pii, quality, toxicity
+from . import jaccard, language, licenses, mixing, packing, pii, quality, toxicity, warc
+from logloom.sources.materialize import new_folder
+
 from .common import fold, materialize, table
 
 
@@ -15,6 +17,37 @@ def op1_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{new_folder(spark)}/warc"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.payloads(warc.read(spark, path))
+    # Digest and length are taken where the payload is read; it moves no further.
+    narrow = found.select(
+        "type", "record_id", "concurrent_to", "refers_to", "digest",
+        F.octet_length("payload").cast("long").alias("bytes"),
+        F.when(F.col("type") == "response", warc.base32_sha1(F.col("payload"))).alias("actual"),
+        F.when(F.col("type") == "metadata", warc.page_id(F.col("block"))).alias("page_id"),
+    )
+    whole = materialize(warc.assembled(narrow).select(
+        "capture_id", "response", F.col("metadata.page_id").alias("page_id")))
+    # Responses that are revisited, spread like the revisits that look for them.
+    salt = F.pmod(F.xxhash64("capture_id"), F.lit(warc.SALTS))
+    revisits = whole.where("response.type = 'revisit'").withColumn("salt", salt)
+    wanted = revisits.select(F.col("response.refers_to").alias("capture_id")).distinct()
+    firsts = whole.join(wanted, "capture_id", "left_semi").select(
+        F.col("capture_id").alias("_first"), F.col("page_id").alias("refers_to"),
+        F.col("response.bytes").alias("_bytes"), F.col("response.actual").alias("_actual"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(warc.SALTS - 1).cast("long"))).alias("salt"))
+    known = revisits.join(
+        firsts, (F.col("response.refers_to") == F.col("_first")) & (revisits["salt"] == firsts["salt"]), "left"
+    ).select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"),
+             F.lit("revisit").alias("record_type"), "refers_to")
+    own = whole.where("response.type = 'response'").select(
+        "page_id", F.col("response.bytes").alias("payload_bytes"), F.col("response.actual").alias("payload_digest"),
+        F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return own.unionByName(known)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
@@ -78,6 +111,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity_kneser_ney": op1_toxicity_kneser_ney,
+    "op2_warc_assembly": op2_warc_assembly,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_language_words_first": op5_language_words_first,
     "op6_license_templates": op6_license_templates,
@@ -87,6 +121,7 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 ORACLES = {
+    "op2_warc_assembly": warc.SQL,
     "op4_ngram_jaccard": jaccard.SQL,
     "op6_license_templates": licenses.SQL,
     "op7_quality_cascade": quality.SQL,
