@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, licenses, mixing, packing, pii, quality, toxicity, warc
+from . import jaccard, language, licenses, mixing, packing, pii, quality, topk, toxicity, warc
 from logloom.sources.materialize import new_folder
 
 from .common import fold, materialize, table
@@ -48,6 +48,10 @@ def op2_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(known)
 
 
+def op3_topk_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
@@ -112,6 +116,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity_kneser_ney": op1_toxicity_kneser_ney,
     "op2_warc_assembly": op2_warc_assembly,
+    "op3_topk_tiles": op3_topk_tiles,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_language_words_first": op5_language_words_first,
     "op6_license_templates": op6_license_templates,
@@ -122,6 +127,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_warc_assembly": warc.SQL,
+    "op3_topk_tiles": topk.SQL,
     "op4_ngram_jaccard": jaccard.SQL,
     "op6_license_templates": licenses.SQL,
     "op7_quality_cascade": quality.SQL,
