@@ -33,6 +33,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary; queries name it, operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with ``columns`` at its end, in place of any of the same name."""
     clash = {c.lower() for c in columns}
@@ -40,4 +47,4 @@ def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in columns.items()])
 
 
-__all__ = ["FOLDS", "SPACE", "WORD", "fold", "materialize", "replaced", "table", "word_count", "words"]
+__all__ = ["FOLDS", "SPACE", "WORD", "fold", "materialize", "replaced", "table", "tokenizer_path", "word_count", "words"]

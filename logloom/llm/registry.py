@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, language, licenses, mixing, packing, pii, quality, topk, toxicity, warc
+import corpus_pipeline
 from logloom.sources.materialize import new_folder
 
-from .common import fold, materialize, table
+from .common import fold, materialize, table, tokenizer_path
 
 
 def op1_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +103,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokenizer_path() -> str:
-    """The public vocabulary; only queries name it, operators take a path."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -124,6 +118,7 @@ QUERIES = {
     "op8_pii_boosting": op8_pii_boosting,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_warc_assembly": warc.SQL,
