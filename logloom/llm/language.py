@@ -96,39 +96,53 @@ class Model:
     grams: dict[str, int]
     gram_logs: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words by the longest order of which an n-gram is known."""
+        out = np.zeros((len(words), len(self.langs)))
+        rest, get = list(enumerate(words)), self.grams.get
         for order in ORDERS:
-            rows = [self.grams[g] for g in grams(word, order) if g in self.grams]
+            rows, owners, starts, left = [], [], [], []
+            for at, word in rest:
+                known = [r for g in grams(word, order) if (r := get(g)) is not None]
+                if known:
+                    owners.append(at)
+                    starts.append(len(rows))
+                    rows += known
+                else:
+                    left.append((at, word))
             if rows:
-                return self.gram_logs[rows].mean(axis=0)
-        return np.zeros(len(self.langs))
+                sums = np.add.reduceat(self.gram_logs[rows], starts, axis=0)
+                out[owners] = sums / np.diff([*starts, len(rows)])[:, None]
+            rest = left
+        return out
 
 
-class Scorer(dict):
-    """Row of a word in the table of scores, made when a word is first met."""
+class Scorer:
+    """Scores texts; the rows of words met before are kept, up to a limit."""
 
     limit = 300_000
 
     def __init__(self, model: Model):
-        super().__init__(model.words)
-        self.model, self.table = model, np.vstack([model.word_logs, np.zeros((4096, len(model.langs)))])
-        self.used = len(model.words)
-
-    def __missing__(self, word: str) -> int:
-        if self.used == len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        at, self.used = self.used, self.used + 1
-        self.table[at] = self.model.unseen(word)
-        self[word] = at
-        return at
-
-    def best(self, text: str | None) -> tuple[str, float]:
-        found = WORDS.findall(text.lower()) if text else []
-        if not self.model.langs or not any(any(map(str.isalpha, w)) for w in found):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows, self.table = dict(self.model.words), self.model.word_logs
+
+    def best(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        if len(self.rows) - len(self.model.words) > self.limit:
+            self._forget()
+        new = list({w for words in found for w in words if w not in self.rows})
+        if new:
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.table = np.concatenate([self.table, self.model.unseen(new)])
+        return [self._one(words) for words in found]
+
+    def _one(self, words: list[str]) -> tuple[str, float]:
+        if not self.model.langs or not any(any(map(str.isalpha, w)) for w in words):
             return UNKNOWN, 0.0
-        if self.used - len(self.model.words) > self.limit:
-            self.__init__(self.model)
-        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         sums = self.table[at].sum(axis=0)
         i = int(sums.argmax())
         return self.model.langs[i], float(1 / np.exp(np.maximum(sums - sums[i], -700)).sum())
@@ -187,7 +201,8 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            best = [scorer.best(t) for t in b.column(at).to_pylist()]
+            texts = b.column(at).to_pylist()
+            best = [x for i in range(0, len(texts), 2000) for x in scorer.best(texts[i:i + 2000])]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x for x, _ in best], pa.string()), pa.array([s for _, s in best], pa.float64())],
                 [*b.schema.names, "lang_pred", "score"])
