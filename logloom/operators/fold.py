@@ -24,6 +24,8 @@ MAX_OPEN_RUNS = 8
 # How long a paused and a busy run may be held back.
 IDLE = "750 milliseconds"
 IDLE_MS = 750
+#: Idle times in a time slice of the batch form of ``fold_session``.
+SESSION_SLICES = 1024
 MAX_HOLD_MS = 3_000
 
 RUN_COLUMNS = ("stream_id", "head_pos", "last_pos", "repeat", "template")
@@ -89,23 +91,61 @@ def fold_islands(
     return inner.select(*RUN_COLUMNS).unionByName(linked.select(*RUN_COLUMNS))
 
 
-def fold_session(df: DataFrame, idle: str = IDLE) -> DataFrame:
-    """Runs by event time: a template's run ends after ``idle`` without a record.
-
-    Also runs on a watermarked stream. Records without a time are left out.
-    """
-    timed = df.filter(F.col("parsed") & F.col("ts").isNotNull())
+def _sessions(timed: DataFrame, idle: str, *keys: str) -> DataFrame:
     return (
-        timed.groupBy("stream_id", "template", F.session_window("ts", idle).alias("_w"))
+        timed.groupBy("stream_id", "template", *keys, F.session_window("ts", idle).alias("_w"))
         .agg(
             F.min("pos").alias("head_pos"), F.max("pos").alias("last_pos"),
             F.count(F.lit(1)).alias("repeat"),
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         )
-        .select(*RUN_COLUMNS, "first_ts", "last_ts")
     )
 
 
+def fold_session(df: DataFrame, idle: str = IDLE, slices: int = SESSION_SLICES) -> DataFrame:
+    """Runs by event time: a template's run ends after ``idle`` without a record.
+
+    Also runs on a watermarked stream. Records without a time are left out. In
+    batch, time is cut into slices of ``slices`` times the idle time, so that a
+    template that most of a stream consists of is spread over many tasks; runs
+    that reach the edge of their slice are joined across it afterwards.
+    """
+    timed = df.filter(F.col("parsed") & F.col("ts").isNotNull())
+    columns = [*RUN_COLUMNS, "first_ts", "last_ts"]
+    if df.isStreaming:
+        return _sessions(timed, idle).select(*columns)
+    gap = _micros(idle)
+    width = gap * slices
+    us = F.unix_micros("ts")
+    parts = _sessions(timed.withColumn("_slice", F.floor(us / width)), idle, "_slice")
+    # A run can go on beyond its slice only from within ``idle`` of the edge.
+    first, last = F.unix_micros("first_ts"), F.unix_micros("last_ts")
+    edged = parts.withColumn(
+        "_edge", (first - F.col("_slice") * width <= gap) | ((F.col("_slice") + 1) * width - last <= gap))
+    chain = Window.partitionBy("stream_id", "template").orderBy("first_ts", "head_pos")
+    before = F.lag(last).over(chain)
+    joined = (
+        edged.filter("_edge")
+        .withColumn("_new", F.when(first - before <= gap, 0).otherwise(1))
+        .withColumn("_run", F.sum("_new").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("stream_id", "template", "_run")
+        .agg(
+            F.min("head_pos").alias("head_pos"), F.max("last_pos").alias("last_pos"),
+            F.sum("repeat").alias("repeat"), F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+        )
+    )
+    return edged.filter("not _edge").select(*columns).unionByName(joined.select(*columns))
+
+
+def _micros(span: str) -> int:
+    """Microseconds of a span such as ``750 milliseconds``."""
+    number, unit = span.split()
+    scale = {"microsecond": 1, "millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6,
+             "hour": 3600 * 10**6, "day": 86400 * 10**6}
+    return int(float(number) * scale[unit.rstrip("s")])
+
+
 # --- the stream fold -----------------------------------------------------------
 
 

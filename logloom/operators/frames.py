@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.stage import let
 from logloom.operators.stack import PROJECT
 
 _BLOCK = "struct<project:boolean,start:int,n:int,packages:array<string>,frame:{frame}>"
@@ -26,30 +27,30 @@ def stack_blocks(frames: Column, expand: bool = False) -> Column:
 
     Works inside the row, so no frame is ever shuffled.
     """
-    block = _BLOCK.format(frame=_FRAME)
-    indexed = F.transform(frames, lambda f, i: F.struct(f.alias("f"), i.alias("i")))
-
-    def add(acc: Column, x: Column) -> Column:
-        f = x["f"]
-        last = F.try_element_at(acc, F.lit(-1))
-        package = F.filter(F.array(top_package(f["func"])), lambda p: p != "")
-        shown = F.lit(True) if expand else f["kind"] == PROJECT
-        alone = F.struct(
-            shown.alias("project"), x["i"].alias("start"), F.lit(1).alias("n"),
-            package.alias("packages"), f.alias("frame"),
-        ).cast(block)
-        grown = F.struct(
-            F.lit(False).alias("project"), last["start"].alias("start"),
-            (last["n"] + 1).alias("n"),
-            F.array_union(last["packages"], package).alias("packages"),
-            last["frame"].alias("frame"),
-        ).cast(block)
-        joins = ~shown & last.isNotNull() & ~F.coalesce(last["project"], F.lit(True))
-        return F.when(
-            joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))
-        ).otherwise(F.concat(acc, F.array(alone)))
-
-    return F.aggregate(indexed, F.array().cast(f"array<{block}>"), add)
+    def shown(f: Column) -> Column:
+        return F.lit(True) if expand else f["kind"] == PROJECT
+
+    def begins(f: Column, i: Column) -> Column:
+        before = F.get(frames, i - 1)
+        return F.when((i == 0) | shown(f) | F.coalesce(shown(before), F.lit(False)), i)
+
+    def blocks(starts: Column) -> Column:
+        def block(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(frames))
+            first = F.get(frames, start)
+            run = F.transform(F.slice(frames, start + 1, end - start), lambda f: top_package(f["func"]))
+            # One more than is shown tells that there are more.
+            packages = F.slice(
+                F.array_distinct(F.filter(run, lambda p: p != "")), 1, PACKAGES_SHOWN + 1)
+            return F.struct(
+                shown(first).alias("project"), start.alias("start"), (end - start).alias("n"),
+                packages.alias("packages"), first.alias("frame"))
+
+        return F.transform(starts, block)
+
+    # Where blocks begin follows from neighbours, so the work is linear in the frames.
+    found = let(F.array_compact(F.transform(frames, begins)), blocks)
+    return found.cast(f"array<{_BLOCK.format(frame=_FRAME)}>")
 
 
 def packages_note(packages: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.stage import computed
+from logloom.functions.stage import computed, let
 from logloom.functions.text import SPACE_CLASS, non_empty, trim_space
 from logloom.schema import STACK_TYPE
 
@@ -31,6 +31,7 @@ def _int(c: Column) -> Column:
 
 # --- Go ----------------------------------------------------------------------
 
+# Fixed value: the line that heads a goroutine's trace.
 _GO_HEADER = r"(?md)^goroutine \d+ \[[^\]]*\]:$"
 
 
@@ -51,20 +52,20 @@ def classify_go(func: Column, file: Column, module: str) -> Column:
 
 def _go_frames(s: Column, module: str) -> Column:
     """A frame is an unindented line followed by a tab-indented location."""
-    before = _go_before(s)
-    lines = F.split(F.substring(s, F.length(before) + 1, F.length(s)), "\n")
-    steps = F.transform(
-        lines,
-        lambda l, i: F.struct(
-            l.alias("call"), F.get(lines, i + 1).alias("at"), i.alias("i")
-        ),
-    )
-    calls = F.filter(
-        steps,
-        lambda x: (x["i"] > 0) & (x["call"] != "")
-        & ~F.startswith(x["call"], F.lit("\t"))
-        & F.coalesce(F.startswith(x["at"], F.lit("\t")), F.lit(False)),
-    )
+
+    def calls(lines: Column) -> Column:
+        steps = F.transform(
+            lines,
+            lambda l, i: F.struct(
+                l.alias("call"), F.get(lines, i + 1).alias("at"), i.alias("i")
+            ),
+        )
+        return F.filter(
+            steps,
+            lambda x: (x["i"] > 0) & (x["call"] != "")
+            & ~F.startswith(x["call"], F.lit("\t"))
+            & F.coalesce(F.startswith(x["at"], F.lit("\t")), F.lit(False)),
+        )
 
     def frame(x: Column) -> Column:
         call = F.regexp_replace(x["call"], "^created by ", "")
@@ -77,11 +78,14 @@ def _go_frames(s: Column, module: str) -> Column:
             func, file, F.coalesce(line, F.lit(0)), F.lit(0), classify_go(func, file, module)
         )
 
-    return F.transform(calls, frame)
+    # Bound once: inside the lambdas they would be made again for every line.
+    after = let(_go_before(s), lambda before: F.substring(s, F.length(before) + 1, F.length(s)))
+    return F.transform(let(F.split(after, "\n"), calls), frame)
 
 
 # --- Node / Bun ----------------------------------------------------------------
 
+# Fixed value: a frame's line.
 _NODE_FRAME = r"(?d)^[\t\n\f\r ]+at (?:(.+) \()?(.+):(\d+):(\d+)\)?$"
 
 
@@ -96,21 +100,29 @@ def classify_node(file: Column) -> Column:
 
 def _node_is_frame(line: Column) -> Column:
     file = F.regexp_extract(line, _NODE_FRAME, 2)
-    return line.rlike(_NODE_FRAME) & (file.rlike("[./]") | F.startswith(file, F.lit("node:")))
+    path = file.rlike("[./]") | F.startswith(file, F.lit("node:"))
+    # The plain test spares most lines the search.
+    return F.contains(line, F.lit("at ")) & line.rlike(_NODE_FRAME) & path
 
 
 def _node_frames(s: Column, module: str) -> Column:
-    def frame(line: Column) -> Column:
-        file = F.regexp_extract(line, _NODE_FRAME, 2)
-        func = non_empty(trim_space(F.regexp_extract(line, _NODE_FRAME, 1)))
+    def frame(part: Column) -> Column:
+        func = non_empty(trim_space(F.get(part, F.lit(0))))
+        file = F.get(part, F.lit(1))
         return _frame(
             F.coalesce(func, F.lit("<anonymous>")), file,
-            _int(F.regexp_extract(line, _NODE_FRAME, 3)),
-            _int(F.regexp_extract(line, _NODE_FRAME, 4)),
-            classify_node(file),
+            _int(F.get(part, F.lit(2))), _int(F.get(part, F.lit(3))), classify_node(file),
         )
 
-    return F.transform(F.filter(F.split(s, "\n"), _node_is_frame), frame)
+    def groups(line: Column) -> Column:
+        """All groups by one search; a line with the separator in it takes four."""
+        joined = F.regexp_replace(line, _NODE_FRAME, "$1\x00$2\x00$3\x00$4")
+        each = F.array(*[F.regexp_extract(line, _NODE_FRAME, i) for i in (1, 2, 3, 4)])
+        return F.when(F.contains(line, F.lit("\x00")), each).otherwise(F.split(joined, "\x00"))
+
+    return F.transform(
+        F.filter(F.split(s, "\n"), _node_is_frame), lambda line: let(groups(line), frame)
+    )
 
 
 def _node_header(s: Column) -> Column:

@@ -7,28 +7,52 @@ from pyspark.sql import functions as F
 
 from logloom.operators.render import report_text
 from logloom.schema import DEBUG, ERROR, INFO, UNKNOWN, WARN
+from logloom.sources.materialize import materialize
 
 # Templates tracked per stream, and lines shown per level.
 TRACKED = 64
 SHOWN = 8
 
 
-def summary_counts(df: DataFrame) -> DataFrame:
-    """One row per stream: tallies by effective level and the time span.
+def tallies(df: DataFrame) -> DataFrame:
+    """One row per stream, level and, for warnings and errors, template.
 
-    The span runs from the first to the last record that has a time, in stream
-    order. Clocks travel as seconds of the day, which keeps the aggregation in
-    hashed fixed-width buffers.
+    All parts of the summary follow from it, so lines are decoded once. Clocks
+    travel as seconds of the day. ``first_at`` and ``last_at`` are the positions
+    of the first and last record with a time.
     """
-    parsed, level = F.col("parsed"), F.col("effective")
-    timed = parsed & F.col("ts").isNotNull()
+    parsed = F.col("parsed")
     clock = F.split("clock", ":")
     second = (
         F.get(clock, F.lit(0)).cast("int") * 3600
         + F.get(clock, F.lit(1)).cast("int") * 60
         + F.get(clock, F.lit(2)).cast("int")
     )
-    at = F.when(timed, F.col("pos"))
+    at = F.when(parsed & F.col("ts").isNotNull(), F.col("pos"))
+    failed = parsed & (F.col("effective") >= WARN)
+    columns = set(df.columns)
+    own = {c: F.when(failed, F.col(c)) if c in columns else F.lit(None).cast("string")
+           for c in ("template", "text")}
+    return (
+        df.select("stream_id", "parsed", "effective", "ts", "pos", at.alias("_at"), second.alias("_s"),
+                  own["template"].alias("template"), own["text"].alias("text"))
+        .groupBy("stream_id", "parsed", "effective", "template")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"),
+            F.min_by("text", "pos").alias("text"),
+            F.min("_at").alias("first_at"), F.max("_at").alias("last_at"),
+            F.min_by("ts", "_at").alias("first_ts"), F.max_by("ts", "_at").alias("last_ts"),
+            F.min_by("_s", "_at").alias("first_s"), F.max_by("_s", "_at").alias("last_s"),
+        )
+    )
+
+
+def _counts(found: DataFrame) -> DataFrame:
+    """Tallies by severity, and the span, of each stream."""
+    parsed, level = F.col("parsed"), F.col("effective")
+
+    def total(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
 
     def two(c: Column) -> Column:
         return F.lpad(c.cast("int").cast("string"), 2, "0")
@@ -39,18 +63,17 @@ def summary_counts(df: DataFrame) -> DataFrame:
         return F.when(c.isNotNull(), text)
 
     return (
-        df.select("stream_id", "parsed", "effective", "ts", at.alias("_at"), second.alias("_s"))
-        .groupBy("stream_id")
+        found.groupBy("stream_id")
         .agg(
-            F.count_if(parsed & (level == ERROR)).alias("errors"),
-            F.count_if(parsed & (level == WARN)).alias("warns"),
-            F.count_if(parsed & level.isin(INFO, DEBUG)).alias("infos"),
-            F.count_if(parsed & (level == UNKNOWN)).alias("unknown"),
-            F.count_if(~parsed).alias("passthrough"),
-            F.min_by("ts", "_at").alias("first_ts"),
-            F.max_by("ts", "_at").alias("last_ts"),
-            F.min_by("_s", "_at").alias("_first"),
-            F.max_by("_s", "_at").alias("_last"),
+            total(parsed & (level == ERROR)).alias("errors"),
+            total(parsed & (level == WARN)).alias("warns"),
+            total(parsed & level.isin(INFO, DEBUG)).alias("infos"),
+            total(parsed & (level == UNKNOWN)).alias("unknown"),
+            total(~parsed).alias("passthrough"),
+            F.min_by("first_ts", "first_at").alias("first_ts"),
+            F.max_by("last_ts", "last_at").alias("last_ts"),
+            F.min_by("first_s", "first_at").alias("_first"),
+            F.max_by("last_s", "last_at").alias("_last"),
         )
         .withColumns(
             {"first_clock": clock_text("_first"), "last_clock": clock_text("_last")}
@@ -59,6 +82,21 @@ def summary_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def summary_counts(df: DataFrame) -> DataFrame:
+    """One row per stream: tallies by effective level and the time span.
+
+    The span runs from the first to the last record that has a time, in stream
+    order.
+    """
+    return _counts(tallies(df.select("stream_id", "pos", "parsed", "effective", "ts", "clock")))
+
+
+def _templates(found: DataFrame) -> DataFrame:
+    # A template names its level, so it has one row per stream.
+    return found.filter(F.col("parsed") & (F.col("effective") >= WARN)).select(
+        "stream_id", "template", F.col("effective").alias("level"), "n", "first_pos", "text")
+
+
 def template_counts(df: DataFrame) -> DataFrame:
     """Warnings and errors per template: level, count, first text and position."""
     return (
@@ -117,15 +155,19 @@ def top_templates(
 def summary_report(
     df: DataFrame, cap: int | None = TRACKED, shown: int = SHOWN
 ) -> DataFrame:
-    """``stream_id, report``: the summary as text, one row per stream."""
-    counts = template_counts(df)
+    """``stream_id, report``: the summary as text, one row per stream.
+
+    The narrow tallies are written once and feed counts, totals and top lines.
+    """
+    found = materialize(tallies(df))
+    counts = _templates(found)
     tops = top_templates(counts, cap, shown).groupBy("stream_id").agg(
         F.array_sort(
             F.collect_list(F.struct((-F.col("level")).alias("order"), "rank", "n", "text"))
         ).alias("top")
     )
     return (
-        summary_counts(df)
+        _counts(found)
         .join(template_totals(counts, cap), "stream_id", "left")
         .join(tops, "stream_id", "left")
         .select("stream_id", report_text(shown).alias("report"))

@@ -35,6 +35,7 @@ from logloom.plans.pipeline import Options, enrich, run
 from logloom.schema import level_label
 from logloom.sources.materialize import materialize, new_folder
 from logloom.sources.sinks import write_stream
+from logloom.streaming.live import latest, live_counts, live_templates, split_timed, upserted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,21 +62,19 @@ facts AS (
     CASE WHEN kind = 'error' AND panic THEN 4 WHEN kind = 'error' THEN 3
          WHEN kind = 'click' THEN 1 ELSE 2 END AS eff,
     CASE WHEN kind = 'click' THEN 1 WHEN kind = 'error' AND NOT panic THEN 3 ELSE 2 END AS lvl,
-    CASE WHEN kind = 'error' AND panic THEN 'http: panic serving ' || ip || ':' ||
-           (1024 + pos % 5000) ||
-           ': runtime error: invalid memory address or nil pointer dereference'
-         WHEN kind = 'error' THEN 'dial tcp ' || ip || ':4317: connect: connection refused'
-         WHEN kind = 'signup' THEN 'user ' || u || ' signed up'
-         WHEN kind = 'purchase' THEN 'finished call' ELSE 'served ' || kind END AS message,
-    CASE WHEN kind = 'error' AND panic THEN 'http: panic serving <ip>:<n>: ' ||
-           'runtime error: invalid memory address or nil pointer dereference'
-         WHEN kind = 'error' THEN 'dial tcp <ip>:<n>: connect: connection refused'
-         WHEN kind = 'signup' THEN 'user <n> signed up'
-         WHEN kind = 'purchase' THEN 'finished call' ELSE 'served ' || kind END AS masked
+    CASE WHEN kind = 'error' AND panic THEN 'lease table corrupt on ' || ip || ':' ||
+           (1024 + pos % 5000) || ', fatal: node fenced'
+         WHEN kind = 'error' THEN 'ledger shard ' || ip || ':7421 is unavailable, write parked'
+         WHEN kind = 'signup' THEN 'account ' || u || ' opened'
+         WHEN kind = 'purchase' THEN 'basket settled' ELSE 'rendered ' || kind END AS message,
+    CASE WHEN kind = 'error' AND panic THEN 'lease table corrupt on <ip>:<n>, fatal: node fenced'
+         WHEN kind = 'error' THEN 'ledger shard <ip>:<n> is unavailable, write parked'
+         WHEN kind = 'signup' THEN 'account <n> opened'
+         WHEN kind = 'purchase' THEN 'basket settled' ELSE 'rendered ' || kind END AS masked
   FROM (
     SELECT *, CASE WHEN kind <> 'error' THEN NULL
-                   WHEN panic THEN '192.168.' || (u % 256) || '.' || k
-                   ELSE '10.0.' || (u % 4) || '.' || k END AS ip
+                   WHEN panic THEN '172.20.' || (u % 256) || '.' || k
+                   ELSE '10.42.' || (u % 4) || '.' || k END AS ip
     FROM (
       SELECT CASE WHEN user_id % 3 = 0 THEN 's0' ELSE 's' || (user_id % 8) END AS stream_id,
         event_id AS pos, user_id AS u, event_type AS kind,
@@ -224,7 +223,7 @@ SELECT stream_id, pos FROM rec
 WHERE CASE WHEN parsed THEN kind = 'signup' OR (kv AND trace = 't1') ELSE kind = 'view' END""")
 def filter_grep(spark, sf_dir):
     records = normalize(log_lines(spark, sf_dir))
-    return where(records, pattern="signed up|^t1$|note on view").select("stream_id", "pos")
+    return where(records, pattern="opened|^t1$|note on view").select("stream_id", "pos")
 
 
 # --- templates and the summary ------------------------------------------------------
@@ -467,9 +466,35 @@ def fold_session_query(spark, sf_dir):
     )
 
 
-@query(name="fold_runs")
+@query(_records("0").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, f AS (SELECT stream_id, pos, tmpl, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS p FROM par),
+-- Open runs, oldest head first: template, last record, head and count. Each step takes one
+-- record of every stream: runs up to the newest that ended are done, then the record
+-- continues a run or opens one, for which the oldest of eight makes room.
+steps AS (
+  SELECT stream_id, 0::BIGINT AS p, [{t: '', l: 0::BIGINT, h: 0::BIGINT, c: 0::BIGINT}][2:] AS open,
+    [{t: '', l: 0::BIGINT, h: 0::BIGINT, c: 0::BIGINT}][2:] AS done FROM f GROUP BY stream_id
+  UNION ALL
+  SELECT stream_id, p,
+    CASE WHEN known THEN list_transform(rest, lambda r: CASE WHEN r.t = tmpl
+           THEN {t: r.t, l: p, h: r.h, c: r.c + 1} ELSE r END)
+         ELSE list_append(rest[1 + crowded:], {t: tmpl, l: p, h: pos, c: 1::BIGINT}) END,
+    CASE WHEN known THEN ended ELSE list_concat(ended, rest[:crowded]) END
+  FROM (
+    SELECT *, len(list_filter(rest, lambda r: r.t = tmpl)) > 0 AS known,
+      CASE WHEN len(rest) = 8 THEN 1 ELSE 0 END AS crowded
+    FROM (
+      SELECT stream_id, p, tmpl, pos, open[:n] AS ended, open[n + 1:] AS rest
+      FROM (
+        SELECT s.stream_id, f.p, f.tmpl, f.pos, s.open, coalesce(list_max(list_filter(
+            range(1, len(s.open) + 1), lambda i: f.p - s.open[i].l > 10)), 0) AS n
+        FROM steps s JOIN f ON f.stream_id = s.stream_id AND f.p = s.p + 1)))),
+runs AS (
+  SELECT stream_id, unnest(done) AS r FROM steps
+  UNION ALL SELECT stream_id, unnest(open) FROM (
+    SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY p DESC) AS k FROM steps) WHERE k = 1)
+SELECT stream_id, r.h AS head_pos, r.c AS repeat, r.t AS template FROM runs""", name="fold_runs")
 def fold_runs_query(spark, sf_dir):
-    """The exact stream fold has no plain SQL form; tests compare it with a loop."""
     records = enrich(log_lines(spark, sf_dir, "json"))
     narrow = materialize(records.select("stream_id", "pos", "parsed", "template"))
     return fold_runs(narrow).withColumn("template", _plain("template"))
@@ -480,24 +505,25 @@ def fold_runs_query(spark, sf_dir):
 _FRAMES = """
 WITH g AS (
   SELECT 'parts' AS stream_id, p_partkey AS pos, 'go' AS lang, unnest([
-    {i: 0, func: 'net/http.(*conn).serve.func1', file: 'net/http/server.go', line: 1907,
-     col: 0, kind: 'stdlib'},
-    {i: 1, func: 'panic', file: 'runtime/panic.go', line: 860, col: 0, kind: 'stdlib'},
-    {i: 2, func: 'example.com/shop/internal/part.(*store).Load' || p_size,
+    {i: 0, func: 'sync.(*WaitGroup).Wait', file: 'sync/waitgroup.go', line: 118, col: 0,
+     kind: 'stdlib'},
+    {i: 1, func: 'example.com/shop/internal/part.(*store).Load' || p_size,
      file: 'example.com/shop/internal/part/store_' || p_size || '.go', line: p_partkey,
      col: 0, kind: 'project'},
-    {i: 3, func: 'go.other.io/sdk/trace.(*span).End',
-     file: 'go.other.io/sdk@v1.4.0/trace/span.go', line: 528, col: 0, kind: 'thirdparty'},
-    {i: 4, func: 'net/http.(*Server).Serve', file: 'net/http/server.go', line: 3464, col: 0,
+    {i: 2, func: 'encoding/csv.(*Reader).Read', file: 'encoding/csv/reader.go', line: 251, col: 0,
+     kind: 'stdlib'},
+    {i: 3, func: 'lib.example.org/batch.(*Feeder).next',
+     file: 'lib.example.org/batch@v2.7.1/feed.go', line: 66, col: 0, kind: 'thirdparty'},
+    {i: 4, func: 'os/signal.watch', file: 'os/signal/watch.go', line: 15, col: 0,
      kind: 'stdlib'}]) AS f FROM part
   UNION ALL
   SELECT 'suppliers', s_suppkey, 'node', unnest([
-    {i: 0, func: 'load', file: '/srv/app/src/supplier/' || s_nationkey || '.js',
-     line: s_suppkey, col: 7, kind: 'project'},
-    {i: 1, func: '<anonymous>', file: '/srv/app/src/anon.js', line: 7, col: 3, kind: 'project'},
-    {i: 2, func: 'Layer.handle', file: '/srv/app/node_modules/express/lib/layer.js', line: 95,
-     col: 5, kind: 'thirdparty'},
-    {i: 3, func: 'process.tick', file: 'node:internal/process/task_queues', line: 95, col: 5,
+    {i: 0, func: 'rate', file: '/srv/app/src/supplier/' || s_nationkey || '.js',
+     line: s_suppkey, col: 21, kind: 'project'},
+    {i: 1, func: '<anonymous>', file: '/srv/app/src/queue.mjs', line: 310, col: 9, kind: 'project'},
+    {i: 2, func: 'Pool.lease', file: '/srv/app/node_modules/pool-x/dist/index.js', line: 12,
+     col: 40, kind: 'thirdparty'},
+    {i: 3, func: 'tickTimers', file: 'node:internal/timers', line: 581, col: 17,
      kind: 'stdlib'}]) FROM supplier),
 fr AS (
   SELECT stream_id, pos, lang, f.i AS i, f.func AS func, f.file AS file, f.line::INT AS line,
@@ -521,12 +547,12 @@ def stack_frames(spark, sf_dir):
 
 
 @query("""
-SELECT 'parts' AS stream_id, p_partkey AS pos, 'go' AS lang, 'panic: part ' || p_partkey AS header,
-  4 AS effective, 'Load' || p_size AS method, 'ERR|parts|panic: part <n>' AS template,
+SELECT 'parts' AS stream_id, p_partkey AS pos, 'go' AS lang, 'fatal: part ' || p_partkey || ' lost its shelf' AS header,
+  4 AS effective, 'Load' || p_size AS method, 'ERR|parts|fatal: part <n> lost its shelf' AS template,
   'service=parts' AS fields_text FROM part
 UNION ALL
-SELECT 'suppliers', s_suppkey, 'node', 'TypeError: supplier ' || s_suppkey, 4, 'load',
-  'ERR|api|TypeError: supplier <n>', 'service=api' FROM supplier""")
+SELECT 'suppliers', s_suppkey, 'node', 'RangeError: supplier ' || s_suppkey, 4, 'rate',
+  'ERR|api|RangeError: supplier <n>', 'service=api' FROM supplier""")
 def stack_headers(spark, sf_dir):
     return _stacks(spark, sf_dir).select(
         "stream_id", "pos", F.col("stack.lang").alias("lang"),
@@ -536,9 +562,9 @@ def stack_headers(spark, sf_dir):
 
 
 @query("""
-SELECT 'parts' AS stream_id, p_partkey AS pos, unnest([0, 3]) AS start, 2 AS n,
-  unnest(['net, panic', 'go.other.io, net']) AS packages FROM part
-UNION ALL SELECT 'suppliers', s_suppkey, 2, 2, 'Layer, process' FROM supplier""")
+SELECT 'parts' AS stream_id, p_partkey AS pos, unnest([0, 2]) AS start, unnest([1, 3]) AS n,
+  unnest(['sync', 'encoding, lib.example.org, os']) AS packages FROM part
+UNION ALL SELECT 'suppliers', s_suppkey, 2, 2, 'Pool, tickTimers' FROM supplier""")
 def framework_runs(spark, sf_dir):
     return frames.framework_runs(_stacks(spark, sf_dir))
 
@@ -577,16 +603,16 @@ def format_lines(spark, sf_dir):
 
 
 @query("""
-SELECT 'parts' AS stream_id, p_partkey AS pos, '01:02:03 INFO→ERR  panic: part ' || p_partkey ||
-  '  service=parts' || chr(10) || '    … 2 framework frames (net, panic)' || chr(10) ||
+SELECT 'parts' AS stream_id, p_partkey AS pos, '01:02:03 INFO→ERR  fatal: part ' || p_partkey ||
+  ' lost its shelf  service=parts' || chr(10) || '    … 1 framework frames (sync)' || chr(10) ||
   '    ► store_' || p_size || '.go' || CASE WHEN p_partkey > 0 THEN ':' || p_partkey ELSE '' END ||
   '  example.com/shop/internal/part.(*store).Load' || p_size || chr(10) ||
-  '    … 2 framework frames (go.other.io, net)' AS line FROM part
+  '    … 3 framework frames (encoding, lib.example.org, os)' AS line FROM part
 UNION ALL
-SELECT 'suppliers', s_suppkey, '--:--:-- ERR  TypeError: supplier ' || s_suppkey ||
+SELECT 'suppliers', s_suppkey, '--:--:-- ERR  RangeError: supplier ' || s_suppkey ||
   '  service=api' || chr(10) || '    ► ' || s_nationkey || '.js' ||
-  CASE WHEN s_suppkey > 0 THEN ':' || s_suppkey || ':7' ELSE '' END || '  load' || chr(10) ||
-  '    ► anon.js:7:3  <anonymous>' || chr(10) || '    … 2 framework frames (Layer, process)'
+  CASE WHEN s_suppkey > 0 THEN ':' || s_suppkey || ':21' ELSE '' END || '  rate' || chr(10) ||
+  '    ► queue.mjs:310:9  <anonymous>' || chr(10) || '    … 2 framework frames (Pool, tickTimers)'
 FROM supplier""")
 def format_stack_lines(spark, sf_dir):
     return render.format_lines(_stacks(spark, sf_dir))
@@ -611,3 +637,53 @@ def stream_normalize(spark, sf_dir):
     )
     stream.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+def _live(spark: SparkSession, sf_dir: str, summarise, keys: list[str]) -> DataFrame:
+    """A live summary of mixed lines, read in several batches to their end."""
+    written = f"{new_folder(spark)}/lines"
+    lines = log_lines(spark, sf_dir)
+    lines.repartitionByRange(3, "pos").write.parquet(written)
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(written)
+    out = None
+    # Files are met in the order they were written, so the delay spans all of them.
+    for name, part in zip(("timed", "untimed"), split_timed(enrich(source), "1 day"), strict=True):
+        path = new_folder(spark)
+        stream = (
+            summarise(part).writeStream.outputMode("update")
+            .foreachBatch(lambda rows, batch, path=path: upserted(rows, batch, f"{path}/rows"))
+            .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+        )
+        stream.awaitTermination()
+        got = latest(spark.read.parquet(f"{path}/rows"), keys)
+        # Arrival differs by run; its windows are summed up.
+        got = got.withColumn("start", F.unix_micros("start") if name == "timed" else F.lit(None).cast("long"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+_TIMED = "coalesce(f IN (0, 1, 3, 4), false)"
+
+
+@query(_records() + f"""
+SELECT CASE WHEN {_TIMED} THEN ts_us // 60000000 * 60000000 END AS start, {_TIMED} AS timed, stream_id,
+  count(*) FILTER (parsed AND eff = 4) AS errors, count(*) FILTER (parsed AND eff = 3) AS warns,
+  count(*) FILTER (parsed AND eff IN (1, 2)) AS infos, 0::BIGINT AS unknown,
+  count(*) FILTER (NOT parsed) AS passthrough
+FROM rec GROUP BY ALL""")
+def stream_counts(spark, sf_dir):
+    keys = ["start", "timed", "stream_id"]
+    counts = ("errors", "warns", "infos", "unknown", "passthrough")
+    got = _live(spark, sf_dir, live_counts, keys)
+    return got.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+
+
+@query(_records() + f"""
+SELECT CASE WHEN {_TIMED} THEN ts_us // 60000000 * 60000000 END AS start, {_TIMED} AS timed, stream_id,
+  tmpl AS template, eff AS level, count(*) AS n
+FROM par WHERE eff >= 3 GROUP BY ALL""")
+def stream_templates(spark, sf_dir):
+    keys = ["start", "timed", "stream_id", "template"]
+    got = _live(spark, sf_dir, live_templates, keys)
+    return got.groupBy(*keys, "level").agg(F.sum("n").alias("n")).withColumn(
+        "template", _plain("template"))

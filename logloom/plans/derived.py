@@ -42,16 +42,15 @@ def event_facts(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     message = (
         F.when((kind == "error") & panic,
-               F.concat(F.lit("http: panic serving 192.168."), (u % 256).cast("string"),
+               F.concat(F.lit("lease table corrupt on 172.20."), (u % 256).cast("string"),
                         F.lit("."), F.col("k"), F.lit(":"), (1024 + e % 5000).cast("string"),
-                        F.lit(": runtime error: invalid memory address or nil pointer "
-                              "dereference")))
+                        F.lit(", fatal: node fenced")))
         .when(kind == "error",
-              F.concat(F.lit("dial tcp 10.0."), (u % 4).cast("string"), F.lit("."), F.col("k"),
-                       F.lit(":4317: connect: connection refused")))
-        .when(kind == "signup", F.concat(F.lit("user "), u.cast("string"), F.lit(" signed up")))
-        .when(kind == "purchase", "finished call")
-        .otherwise(F.concat(F.lit("served "), kind))
+              F.concat(F.lit("ledger shard 10.42."), (u % 4).cast("string"), F.lit("."), F.col("k"),
+                       F.lit(":7421 is unavailable, write parked")))
+        .when(kind == "signup", F.concat(F.lit("account "), u.cast("string"), F.lit(" opened")))
+        .when(kind == "purchase", "basket settled")
+        .otherwise(F.concat(F.lit("rendered "), kind))
     )
     level = F.when(kind == "click", "DEBUG").when((kind == "error") & ~panic, "WARN").otherwise(
         "INFO"
@@ -142,24 +141,24 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey").cast("string")
     size = F.col("p_size").cast("string")
     go = F.concat(
-        F.lit('{"time":"2026-06-29T01:02:03Z","level":"INFO","msg":"panic: part '), p,
-        F.lit(r'\ngoroutine 7 [running]:\nnet/http.(*conn).serve.func1()\n'
-              r'\tnet/http/server.go:1907 +0xac\npanic({0xdd, 0x1d})\n\truntime/panic.go:860 '
-              r'+0x12c\nexample.com/shop/internal/part.(*store).Load'), size,
-        F.lit(r'(0xc1, {0x2, 0x3})\n\texample.com/shop/internal/part/store_'), size,
+        F.lit('{"time":"2026-06-29T01:02:03Z","level":"INFO","msg":"fatal: part '), p,
+        F.lit(r' lost its shelf\ngoroutine 512 [chan receive]:\nsync.(*WaitGroup).Wait(0xb4)\n'
+              r'\tsync/waitgroup.go:118 +0x71\nexample.com/shop/internal/part.(*store).Load'), size,
+        F.lit(r'(0xe2, {0x6, 0x9})\n\texample.com/shop/internal/part/store_'), size,
         F.lit(r'.go:'), p,
-        F.lit(r' +0x6c\ngo.other.io/sdk/trace.(*span).End(0x4)\n'
-              r'\tgo.other.io/sdk@v1.4.0/trace/span.go:528\ncreated by net/http.(*Server).Serve '
-              r'in goroutine 10\n\tnet/http/server.go:3464 +0x37c","service":"parts"}'),
+        F.lit(r' +0x2f\nencoding/csv.(*Reader).Read({0x5, 0x5})\n\tencoding/csv/reader.go:251\n'
+              r'lib.example.org/batch.(*Feeder).next(...)\n\tlib.example.org/batch@v2.7.1/feed.go:66 '
+              r'+0x1e3\ncreated by os/signal.watch in goroutine 77\n\tos/signal/watch.go:15 +0x98"'
+              r',"service":"parts"}'),
     )
     s = F.col("s_suppkey").cast("string")
     node = F.concat(
-        F.lit('{"level":"error","msg":"request failed","service":"api","stack":'
-              r'"TypeError: supplier '), s,
-        F.lit(r"\n    at load (/srv/app/src/supplier/"), F.col("s_nationkey").cast("string"),
-        F.lit(r".js:"), s, F.lit(r":7)\n    at /srv/app/src/anon.js:7:3"
-              r"\n    at Layer.handle (/srv/app/node_modules/express/lib/layer.js:95:5)"
-              r'\n    at process.tick (node:internal/process/task_queues:95:5)"}'),
+        F.lit('{"level":"error","msg":"quote refused","service":"api","stack":'
+              r'"RangeError: supplier '), s,
+        F.lit(r"\n    at rate (/srv/app/src/supplier/"), F.col("s_nationkey").cast("string"),
+        F.lit(r".js:"), s, F.lit(r":21)\n    at /srv/app/src/queue.mjs:310:9"
+              r"\n    at Pool.lease (/srv/app/node_modules/pool-x/dist/index.js:12:40)"
+              r'\n    at tickTimers (node:internal/timers:581:17)"}'),
     )
     parts = spread(table(spark, sf_dir, "part")).select(
         F.lit("parts").alias("stream_id"), F.col("p_partkey").alias("pos"), go.alias("raw")

@@ -1,25 +1,43 @@
-"""Windowed summaries and sessions over event time."""
+"""Windowed summaries and sessions over event time.
+
+Only a record's own time moves event time. Records without a time, and those whose
+format gives no year (they are read as of the year 2000), are summed by time of
+arrival instead, apart from the others: one of them must neither lift the
+watermark past older records nor be late itself. :func:`split_timed` makes the two
+parts; each is summed in a query of its own, and their results are united.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from logloom.operators.fold import IDLE, fold_session
 from logloom.schema import DEBUG, ERROR, INFO, UNKNOWN, WARN
+from logloom.sources.sinks import write_stream
+
+#: Formats whose times have no year.
+YEARLESS = ("glog",)
+
 
+def split_timed(df: DataFrame, delay: str = "1 minute") -> tuple[DataFrame, DataFrame]:
+    """Records with a full time, and all others; both with ``at`` and ``timed``.
 
-def timed(df: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Watermark on ``at``: the record's time, or its arrival if it has none."""
-    return df.withColumn("at", F.coalesce("ts", F.current_timestamp())).withWatermark("at", delay)
+    ``at`` is the record's time, or its arrival; each part has a watermark on it.
+    """
+    full = F.col("ts").isNotNull() & ~F.coalesce(F.col("format").isin(*YEARLESS), F.lit(False))
+    own = df.filter(full).withColumns({"at": F.col("ts"), "timed": F.lit(True)})
+    rest = df.filter(~full).withColumns({"at": F.current_timestamp(), "timed": F.lit(False)})
+    return own.withWatermark("at", delay), rest.withWatermark("at", delay)
 
 
 def live_counts(df: DataFrame, window: str = "1 minute") -> DataFrame:
-    """Tallies by effective level per stream and window; ``df`` comes from ``timed``."""
+    """Tallies by effective level per stream and window, of a part of ``split_timed``."""
     parsed, level = F.col("parsed"), F.col("effective")
     return (
-        df.groupBy(F.window("at", window).alias("w"), "stream_id")
+        df.groupBy(F.window("at", window).alias("w"), "timed", "stream_id")
         .agg(
             F.count_if(parsed & (level == ERROR)).alias("errors"),
             F.count_if(parsed & (level == WARN)).alias("warns"),
@@ -27,21 +45,22 @@ def live_counts(df: DataFrame, window: str = "1 minute") -> DataFrame:
             F.count_if(parsed & (level == UNKNOWN)).alias("unknown"),
             F.count_if(~parsed).alias("passthrough"),
         )
-        .select(F.col("w.start").alias("start"), "stream_id", "errors", "warns", "infos",
+        .select(F.col("w.start").alias("start"), "timed", "stream_id", "errors", "warns", "infos",
                 "unknown", "passthrough")
     )
 
 
 def live_templates(df: DataFrame, window: str = "1 minute") -> DataFrame:
-    """Warnings and errors per template, stream and window."""
+    """Warnings and errors per template, stream and window, of a part of ``split_timed``."""
     return (
         df.filter(F.col("parsed") & (F.col("effective") >= WARN))
-        .groupBy(F.window("at", window).alias("w"), "stream_id", "template")
+        .groupBy(F.window("at", window).alias("w"), "timed", "stream_id", "template")
         .agg(
             F.max("effective").alias("level"), F.count(F.lit(1)).alias("n"),
             F.min_by("text", "pos").alias("text"),
         )
-        .select(F.col("w.start").alias("start"), "stream_id", "template", "level", "n", "text")
+        .select(F.col("w.start").alias("start"), "timed", "stream_id", "template", "level", "n",
+                "text")
     )
 
 
@@ -50,10 +69,58 @@ def live_sessions(df: DataFrame, delay: str = "1 minute", idle: str = IDLE) -> D
     return fold_session(df.withWatermark("ts", delay), idle)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Records dropped so far for coming behind the watermark."""
-    return sum(
-        int(op.numRowsDroppedByWatermark)
-        for progress in query.recentProgress
-        for op in progress.stateOperators
-    )
+def write_live(
+    parts: tuple[DataFrame, DataFrame], path: str, checkpoint: str, **options
+) -> list[StreamingQuery]:
+    """Start a query per part; what windows end with goes to ``path/timed`` and ``path/untimed``.
+
+    With ``available_now`` the input is read to its end. Windows that the watermark
+    has not passed by then stay in the checkpoint and come with the next run.
+    """
+    return [
+        write_stream(part, f"{path}/{name}", f"{checkpoint}/{name}", **options)
+        for part, name in zip(parts, ("timed", "untimed"), strict=True)
+    ]
+
+
+def upserted(rows: DataFrame, batch: int, path: str) -> None:
+    """Write a batch of an updating result; later batches replace its windows.
+
+    For ``foreachBatch`` in update mode; :func:`latest` reads what stands. A batch
+    that runs again overwrites what it wrote before.
+    """
+    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(
+        f"{path}/batch={batch:012d}")
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest version of each key of an updating result."""
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select(*keys, "v.*")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts what stateful operators dropped behind the watermark, by query id.
+
+    An aggregation drops after its partial step, so a dropped row can stand for
+    several records of one window, key and task. Register with
+    ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        late = sum(int(op.numRowsDroppedByWatermark) for op in progress.stateOperators)
+        self.dropped[str(progress.id)] = self.dropped.get(str(progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -10,24 +10,26 @@ from logloom.operators.stack import extract_stack
 from logloom.operators.where import where
 
 GO = (
-    "panic serving 10.1.2.3:58: nil map\n"
-    "goroutine 23 [running]:\n"
-    "net/http.(*conn).serve.func1()\n"
-    "\tnet/http/server.go:1907 +0xac\n"
-    "github.com/acme/shop/internal/rpc.(*svc).Resolve(0x4ca, {0x10, 0x20})\n"
-    "\tgithub.com/acme/shop/internal/rpc/resolve.go:72 +0x6c\n"
-    "go.other.io/otel/trace.(*span).End(0x4)\n"
-    "\tgo.other.io/otel@v1.4/trace/span.go:528 +0xab4\n"
-    "created by net/http.(*Server).Serve in goroutine 10\n"
-    "\tnet/http/server.go:3464 +0x37c"
+    "fatal: ledger 10.9.8.7 is torn\n"
+    "goroutine 4096 [sleep]:\n"
+    "time.Sleep(0x3b9aca00)\n"
+    "\ttime/sleep.go:12 +0x5\n"
+    "github.com/acme/mill/grind.(*wheel).Turn(0x7, [0x1])\n"
+    "\tgithub.com/acme/mill/grind/wheel.go:301\n"
+    "dev.corp.io/pump.Drive[...](0x2)\n"
+    "\tdev.corp.io/pump@v0.9.2/drive.go:18 +0x44\n"
+    "dev.corp.io/pump.(*Rod).push({0x8, 0x3})\n"
+    "\tdev.corp.io/pump@v0.9.2/rod.go:77 +0x10\n"
+    "created by sync.spawn in goroutine 6\n"
+    "\tsync/spawn.go:9 +0x1b"
 )
 NODE = (
-    "TypeError: no id\n"
-    "    at load (/app/src/user.js:42:18)\n"
-    "    at /app/src/anon.js:7:3\n"
-    "    at Layer.handle (/app/node_modules/express/layer.js:95:5)\n"
-    "    at Query.run (C:\\app\\node_modules\\pg\\query.js:88:11)\n"
-    "    at process.tick (node:internal/task_queues:95:5)"
+    "RangeError: too deep\n"
+    "    at new Tree (/srv/mill/lib/tree.mjs:8:20)\n"
+    "    at D:\\mill\\node_modules\\walk\\step.js:61:4\n"
+    "    at /srv/mill/lib/root.mjs:17:1\n"
+    "    at Walker.go (/srv/mill/node_modules/walk/index.js:230:33)\n"
+    "    at runMain (node:internal/modules/run_main:154:12)"
 )
 
 
@@ -47,47 +49,57 @@ def test_severity(spark):
 
 
 def test_stacks(spark):
-    bare = "goroutine 1 [running]:\nmain.run()\n\tgithub.com/acme/shop/main.go:20 +0x1a"
+    bare = "goroutine 9 [IO wait]:\nmain.poll()\n\tgithub.com/acme/mill/poll.go:5 +0x3"
     got = ordered(extract_stack(records(spark, [
         dict(message=GO),
-        dict(message="request failed", fields=[("rpc", "R"), ("error", GO), ("stack", NODE)]),
-        dict(message="request failed", fields=[("stack", bare)]),
-        dict(message="", fields=[("stack", NODE)]),
-        dict(message="note", fields=[("note", "goroutine leak suspected\nplease look")]),
-        dict(message="jobs\n    at 10:30:00\n    at 11:00:00"),
-        dict(message="    at f (/a/b.js:1:2)"),
+        dict(message="order lost", fields=[("queue", "q4"), ("cause", GO), ("trace", NODE)]),
+        dict(message="order lost", fields=[("trace", bare)]),
+        dict(message="", fields=[("trace", NODE)]),
+        # marked like a trace, but without a header line of one
+        dict(message="report", fields=[("body", "each goroutine sleeps\nnone woke up")]),
+        dict(message="agenda\n    at noon: lunch\n    at 17:45: end"),
+        dict(message="    at g (/x/y.mjs:3:4)"),
         # a Go header without frames is no trace, and Node is not asked
-        dict(message="goroutine 1 [running]:\n    at f (/a/b.js:1:2)"),
+        dict(message="goroutine 9 [IO wait]:\n    at g (/x/y.mjs:3:4)"),
         dict(message=bare.replace("\n", "\r\n")),
         dict(message=GO, parsed=False),
     ]), module="github.com/acme"))
     kinds = [f.kind for f in got[0].stack.frames]
-    assert kinds == ["stdlib", "project", "thirdparty", "stdlib"]
-    assert got[0].stack.header == "panic serving 10.1.2.3:58: nil map"
+    assert kinds == ["stdlib", "project", "thirdparty", "thirdparty", "stdlib"]
+    assert got[0].stack.header == "fatal: ledger 10.9.8.7 is torn"
     assert tuple(got[0].stack.frames[1])[:4] == (
-        "github.com/acme/shop/internal/rpc.(*svc).Resolve",
-        "github.com/acme/shop/internal/rpc/resolve.go", 72, 0,
+        "github.com/acme/mill/grind.(*wheel).Turn", "github.com/acme/mill/grind/wheel.go", 301, 0,
     )
-    assert got[0].stack.frames[3].func == "net/http.(*Server).Serve"
-    assert [k for k, _ in pairs(got[1])] == ["rpc", "stack"] and got[1].stack.lang == "go"
-    assert got[2].stack.header == "request failed"
+    assert got[0].stack.frames[4].func == "sync.spawn"
+    assert [k for k, _ in pairs(got[1])] == ["queue", "trace"] and got[1].stack.lang == "go"
+    assert got[2].stack.header == "order lost"
     assert tuple(got[2].stack.frames[0]) == (
-        "main.run", "github.com/acme/shop/main.go", 20, 0, "project"
+        "main.poll", "github.com/acme/mill/poll.go", 5, 0, "project"
     )
-    assert got[3].stack.header == "TypeError: no id" and got[3].fields == []
+    assert got[3].stack.header == "RangeError: too deep" and got[3].fields == []
     assert [tuple(f) for f in got[3].stack.frames] == [
-        ("load", "/app/src/user.js", 42, 18, "project"),
-        ("<anonymous>", "/app/src/anon.js", 7, 3, "project"),
-        ("Layer.handle", "/app/node_modules/express/layer.js", 95, 5, "thirdparty"),
-        ("Query.run", "C:\\app\\node_modules\\pg\\query.js", 88, 11, "thirdparty"),
-        ("process.tick", "node:internal/task_queues", 95, 5, "stdlib"),
+        ("new Tree", "/srv/mill/lib/tree.mjs", 8, 20, "project"),
+        ("<anonymous>", "D:\\mill\\node_modules\\walk\\step.js", 61, 4, "thirdparty"),
+        ("<anonymous>", "/srv/mill/lib/root.mjs", 17, 1, "project"),
+        ("Walker.go", "/srv/mill/node_modules/walk/index.js", 230, 33, "thirdparty"),
+        ("runMain", "node:internal/modules/run_main", 154, 12, "stdlib"),
     ]
     assert got[4].stack is None and len(got[4].fields) == 1
     assert got[5].stack is None
-    assert got[6].stack.header == "at f (/a/b.js:1:2)"
+    assert got[6].stack.header == "at g (/x/y.mjs:3:4)"
     assert [got[i].stack for i in (7, 8, 9)] == [None, None, None]
 
 
+def test_long_traces(spark):
+    """A dump of many goroutines is read in one pass over its lines."""
+    n = 4000
+    dump = "all stuck\ngoroutine 2 [select]:\n" + "".join(
+        f"lib{i % 7}.example.org/a.F{i}(0x{i})\n\tlib/a{i}.go:{i} +0x1\n" for i in range(1, n + 1))
+    row = extract_stack(records(spark, [dict(message=dump)])).first()
+    assert len(row.stack.frames) == n
+    assert tuple(row.stack.frames[n - 1])[:3] == (f"lib{n % 7}.example.org/a.F{n}", f"lib/a{n}.go", n)
+
+
 def test_masks(spark):
     cases = {
         # the digit in the name of the address mask is masked in turn
@@ -110,10 +122,10 @@ def test_identity(spark):
         dict(parsed=False, raw="10.0.0.1"),
     ]), module="github.com/acme")))
     assert [r.template for r in got] == [
-        "WARN\x00s\x00call <n>", "ERR\x00\x00panic serving <ip>:<n>: nil map", "INFO\x00\x00x", None
+        "WARN\x00s\x00call <n>", "ERR\x00\x00fatal: ledger <ip> is torn", "INFO\x00\x00x", None
     ]
-    assert [r.corr_key for r in got] == ["t", "10.1.2.3", None, None]
-    assert [r.method for r in got] == [None, "Resolve", "M", None]
+    assert [r.corr_key for r in got] == ["t", "10.9.8.7", None, None]
+    assert [r.method for r in got] == [None, "Turn", "M", None]
 
 
 def test_tag_and_summary(spark):
@@ -127,8 +139,8 @@ def test_tag_and_summary(spark):
 
 def test_filters(spark):
     df = records(spark, [
-        dict(message="call Resolve", effective=2, fields=[("m", "ResolveSlug"), ("m", "other")]),
-        dict(message="boom", level=2, effective=4, fields=[("e", "bad slug")]),
+        dict(message="call Tally", effective=2, fields=[("m", "TallySheet"), ("m", "other")]),
+        dict(message="crack", level=2, effective=4, fields=[("e", "bad Ledger")]),
         dict(message="?", level=0),
         dict(parsed=False, raw="plain xyz"),
     ])
@@ -139,12 +151,12 @@ def test_filters(spark):
     assert kept() == [0, 1, 2, 3]
     assert kept(level="error") == [1, 3]
     assert kept(level="debug") == [0, 1, 3]
-    assert kept(fields=["m=resolve"]) == [0, 3]
+    assert kept(fields=["m=tally"]) == [0, 3]
     assert kept(fields=["m=other"]) == [3]
     assert kept(fields=["e="]) == [1, 3]
-    assert kept(fields=["m=resolve", "e="]) == [3]
-    assert kept(pattern="slug|xyz") == [1, 3]
-    assert kept(pattern="Slug") == [0]
+    assert kept(fields=["m=tally", "e="]) == [3]
+    assert kept(pattern="Ledger|xyz") == [1, 3]
+    assert kept(pattern="Sheet") == [0]
     assert kept(level="warn", pattern="nothing") == []
     for bad in (dict(level="verbose"), dict(pattern="(open"), dict(fields=["none"]),
                 dict(fields=["=x"])):

@@ -66,7 +66,7 @@ def test_line_text(spark):
     ])
     related = F.struct(
         F.lit(1).cast("long").alias("pos"), F.lit(None).cast("timestamp").alias("ts"),
-        F.lit(None).cast("string").alias("clock"), F.lit("a panic").alias("summary"),
+        F.lit(None).cast("string").alias("clock"), F.lit("a tear").alias("summary"),
     )
     df = df.withColumns({
         "corr": F.when(F.col("pos") == 0, "c7"), "repeat": F.lit(3),
@@ -75,7 +75,7 @@ def test_line_text(spark):
     assert [r.line for r in ordered(format_lines(df))] == [
         '04:29:01 INFO→ERR  ⟨c7⟩ boom now  ×3  q="say \\"x\\"" k=v ·svc=a',
         "keep — me",
-        "--:--:-- INFO  fine  ×3\n    ↳ likely related: a panic",
+        "--:--:-- INFO  fine  ×3\n    ↳ likely related: a tear",
     ]
 
 
@@ -169,19 +169,19 @@ def test_whole_pipeline_to_files(spark, tmp_path):
     source = tmp_path / "app.log"
     call = '{"time":"2026-06-29T04:29:0%dZ","level":"INFO","msg":"%s","svc":"a","rpc.method":"M"}'
     source.write_text("\n".join([
-        call % (1, "panic in M from 10.0.0.1:5"), call % (2, "finished call"),
-        call % (3, "finished call"), "plain", call % (4, "panic in M from 10.0.0.1:6"),
+        call % (1, "fatal tear in M at 10.0.0.1:5"), call % (2, "call ended"),
+        call % (3, "call ended"), "plain", call % (4, "fatal tear in M at 10.0.0.1:6"),
     ]))
     lines = read_lines(spark, str(source))
     out = run(lines, Options(folding="runs")).cache()
     text = [r.line for r in ordered(format_lines(out))]
     tag = text[3].split("⟨")[1].split("⟩")[0]
     assert text == [
-        "04:29:01 INFO→ERR  panic in M from 10.0.0.1:5  svc=a rpc.method=M",
-        "04:29:02 INFO  finished call  ×2  svc=a rpc.method=M\n"
-        "    ↳ likely related: panic in M from 10.0.0.1:5 @04:29:01",
+        "04:29:01 INFO→ERR  fatal tear in M at 10.0.0.1:5  svc=a rpc.method=M",
+        "04:29:02 INFO  call ended  ×2  svc=a rpc.method=M\n"
+        "    ↳ likely related: fatal tear in M at 10.0.0.1:5 @04:29:01",
         "plain",
-        f"04:29:04 INFO→ERR  ⟨{tag}⟩ panic in M from 10.0.0.1:6  ·svc=a ·rpc.method=M",
+        f"04:29:04 INFO→ERR  ⟨{tag}⟩ fatal tear in M at 10.0.0.1:6  ·svc=a ·rpc.method=M",
     ]
     islands = run(lines, Options(folding="islands", level="warn", columns=False))
     assert [(r.pos - ordered(out)[0].pos, r.repeat) for r in ordered(islands)] == [
