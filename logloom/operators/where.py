@@ -48,9 +48,17 @@ def field_contains(spec: str) -> Column:
     )
 
 
+def _unix(pattern: str) -> str:
+    """Only ``\\n`` ends a line for ``.``, and a last ``$`` is the end of the text."""
+    slashes = len(pattern[:-1]) - len(pattern[:-1].rstrip("\\"))
+    if pattern.endswith("$") and slashes % 2 == 0:
+        pattern = pattern[:-1] + r"\z"
+    return "(?d)" + pattern
+
+
 def grep(pattern: str) -> Column:
     """Pattern found in the message or a field value; in the line if undecoded."""
-    pattern = _check_pattern(pattern)
+    pattern = _unix(_check_pattern(pattern))
     found = F.col("message").rlike(pattern) | F.exists(
         "fields", lambda f: f["val"].rlike(pattern)
     )

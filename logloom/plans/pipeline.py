@@ -15,6 +15,7 @@ from logloom.operators.normalize import normalize
 from logloom.operators.severity import rerank_severity
 from logloom.operators.stack import extract_stack
 from logloom.operators.where import where
+from logloom.sources.lines import MAX_LINE, split_long
 from logloom.sources.materialize import materialize
 
 
@@ -23,7 +24,8 @@ class Options:
     """What to do with the lines; the defaults do everything but filter.
 
     ``folding`` is "runs" (the exact stream fold), "islands" (the gap rule
-    alone) or "" for none.
+    alone) or "" for none. With ``rejects``, a path, lines of ``max_line`` bytes
+    or more are written there and left out; without it they are kept.
     """
 
     format: str = "auto"
@@ -35,6 +37,8 @@ class Options:
     columns: bool = True
     folding: str = "islands"
     mask_rules: tuple[tuple[str, str], ...] = MASK_RULES
+    max_line: int = MAX_LINE
+    rejects: str = ""
 
 
 def enrich(lines: DataFrame, options: Options = Options()) -> DataFrame:
@@ -54,6 +58,9 @@ def run(lines: DataFrame, options: Options = Options()) -> DataFrame:
     The enriched records are written once; every neighbourhood operator reads
     only the narrow columns it needs, and the records take up the results by key.
     """
+    if options.rejects:
+        lines, long = split_long(lines, options.max_line)
+        long.write.mode("overwrite").parquet(options.rejects)
     records = materialize(enrich(lines, options))
     out = records
     if options.correlate:

@@ -32,12 +32,22 @@ def _position(block: Column) -> Column:
     return F.shiftleft(F.shiftright(block, 10), _LOCAL_BITS).bitwiseOR(local)
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of text files, every file a stream; blank lines are rows too."""
-    return _text(spark.read, path).select(
+def read_lines(
+    spark: SparkSession, path: str | list[str], keep: Column | None = None
+) -> DataFrame:
+    """Lines of text files, every file a stream; blank lines are rows too.
+
+    ``keep`` selects files, by ``_metadata`` (path, size, time) or by partition
+    columns of the folder. It is applied below the positions, which a later filter
+    could not pass, and so reaches the scan. Partition columns stay in the result.
+    """
+    found = _text(spark.read, path)
+    folders = [c for c in found.columns if c != "value"]
+    return (found if keep is None else found.where(keep)).select(
         F.col("_metadata.file_path").alias("stream_id"),
         _position(F.col("_metadata.file_block_start")).alias("pos"),
         _raw().alias("raw"),
+        *folders,
     )
 
 

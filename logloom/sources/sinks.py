@@ -30,10 +30,19 @@ def write_lines(
     writer.save(path)
 
 
-def write_records(records: DataFrame, path: str, mode: str = "error") -> None:
-    """Write records as Parquet, in folders by day, for pruning on time."""
-    day = F.coalesce(F.to_date("ts").cast("string"), F.lit("none"))
-    records.withColumn("day", day).write.mode(mode).partitionBy("day").parquet(path)
+def write_records(
+    records: DataFrame, path: str, mode: str = "error", files_per_day: int = 16
+) -> None:
+    """Write records as Parquet, in folders by day (UTC), for pruning on time.
+
+    A day's records are dealt to ``files_per_day`` tasks, so that not every task
+    writes into every folder and a busy day is still spread.
+    """
+    number = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("int")
+    day = F.coalesce(F.date_from_unix_date(number).cast("string"), F.lit("none"))
+    part = F.pmod(F.xxhash64("stream_id", "pos"), F.lit(files_per_day))
+    dealt = records.withColumn("day", day).repartition("day", part)
+    dealt.write.mode(mode).partitionBy("day").parquet(path)
 
 
 def write_summary(report: DataFrame, path: str, mode: str = "error") -> None:
