@@ -123,7 +123,7 @@ def test_mix_meets_targets(docs_of):
     assert out.columns == table.columns
     words = Counter()
     for r in out.collect():
-        words[r.source] += len(r.text.split())
+        words[r.source] += len((r.text or "").split())
     for (size, target), part in by.items():
         assert min(abs(w - target) for w in words.values()) <= 2
     assert mixing.mix(docs_of([])).count() == 0 and mixing.mixed_rows(docs_of([])).count() == 0
