@@ -363,7 +363,7 @@ def ordinals(spark, sf_dir):
     return with_ordinal(log_lines(spark, sf_dir).select("stream_id", "pos"), "q")
 
 
-@query(_records() + """
+_CONSTANT = """
 , fr AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS fn FROM par),
 kvs AS (
   SELECT stream_id, pos, fn, generate_subscripts(string_split(fields_text, ' '), 1) - 1 AS i,
@@ -372,7 +372,11 @@ j AS (
   SELECT *, count(*) OVER w AS n, min(kv) OVER w AS lo, max(kv) OVER w AS hi FROM kvs
   WINDOW w AS (PARTITION BY stream_id, split_part(kv, '=', 1) ORDER BY fn
                RANGE BETWEEN 255 PRECEDING AND CURRENT ROW))
-SELECT stream_id, pos, i FROM j WHERE n >= 3 AND lo = hi""", name="constant_fields")
+"""
+
+
+@query(_records() + _CONSTANT + "SELECT stream_id, pos, i FROM j WHERE n >= 3 AND lo = hi",
+       name="constant_fields")
 def constant_fields_query(spark, sf_dir):
     records = materialize(
         normalize(log_lines(spark, sf_dir)).select("stream_id", "pos", "parsed", "fields")
@@ -380,7 +384,7 @@ def constant_fields_query(spark, sf_dir):
     return constant_fields(records).withColumn("i", F.col("i").cast("long"))
 
 
-@query(_records() + """
+_CORR = """
 SELECT stream_id, pos, corr_key, 'c' || CASE
     WHEN h >= 36 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', (h // 36)::INT + 1, 1)
     ELSE '' END || substr('0123456789abcdefghijklmnopqrstuvwxyz', (h % 36)::INT + 1, 1) AS corr
@@ -391,21 +395,26 @@ FROM (
   FROM par a
   WHERE corr_key IS NOT NULL AND EXISTS (
     SELECT 1 FROM par b WHERE b.stream_id = a.stream_id AND b.corr_key = a.corr_key
-      AND b.pn < a.pn AND b.pn >= a.pn - 512 AND abs(a.ts_us - b.ts_us) <= 60000000))""",
-       name="corr_groups")
+      AND b.pn < a.pn AND b.pn >= a.pn - 512 AND abs(a.ts_us - b.ts_us) <= 60000000))"""
+
+
+@query(_records() + _CORR, name="corr_groups")
 def corr_groups_query(spark, sf_dir):
     records = remembered(materialize(_mixed(spark, sf_dir).select("parsed", *NARROW)))
     return corr_groups(records).withColumn("corr", corr_tag(F.col("corr_key")))
 
 
-@query(_records() + """
+_RELATED = """
 SELECT a.stream_id, a.pos, max(b.pos) AS related_pos, arg_max(b.clock, b.pn) AS related_clock,
   arg_max(CASE WHEN strlen(b.message) > 60 THEN substr(b.message, 1, 60) || '…'
           ELSE b.message END, b.pn) AS summary
 FROM par a JOIN par b ON b.stream_id = a.stream_id AND b.rpc = a.rpc AND b.eff >= 3
   AND b.tmpl <> a.tmpl AND b.pn < a.pn AND b.pn >= a.pn - 512
   AND abs(a.ts_us - b.ts_us) <= 5000000
-GROUP BY a.stream_id, a.pos""", name="related_events")
+GROUP BY a.stream_id, a.pos"""
+
+
+@query(_records() + _RELATED, name="related_events")
 def related_events_query(spark, sf_dir):
     records = remembered(materialize(_mixed(spark, sf_dir).select("parsed", *NARROW)))
     return related_events(records).select(
@@ -426,11 +435,12 @@ s AS (
 i AS (
   SELECT *, sum(CASE WHEN q - before <= 10 AND coalesce(before > reset, TRUE) THEN 0 ELSE 1 END)
     OVER (PARTITION BY stream_id, tmpl ORDER BY q) AS island FROM s)
-SELECT stream_id, min(pos) AS head_pos, max(pos) AS last_pos, count(*) AS repeat,
+"""
+_RUNS = """SELECT stream_id, min(pos) AS head_pos, max(pos) AS last_pos, count(*) AS repeat,
   tmpl AS template FROM i GROUP BY stream_id, tmpl, island"""
 
 
-@query(_records() + _ISLANDS, name="fold_islands")
+@query(_records() + _ISLANDS + _RUNS, name="fold_islands")
 def fold_islands_query(spark, sf_dir):
     runs = fold_islands(materialize(_mixed(spark, sf_dir).select(
         "stream_id", "pos", "parsed", "template"
@@ -438,7 +448,7 @@ def fold_islands_query(spark, sf_dir):
     return runs.withColumn("template", _plain("template"))
 
 
-@query(_records("0") + _ISLANDS)
+@query(_records("0") + _ISLANDS + _RUNS)
 def fold_islands_unbroken(spark, sf_dir):
     """No passthrough lines, so that runs cross many chunks."""
     records = enrich(log_lines(spark, sf_dir, "json"))
@@ -618,12 +628,48 @@ def format_stack_lines(spark, sf_dir):
     return render.format_lines(_stacks(spark, sf_dir))
 
 
-@query()
+def _pipeline_sql(shown: str) -> str:
+    """All parts of the pipeline together, over the records that ``shown`` keeps."""
+    seen = _records().replace("FROM rec WHERE parsed", f"FROM rec WHERE parsed AND ({shown})")
+    islands = _ISLANDS.replace("AS tmpl FROM rec)", f"AS tmpl FROM rec WHERE {shown})")
+    return seen + _CONSTANT + f"""
+, const AS (SELECT stream_id, pos, i FROM j WHERE n >= 3 AND lo = hi),
+corr AS ({_CORR}), rel AS ({_RELATED})
+""" + islands + f"""
+, runs AS ({_RUNS}),
+marked AS (
+  SELECT v.stream_id, v.pos, string_agg(CASE WHEN c.i IS NULL THEN v.kv ELSE '·' || v.kv END, ' '
+    ORDER BY c.i IS NOT NULL, v.i) AS marked
+  FROM kvs v LEFT JOIN const c ON c.stream_id = v.stream_id AND c.pos = v.pos AND c.i = v.i
+  GROUP BY v.stream_id, v.pos)
+SELECT o.stream_id, o.pos, CASE WHEN NOT parsed THEN 'plain note on ' || kind || ' ' || k
+  ELSE clock || ' ' || declared || CASE WHEN lvl = eff THEN '' ELSE '→' || label END || '  ' ||
+    coalesce('⟨' || corr.corr || '⟩ ', '') || message ||
+    CASE WHEN runs.repeat > 1 THEN '  ×' || runs.repeat ELSE '' END || '  ' || marked.marked ||
+    coalesce(chr(10) || '    ↳ likely related: ' || rel.summary || ' @' || rel.related_clock, '')
+  END AS line
+FROM rec o LEFT JOIN corr ON corr.stream_id = o.stream_id AND corr.pos = o.pos
+LEFT JOIN rel ON rel.stream_id = o.stream_id AND rel.pos = o.pos
+LEFT JOIN marked ON marked.stream_id = o.stream_id AND marked.pos = o.pos
+LEFT JOIN runs ON runs.stream_id = o.stream_id AND runs.head_pos = o.pos
+WHERE ({shown}) AND (NOT parsed OR runs.head_pos IS NOT NULL)"""
+
+
+@query(_pipeline_sql("TRUE"))
 def pipeline_lines(spark, sf_dir):
-    """Everything at once, as text; its parts are checked by the queries above."""
+    """Everything at once, as text: tags, links, constant fields and counts."""
     return render.format_lines(run(log_lines(spark, sf_dir)))
 
 
+@query(_pipeline_sql("NOT parsed OR (eff >= 2 AND kv AND method <> 'M2')"))
+def pipeline_filtered(spark, sf_dir):
+    """The filter comes before every window, which then sees shown records only."""
+    return render.format_lines(
+        run(log_lines(spark, sf_dir), Options(level="info", fields=["rpc.method="],
+                                              pattern=r"^M[0134]$|note"))
+    )
+
+
 @query(_normalized_sql("pos % 6"))
 def stream_normalize(spark, sf_dir):
     """The lines as a stream of files, decoded on the way and appended to a table."""
