@@ -165,13 +165,57 @@ for _i, _name in enumerate(FORMATS):
     query(_normalized_sql(str(_i)), f"normalize_{_name}")(
         lambda spark, sf_dir, fmt=_name: _normalized(log_lines(spark, sf_dir, fmt))
     )
-    if _name not in ("text", "logfmt"):
+    if _name != "text":
         # The decoder alone, told its format.
         query(_normalized_sql(str(_i)), f"forced_{_name}")(
             lambda spark, sf_dir, fmt=_name: _normalized(log_lines(spark, sf_dir, fmt), fmt)
         )
 
 
+@query(_normalized_sql("5"))
+def forced_text(spark, sf_dir):
+    """Told to be text, even JSON is kept as it is."""
+    return _normalized(log_lines(spark, sf_dir, "json"), "text")
+
+
+@query(r"""
+WITH e AS (SELECT 's' AS stream_id, event_id AS pos, event_id::VARCHAR AS n FROM events),
+v AS (SELECT stream_id, pos, unnest([
+    {i: 0, format: 'json', us: ((1782691200 + pos) * 1000 + 7) * 1000, level: 3, message: 'v ' || n,
+     f: 'lvl=Warning meta={"n":1.50,"t":[' || n || ',null],"s":"\u00e9"} q='},
+    {i: 1, format: 'json', us: 1782700133500000, level: 4, message: 'a"b\c é ' || n, f: 'late=WARN'},
+    {i: 2, format: 'logfmt', us: (1782691200 + pos) * 1000000, level: 2,
+     message: 'say "' || n || '"' || chr(9) || 'x', f: 'bare= url=a?b=c'},
+    {i: 3, format: 'logrus', us: NULL, level: 3, message: 'kiln ' || n, f: 'elapsed=0007 heat=' || n},
+    {i: 4, format: 'text', us: NULL, level: 0, message: '', f: ''},
+    {i: 5, format: 'text', us: NULL, level: 0, message: '', f: ''}]) AS x FROM e)
+SELECT stream_id, pos * 6 + x.i AS pos, x.format <> 'text' AS parsed, x.format AS format,
+  x.us::VARCHAR AS ts_us, x.level AS level, x.message AS message, x.f AS fields_text FROM v""")
+def normalize_variants(spark, sf_dir):
+    """Nested values and number literals, escapes, several aliases, offsets and epochs,
+    elapsed seconds, and lines that only look like a format."""
+    n = F.col("event_id").cast("string")
+    second = (F.lit(1782691200) + F.col("event_id")).cast("string")
+
+    def line(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    raws = F.array(
+        line('{"ts":', second, '007,"lvl":"Warning","severity":"warn","msg":"","message":"v ', n,
+             '","meta":{"n": 1.50, "t":[', n, r', null],"s":"\u00e9"},"q":null}'),
+        line(r'{"time":"2026-06-29T04:28:53.5+02:00","level":"error","msg":"a\"b\\c \u00e9 ', n,
+             '","late":"WARN"}'),
+        line("ts=", second, r' level=info msg="say \"', n, r'\"\tx" bare url=a?b=c'),
+        line("WARN[0007] kiln ", n, "  heat=", n),
+        line('level=info msg="open ', n),
+        line('{"a":', n, "} x"),
+    )
+    events = table(spark, sf_dir, "events").select("event_id", F.posexplode(raws).alias("i", "raw"))
+    lines = events.select(
+        F.lit("s").alias("stream_id"), (F.col("event_id") * 6 + F.col("i")).alias("pos"), "raw")
+    return _normalized(lines).drop("clock")
+
+
 @query(_normalized_sql("pos % 6"))
 def normalize_mixed(spark, sf_dir):
     return _normalized(log_lines(spark, sf_dir))
