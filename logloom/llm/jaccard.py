@@ -15,16 +15,20 @@ prefix occur in the partner, and so in the partner's prefix. Long sets have more
 groups, so that pairs stay few; a set near a limit of size is indexed for both
 sides of it. Sets too small to link with any other are not indexed.
 
-*Frequent tokens* are found in all documents: a token over ``share`` of the
-documents is over it in some block of them, so blocks report their own heavy
-tokens and the reports are added up. Any choice of them is right; they only keep
-index entries short. Less than ``tokens per document / share`` can pass, so the
-list that tasks get is bounded whatever the size of the corpus.
-
-*Verification* never takes all pairs of a group of near copies: in two rounds
-each class is compared with a pivot that shares an index entry, and those that
-link take its label. Afterwards only pairs of different labels that share an
-entry are compared, all of them. Nothing is capped.
+*Frequent tokens* are counted over all documents. Only tokens in the lowest fifth of
+the hashes can be rare, so only those are counted; the others belong to the
+frequent class from the start, which is as right (any split is) and last in the
+order. Rare tokens occur in fewer than ``RARE`` documents, or than ``share`` of them
+in a large corpus: less than ``tokens per document / share`` can then be frequent,
+which bounds the list that tasks get whatever the size of the corpus.
+
+*Verification* never takes all pairs of a group of near copies: first each class
+is compared with the likeliest of the pivots that share an index entry with it,
+and classes that link so get one label. Afterwards only pairs of different labels
+that share an entry are compared, all of them. Nothing is capped. A pair's sets
+are fetched only if its sketches allow a link: a sketch holds the parities of the
+tokens that fall on each of its bits, so the bits in which two sketches differ are
+at most the tokens in which the sets differ.
 
 Defined results: null, empty and blank texts have no tokens, 0 shingles and their
 own id; a null id has a null component and links with nothing; repeated rows get
@@ -46,8 +50,13 @@ from .common import materialize
 
 #: Limits of set sizes and numbers of groups of frequent tokens up to them.
 LEVELS = ((128, 8), (1024, 32), (8192, 128), (None, 1024))
-#: Tokens that a task holds before it counts them as a block.
+#: Tokens below this hash, a fifth of all, can be rare; from how many documents they are not.
+LOW = -(2**63) + 2**64 // 5
+RARE = 8
+#: Tokens that a task holds before it sums them up.
 BLOCK = 2_000_000
+#: Words of 64 bits in a sketch, for sets below and from a size on.
+SKETCH = ((2048, 8), (None, 64))
 
 
 @dataclass(frozen=True)
@@ -57,7 +66,7 @@ class Join:
 
     words: int = 3
     percent: int = 90
-    share: float = 5e-4
+    share: float = 1e-5
 
     def missing(self, n: int) -> int:
         return n - -(-self.percent * n // 100)
@@ -114,6 +123,14 @@ def tokens(text: str | None, n: int, known: _Words) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
+def sketch(t: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens on each bit."""
+    size = next(k for limit, k in SKETCH if limit is None or len(t) < limit)
+    at = (_mix(t.view(np.uint64)) % np.uint64(64 * size)).astype(np.int64)
+    bits = (np.bincount(at, minlength=64 * size) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
 def _class(t: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     import xxhash
@@ -130,50 +147,61 @@ _I64 = pa.int64()
 
 
 def _profiled(docs: DataFrame, join: Join) -> DataFrame:
-    """A row per document (``kind`` 0: id, class, size) and the heavy tokens of blocks (1)."""
-    names = ["kind", "doc_id", "h1", "h2", "n"]
+    """A row per document: id, class, size, sketch."""
+    names = ["doc_id", "h1", "h2", "n", "sketch"]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for b in batches:
+            out = [[] for _ in names]
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = tokens(text, join.words, known)
+                row = (doc, *_class(t), len(t), sketch(t) if len(t) >= join.smallest() else None)
+                for column, v in zip(out, row):
+                    column.append(v)
+            yield _batch(out, [_I64] * 4 + [pa.list_(_I64)], names)
+
+    schema = ", ".join(f"{c} long" for c in names[:-1]) + ", sketch array<long>"
+    return docs.mapInArrow(profile, schema)
+
+
+def _low_counts(docs: DataFrame, join: Join) -> DataFrame:
+    """``token, n``: documents per low token, summed within blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size, seen = _Words(), [], 0, set()
 
-        def heavy():
+        def block():
             all_, counts = np.unique(np.concatenate(held), return_counts=True)
-            big = counts >= max(4, join.share * len(held))
-            k = int(big.sum())
-            return _batch([[1] * k, [None] * k, all_[big], [None] * k, counts[big]], [_I64] * 5, names)
+            for i in range(0, len(all_), 200_000):
+                yield _batch([all_[i:i + 200_000], counts[i:i + 200_000]], [_I64] * 2, ["token", "n"])
 
         for b in batches:
-            out = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text in b.column(0).to_pylist():
                 t = tokens(text, join.words, known)
-                h1, h2 = _class(t)
-                for column, v in zip(out, (0, doc, h1, h2, len(t))):
-                    column.append(v)
-                if len(t) >= join.smallest() and h1 not in seen:  # copies in a block count once
-                    seen.add(h1)
-                    held.append(t)
-                    size += len(t)
-                    if size >= BLOCK:
-                        yield heavy()
-                        held, size = [], 0
-                        seen.clear()
-            yield _batch(out, [_I64] * 5, names)
+                if len(t) < join.smallest() or (c := _class(t)) in seen:  # copies in a block count once
+                    continue
+                seen.add(c)
+                held.append(t[:np.searchsorted(t, LOW)])
+                size += len(held[-1])
+                if size >= BLOCK:
+                    yield from block()
+                    held, size = [], 0
+                    seen.clear()
         if held:
-            yield heavy()
+            yield from block()
 
-    return docs.mapInArrow(profile, ", ".join(f"{c} long" for c in names))
+    return docs.select("text").mapInArrow(count, "token long, n long")
 
 
 def signatures(t: np.ndarray, frequent: np.ndarray, join: Join) -> np.ndarray:
     """Index entries of a set."""
     n = len(t)
     need = join.missing(n) + 1
+    often = t >= LOW
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
-        often = frequent[at] == t
-        rare, common = t[~often], t[often]
-    else:
-        rare, common = t, t[:0]
+        often |= frequent[np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)] == t
+    rare, common = t[~often], t[often]
     entries = [_mix(rare[:need].view(np.uint64))]
     need -= len(entries[0])
     if need > 0:
@@ -230,33 +258,53 @@ def _indexed(docs: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
     return docs.select("text").mapInArrow(index, ", ".join(f"{c} long" for c in names))
 
 
-def _sets(docs: DataFrame, join: Join) -> DataFrame:
-    names = ["id", "h1", "h2", "tokens"]
+def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """``id, tokens`` of the wanted classes (``id, h1, h2``), from the text of that id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(ids), 500):
-                found = [tokens(t, join.words, known) for t in texts[i:i + 500]]
-                classes = [_class(t) for t in found]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[i:i + 500], _I64), pa.array([c[0] for c in classes], _I64),
-                    pa.array([c[1] for c in classes], _I64),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), _I64)),
-                ], names)
-
-    return docs.mapInArrow(sets, "id long, h1 long, h2 long, tokens array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Those ``x, y`` that link."""
+            columns = [c.to_pylist() for c in b.columns]
+            for i in range(0, b.num_rows, 500):
+                ids, found = [], []
+                for doc, text, h1, h2 in zip(*[c[i:i + 500] for c in columns]):
+                    t = tokens(text, join.words, known)
+                    if _class(t) == (h1, h2):
+                        ids.append(doc)
+                        found.append(t)
+                if ids:
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(ids, _I64),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), _I64)),
+                    ], ["id", "tokens"])
+
+    texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "h1", "h2")
+    return texts.mapInArrow(sets, "id long, tokens array<long>")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Tokens in which two sets differ at least; sketches of two sizes say nothing."""
+    differ = F.aggregate(
+        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    return F.when(F.size(a) == F.size(b), differ).otherwise(0)
+
+
+def _able(apart: Column, n: Column, m: Column, join: Join) -> Column:
+    return apart * (100 + join.percent) <= (n + m) * (100 - join.percent)
+
+
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Those ``x, y`` that link, by their whole sets."""
+    pairs = materialize(pairs)
+    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    sets = materialize(_sets(docs, classes.join(ids, "id", "left_semi").select("id", "h1", "h2"), join))
     a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("_a"))
     b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - both
-    return pairs.join(a, "x").join(b, "y").where(both * 100 >= union * join.percent).select("x", "y")
+    return materialize(
+        pairs.join(a, "x").join(b, "y").where(both * 100 >= union * join.percent).select("x", "y"))
 
 
 def _close(n: Column, m: Column, join: Join) -> Column:
@@ -293,34 +341,59 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("component")) if labels is None else labels
 
 
-def _star_round(index: DataFrame, labels: DataFrame, sets: DataFrame, join: Join, seed: int):
-    """Compare each class with one pivot; the links found and the new labels."""
-    members = index.join(labels, "id")
-    order = F.xxhash64(F.lit(seed), F.col("id"))
-    pivot = F.min(F.struct(order.alias("o"), F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("m")))
-    pivots = members.groupBy("entry").agg(
-        pivot.alias("p"), F.min("label").alias("_l"), F.max("label").alias("_h")
-    ).where("_l <> _h").select("entry", "p.*")
-    met = members.join(pivots, "entry").where((F.col("label") != F.col("ly")) & _close(F.col("n"), F.col("m"), join))
-    one = met.groupBy(F.col("id").alias("x")).agg(F.min(F.struct("o", "y")).alias("p")).select("x", "p.y")
-    links = materialize(_verified(one, sets, join))
-    # A pivot comes first in the round's order, so labels never go in circles.
-    target = links.join(labels.select(F.col("id").alias("y"), F.col("label").alias("to")), "y").select(
-        F.col("x").alias("id"), "to")
-    moved = materialize(labels.join(target, "id", "left").select(
-        "id", F.coalesce("to", "label").alias("label")))
-    return links, moved
+def _with_pivots(index: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Each class with up to three pivots of its index entries, the likeliest to link.
+
+    Entries name five pivots: the class with most entries, which is apt to be the
+    middle of a group, and four by hash.
+    """
+    degree = index.groupBy("id").agg(F.count("*").alias("degree"))
+    members = index.join(degree, "id")
+    orders = [-F.col("degree"), *[F.xxhash64(F.lit(seed), "id") for seed in range(1, 5)]]
+    pivots = members.groupBy("entry").agg(*[
+        F.min(F.struct(o.alias("o"), F.col("id").alias("y"), F.col("n").alias("m"))).alias(f"p{k}")
+        for k, o in enumerate(orders)])
+    pivots = pivots.select("entry", *[F.struct(f"p{k}.y", f"p{k}.m").alias(f"p{k}") for k in range(5)])
+    met = index.join(pivots, "entry").select(
+        "id", "n", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(5)]))).alias("p"))
+    met = met.where((F.col("id") != F.col("p.y")) & _close(F.col("n"), F.col("p.m"), join)).select(
+        F.col("id").alias("x"), "p.y").distinct()
+    side = lambda c: classes.select(
+        F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    met = met.join(side("x"), "x").join(side("y"), "y").withColumn("apart", _apart(F.col("sx"), F.col("sy")))
+    met = met.where(_able(F.col("apart"), F.col("nx"), F.col("ny"), join))
+    # The nearest in each third of the pivots.
+    third = F.pmod(F.xxhash64("y"), F.lit(3))
+    chosen = met.groupBy("x").agg(*[
+        F.min(F.when(third == k, F.struct("apart", "y"))).alias(f"p{k}") for k in range(3)])
+    near = F.filter(F.array(*[f"p{k}.y" for k in range(3)]), lambda y: y.isNotNull())
+    return chosen.select("x", F.explode(near).alias("y"))
+
+
+def _across(index: DataFrame, labels: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """All pairs of different labels that share an entry and whose sketches allow a link."""
+    members = index.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+        "entry", "id", "n", F.coalesce("component", "id").alias("label"))
+    open_ = members.groupBy("entry").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h")
+    members = members.join(open_.select("entry"), "entry", "left_semi").join(
+        classes.select("id", "sketch"), "id")
+    a = members.select("entry", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("_n"),
+                       F.col("sketch").alias("sx"))
+    b = members.select("entry", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("_m"),
+                       F.col("sketch").alias("sy"))
+    n, m = F.col("_n"), F.col("_m")
+    met = (a["entry"] == b["entry"]) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly"))
+    near = _close(n, m, join) & _able(_apart(F.col("sx"), F.col("sy")), n, m, join)
+    return a.join(b, met & near).select("x", "y").distinct()
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = materialize(_profiled(docs, join))
-    rows = profile.where("kind = 0").drop("kind")
-    total = rows.count()
-    frequent = profile.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("c")).where(
-        F.col("c") >= max(8, join.share * total)).select("h1")
-    frequent = np.sort(np.array([r.h1 for r in frequent.collect()], np.int64))
+    rows = materialize(_profiled(docs, join))
+    counts = _low_counts(docs, join).groupBy("token").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") >= max(RARE, join.share * rows.count())).select("token")
+    frequent = np.sort(np.asarray(often.toArrow().column(0).to_numpy(), np.int64))
 
     # Entries with two classes or more; which those are needs no list per entry.
     index = _indexed(docs, frequent, join)
@@ -328,35 +401,18 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     index = index.select(
         "*", *[f(c).over(entry).alias(f"_{f.__name__}{c}") for c in ("h1", "h2") for f in (F.min, F.max)]
     ).where("_minh1 <> _maxh1 or _minh2 <> _maxh2").select("entry", "h1", "h2", "n").distinct()
-    classes = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("id"))
-    classes = materialize(classes)
-    index = materialize(index.join(classes, ["h1", "h2"]))
-    able = index.select("h1", "h2", "id").distinct()
-    # Only the texts that stand for a class in the index are read for comparison.
-    texts = docs.join(able.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = materialize(_sets(texts.select("doc_id", "text"), join).join(
-        able, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"]).select("id", "tokens"))
-    index = index.select("entry", "id", "n")
-
-    labels = materialize(able.select("id").distinct().withColumn("label", F.col("id")))
-    found = []
-    for seed in (1, 2):
-        links, labels = _star_round(index, labels, sets, join, seed)
-        found.append(links)
-    members = index.join(labels, "id")
-    open_ = members.groupBy("entry").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h")
-    members = members.join(open_.select("entry"), "entry", "left_semi")
-    a = members.select("entry", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    b = members.select("entry", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-    rest = a.join(b, "entry").where(
-        (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _close(F.col("nx"), F.col("ny"), join)
-    ).select("x", "y").distinct()
-    found.append(_verified(rest, sets, join))
-    edges = found[0].unionByName(found[1]).unionByName(found[2])
+    classes = materialize(rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    index = materialize(index.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select("entry", "id", "n"))
+
+    found = _links(_with_pivots(index, classes, join), docs, classes, join)
+    labels = components(found)
+    # Links found so far are kept as labels of their nodes.
+    more = _links(_across(index, labels, classes, join), docs, classes, join)
+    edges = more.unionByName(labels.select(F.col("node").alias("x"), F.col("component").alias("y")))
     reached = components(edges)
 
-    named = rows.join(classes, ["h1", "h2"], "left").join(
+    named = rows.join(classes.select("h1", "h2", "id"), ["h1", "h2"], "left").join(
         reached.withColumnRenamed("node", "id"), "id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
