@@ -341,32 +341,43 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("component")) if labels is None else labels
 
 
-def _with_pivots(index: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """Each class with up to three pivots of its index entries, the likeliest to link.
-
-    Entries name five pivots: the class with most entries, which is apt to be the
-    middle of a group, and four by hash.
-    """
-    degree = index.groupBy("id").agg(F.count("*").alias("degree"))
-    members = index.join(degree, "id")
-    orders = [-F.col("degree"), *[F.xxhash64(F.lit(seed), "id") for seed in range(1, 5)]]
-    pivots = members.groupBy("entry").agg(*[
+def _met(index: DataFrame, order: list[Column], classes: DataFrame, join: Join) -> DataFrame:
+    """``x, y, nx, ny, apart``: classes and the pivots of their entries, the first by each order."""
+    pivots = index.groupBy("entry").agg(*[
         F.min(F.struct(o.alias("o"), F.col("id").alias("y"), F.col("n").alias("m"))).alias(f"p{k}")
-        for k, o in enumerate(orders)])
-    pivots = pivots.select("entry", *[F.struct(f"p{k}.y", f"p{k}.m").alias(f"p{k}") for k in range(5)])
-    met = index.join(pivots, "entry").select(
-        "id", "n", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(5)]))).alias("p"))
+        for k, o in enumerate(order)])
+    named = F.array_distinct(F.array(*[F.struct(f"p{k}.y", f"p{k}.m") for k in range(len(order))]))
+    met = index.join(pivots.select("entry", named.alias("p")), "entry").select("id", "n", F.explode("p").alias("p"))
     met = met.where((F.col("id") != F.col("p.y")) & _close(F.col("n"), F.col("p.m"), join)).select(
         F.col("id").alias("x"), "p.y").distinct()
     side = lambda c: classes.select(
         F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    met = met.join(side("x"), "x").join(side("y"), "y").withColumn("apart", _apart(F.col("sx"), F.col("sy")))
+    met = met.join(side("x"), "x").join(side("y"), "y")
+    return met.select("x", "y", "nx", "ny", _apart(F.col("sx"), F.col("sy")).alias("apart"))
+
+
+def _with_pivots(index: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Each class with up to six pivots of its index entries, the likeliest to link.
+
+    Entries first name four pivots by hash. What a class is apart from those it
+    meets tells how central it is: the text that others were copied from is apart
+    from them by their edits only, the copies from each other by the edits of both.
+    Entries then name their most central class as one more pivot.
+    """
+    by_hash = [F.xxhash64(F.lit(seed), "id") for seed in range(1, 5)]
+    met = materialize(_met(index, by_hash, classes, join))
+    spread = met.groupBy(F.col("x").alias("id")).agg(F.avg(F.col("apart") / F.col("nx")).alias("spread"))
+    central = index.join(spread, "id")
+    met = met.withColumn("kind", F.lit(0)).unionByName(
+        _met(central, [F.col("spread")], classes, join).withColumn("kind", F.lit(1)))
     met = met.where(_able(F.col("apart"), F.col("nx"), F.col("ny"), join))
-    # The nearest in each third of the pivots.
+    # The nearest in each third of the pivots, of either kind.
     third = F.pmod(F.xxhash64("y"), F.lit(3))
+    names = [f"p{kind}{k}" for kind in (0, 1) for k in range(3)]
     chosen = met.groupBy("x").agg(*[
-        F.min(F.when(third == k, F.struct("apart", "y"))).alias(f"p{k}") for k in range(3)])
-    near = F.filter(F.array(*[f"p{k}.y" for k in range(3)]), lambda y: y.isNotNull())
+        F.min(F.when((F.col("kind") == int(c[1])) & (third == int(c[2])), F.struct("apart", "y"))).alias(c)
+        for c in names])
+    near = F.array_distinct(F.filter(F.array(*[f"{c}.y" for c in names]), lambda y: y.isNotNull()))
     return chosen.select("x", F.explode(near).alias("y"))
 
 
