@@ -103,7 +103,7 @@ def test_license_matches(docs_of):
     got = {r.doc_id: r for r in licenses.scanned(docs_of(rows)).collect()}
     assert len(got) == len({i for i, _ in rows}) and got[1].n_words == 0 and got[1].matches == []
     found = [(m.label, m.start, m.end) for m in got[9].matches]
-    assert found == [("mit", 0, 4), ("cc-by-nc", 4, 7), ("cc-by-nc", 7, 10), ("apache-2-notice", 10, 17),
+    assert found == [("mit", 0, 4), ("cc-by-nc", 4, 7), ("cc-by-nc", 7, 10), ("apache-2-notice", 10, 18),
                      ("apache-2", 13, 17)]
 
 
