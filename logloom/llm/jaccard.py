@@ -13,7 +13,11 @@ its rare tokens, plus those of each group less one, number ``t + 1``; then at le
 one rare token, or two frequent tokens of one group, of the shorter-reaching
 prefix occur in the partner, and so in the partner's prefix. Long sets have more
 groups, so that pairs stay few; a set near a limit of size is indexed for both
-sides of it. Sets too small to link with any other are not indexed.
+sides of it. A number of groups is used only from the size on at which a whole set
+has enough tokens beside the first of each group; smaller sets have one group, and
+below two common tokens their tokens are indexed by themselves. The level of the
+smaller set of a pair so suffices for both, at any percent. Sets too small to link
+with any other are not indexed.
 
 *Frequent tokens* are counted over all documents. Only tokens in the lowest fifth of
 the hashes can be rare, so only those are counted; the others belong to the
@@ -76,15 +80,17 @@ class Join:
         return -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1 << 62
 
     def levels(self, n: int) -> list[int]:
-        """Numbers of groups to index a set of ``n`` tokens for."""
+        """Numbers of groups to index a set of ``n`` tokens for; 0 is for single tokens."""
         low, high = -(-self.percent * n // 100), 100 * n // self.percent
+        starts = [(1, 0), (100 // self.percent + 1, 1)]
         first = 0
-        out = []
         for limit, groups in LEVELS:
-            if high >= first and (limit is None or low < limit):
-                out.append(groups)
+            groups *= max(1, (100 - self.percent) // 10)  # longer prefixes
+            # From here on linked sets have more tokens in common than there are groups.
+            starts.append((max(first, 100 * groups // self.percent + 1), groups))
             first = limit
-        return out
+        ends = [start for start, _ in starts[1:]] + [high + 1]
+        return [groups for (start, groups), end in zip(starts, ends) if high >= start and low < end]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -206,6 +212,9 @@ def signatures(t: np.ndarray, frequent: np.ndarray, join: Join) -> np.ndarray:
     need -= len(entries[0])
     if need > 0:
         for groups in join.levels(n):
+            if not groups:
+                entries.append(_mix(common[:need].view(np.uint64)))
+                continue
             group = (_mix(common.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
             # Tokens that are not the first of their group count.
             first = np.zeros(len(common), bool)

@@ -86,6 +86,29 @@ def test_prefixes_of_linked_sets_share_an_entry(share):
         assert set(jaccard.signatures(t, frequent, join)) & set(jaccard.signatures(other, frequent, join)), n
 
 
+@pytest.mark.parametrize("percent", [30, 50, 67, 80, 85, 90, 95])
+def test_prefixes_of_linked_sets_share_an_entry_at_any_percent(percent):
+    rng = np.random.default_rng(percent)
+    join = jaccard.Join(percent=percent)
+    least = join.smallest()
+    for n in [n for n in (*range(least, 60), 127, 150, 1100, 9000) for _ in range(8 if n < 60 else 1)]:
+        t = np.unique(rng.integers(-2**63, 2**63 - 1, n, dtype=np.int64))
+        for gone in {0, int(rng.integers(0, join.missing(n) + 1)), join.missing(n)}:
+            other = np.delete(t, rng.choice(n, gone, replace=False))
+            more = 100 * len(other) // percent - n  # tokens of its own that still allow the link
+            other = np.union1d(other, rng.integers(-2**63, 2**63 - 1, max(0, more), dtype=np.int64))
+            both, k = np.union1d(t, other), len(np.intersect1d(t, other))
+            assert 100 * k >= percent * len(both)
+            for share in (0.0, 0.3, 1.0):
+                frequent = np.sort(rng.choice(both, int(share * len(both)), replace=False))
+                a, b = (set(jaccard.signatures(x, frequent, join)) for x in (t, other))
+                assert a & b, (n, len(other), share)
+
+
+def test_entries_at_90_percent_need_no_small_levels():
+    assert [jaccard.Join().levels(n) for n in (9, 10, 100, 120, 5000)] == [[8], [8], [8], [8, 32], [128]]
+
+
 def test_sketches_never_overstate(docs_of):
     rng = np.random.default_rng(1)
     for n in (50, 700, 1900):
