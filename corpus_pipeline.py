@@ -6,7 +6,9 @@ read again as the next stage's ``docs``. All but the last return the columns of
 ``docs``.
 
 1. ``toxicity``: documents predicted toxic go.
-2. ``ngram_jaccard``: of each group of near duplicates the smallest id stays.
+2. ``ngram_jaccard``: of each group of near duplicates the smallest id stays. Texts
+   are near duplicates from 80 percent of their distinct 5-word shingles (the query
+   op4 has its own contract, 3 words and 90 percent).
 3. ``pii``: personal data in the texts is replaced by its kind; all rows stay.
 4. ``mixing``: sources meet their target weights; a row is there as often as it is
    taken, the one at a source's cut with the words inside the budget.
@@ -27,13 +29,17 @@ from logloom.llm.common import materialize, table, tokenizer_path
 from logloom.sources.materialize import new_folder
 
 
+#: Word shingles and similarity of near duplicates in the corpus.
+NEAR = jaccard.Join(words=5, percent=80)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.scores(docs, table(spark, sf_dir, "labels"))
     return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialize(jaccard.linked(docs).where(F.col("doc_id").isNotNull()))
+    groups = materialize(jaccard.linked(docs, NEAR).where(F.col("doc_id").isNotNull()))
     stays = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
         F.count("*").alias("_rows"))
     stays = materialize(stays)

@@ -59,6 +59,43 @@ def test_jaccard_join_equals_brute_force(docs_of):
     assert sorted(tuple(r) for r in got.collect()) == _brute(rows)
 
 
+def _brute_near(rows):
+    """Five words, 80 percent: the smallest id reached, by labels passed on until none changes."""
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    label, before = {i: i for i in sets}, None
+    while before != label:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return sorted((i, len(sets[i]), label[i]) for i in sets)
+
+
+def test_near_stage_takes_five_words_and_80_percent(spark, docs_of):
+    rng = random.Random(21)
+    rows, n = [], 0
+    for size in (8, 9, 10, 12, 14, 24, 50, 135, 450):
+        stem = [f"s{size}x{i}" for i in range(size)]
+        rows.append((n := n + 1, " ".join(stem)))
+        for cut in range(1, 4):  # shortened copies, then spread edits about the limit
+            rows.append((n := n + 1, " ".join(stem[:-cut])))
+        for part in (0.015, 0.02, 0.024, 0.03):
+            k = round(part * size)
+            text = list(stem)
+            for i in range(k):
+                text[(2 * i + 1) * size // (2 * k)] = f"e{rng.randrange(10**9)}"
+            rows.append((n := n + 1, " ".join(text)))
+    want = _brute_near(rows)
+    assert want != [(i, m, c) for (i, m, _), (*_, c) in zip(want, _brute(rows))]
+    got = jaccard.linked(docs_of(rows), corpus_pipeline.NEAR)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    kept = corpus_pipeline.ngram_jaccard_stage(spark, docs_of(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in want})
+
+
 def test_jaccard_edges(docs_of):
     same = "one two three four five six seven eight nine ten eleven"
     got = jaccard.linked(docs_of([(5, same), (5, same), (3, same), (None, same), (8, None)])).collect()
