@@ -7,7 +7,12 @@ Boosted trees over format and context features, which leave the verification
 itself out, learn from all candidates of the corpus what verified data look like
 and where they stand; candidates that fail verification but score above their
 generator's calibrated threshold are added (a mistyped card number after other
-card numbers, a secret after ``token =``).
+card numbers).
+
+Secrets have evidence of their own, which the features leave out: a secret bears the prefix of a known key format, or mixes letters and digits
+and is assigned to the name of a secret (``token = ...``). What has evidence is
+always added, as of the added kinds; trees add to it what looks and stands alike.
+Digests, paths and slugs elsewhere have none.
 
 Features are small integers, so the training set is a table of counts with one
 row per combination, bounded by the product of the features' ranges (about
@@ -45,6 +50,18 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Generators beside the base formats.
 SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"
 WRITTEN_AT = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9.-]++"
+#: Evidence: known key formats; a name that secrets are
+#: assigned to; letters and digits mixed in a run, as in no slug, path or date.
+KEY_FORMATS = (
+    r"^(?:[spr]k_(?:live|test)_[A-Za-z0-9]{12,}|whsec_[A-Za-z0-9+/]{20,}|sk-(?:[a-z0-9]+-){0,2}[A-Za-z0-9_]{20,}|"
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[oprsu]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{16,}|"
+    r"xox[abeoprs]-[0-9A-Za-z-]{12,}|AIza[A-Za-z0-9_-]{30,}|npm_[A-Za-z0-9]{30,}|eyJ[A-Za-z0-9_-]{17,})"
+)
+ASSIGNED = (
+    r"(?i)(?:token|secret|passw(?:or)?d|passwd|credentials?|(?:api|access|private|auth|secret|account)[\x20_-]?key|"
+    r"(?<![A-Za-z])(?:key|auth))[\"']?\s{0,4}(?:=>|:=|=|:)\s{0,4}[\"'`]?$|(?i)(?<![A-Za-z])bearer\s$"
+)
+MIXED = r"(?<![A-Za-z0-9+])(?=[A-Za-z+]*[0-9])(?=[0-9+]*[A-Za-z])[A-Za-z0-9+]{6,}"
 
 #: Kinds in their order: the base ones, then those the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -111,10 +128,10 @@ def _verified(generator: int, s: Column) -> Column:
     return F.lit(False)
 
 
-def _label(generator: int, s: Column) -> Column:
-    """What a candidate counts as when the trees are fitted."""
-    if generator == 5:  # a digest in hexadecimal notation
-        return s.rlike("^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$") & s.rlike("[0-9]") & s.rlike("[a-fA-F]")
+def _label(generator: int, s: Column, left: Column) -> Column:
+    """What a candidate counts as when the trees are fitted: verified, or with evidence."""
+    if generator == 5:
+        return s.rlike(KEY_FORMATS) | (left.rlike(ASSIGNED) & s.rlike(MIXED))
     return _verified(generator, s)
 
 
@@ -123,7 +140,7 @@ def _proposed(generator: int, s: Column) -> Column:
     if generator == 2:
         return F.length(_digits(s)).between(7, 19)
     if generator == 5:
-        return s.rlike("[0-9]")
+        return s.rlike("[0-9]") | s.rlike(KEY_FORMATS)
     return F.lit(True)
 
 
@@ -171,7 +188,7 @@ def _placed(text: Column, generator: int) -> Column:
                         _proposed(generator, s) | _verified(generator, s),
                         F.struct(
                             p["s"].alias("s"), p["e"].alias("e"), F.lit(generator).alias("g"),
-                            _verified(generator, s).alias("ok"), _label(generator, s).alias("y"),
+                            _verified(generator, s).alias("ok"), _label(generator, s, left).alias("y"),
                             F.array(*[
                                 x.cast("int") for x in _features(
                                     generator, s, left, F.left(F.get(gap, p["i"] + 1), F.lit(1)))
@@ -329,21 +346,20 @@ def base_spans(found: Column) -> Column:
 
 
 def _added(found: Column, base: Column, model: Model) -> Column:
-    """Unverified candidates above their threshold, the best of those that overlap."""
-    if not model.thresholds:
-        return F.array().cast(SPANS)
-    least = F.create_map(*[v for g, t in model.thresholds.items() for v in (F.lit(g), F.lit(t))])
+    """Unverified candidates with evidence or above their threshold, the best of those that overlap."""
+    known = [v for g, t in model.thresholds.items() for v in (F.lit(g), F.lit(t))]
+    least = F.create_map(*known) if known else F.lit(None).cast("map<int,double>")
     kinds = F.array(*[F.lit(k) for k in ADDS])
     open_ = F.filter(found, lambda c: ~c["ok"])
     scored = F.transform(open_, lambda c: F.struct(
         c["s"].alias("s"), F.get(kinds, c["g"]).alias("k"), c["e"].alias("e"),
-        model.column(c["x"]).alias("score"), F.try_element_at(least, c["g"]).alias("least")))
+        c["y"].alias("y"), model.column(c["x"]).alias("score"), F.try_element_at(least, c["g"]).alias("least")))
     # A rounding margin, since sums may be made in another order than at fitting.
-    able = F.filter(scored, lambda c: c["score"] >= c["least"] - 1e-9)
+    able = F.filter(scored, lambda c: c["y"] | (c["score"] >= c["least"] - 1e-9))
     free = F.filter(able, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
 
     def unbeaten(rest: Column) -> Column:
-        rank = lambda c: F.struct(-c["score"], c["s"], -c["e"], c["k"])
+        rank = lambda c: F.struct(~c["y"], -c["score"], c["s"], -c["e"], c["k"])
         return F.filter(rest, lambda c: ~F.exists(
             rest, lambda o: (o["s"] < c["e"]) & (c["s"] < o["e"]) & (rank(o) < rank(c))))
 

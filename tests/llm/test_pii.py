@@ -61,3 +61,20 @@ def test_method_adds_spans_and_redaction_covers_all(docs_of):
     assert clean[3].text == 'Set token = "<SECRET>" and mail <EMAIL> now'
     assert clean[3].n_chars == len(clean[3].text) and clean[77].text is None
     assert pii.redact(docs_of([])).count() == 0
+
+
+def test_secrets_need_no_hexadecimal_form(docs_of):
+    secrets = ["sk_" + "live_4eC39HqLyjWDarjtT1zdp7dc", "AKIA" + "IOSFODNN7EXAMPLE", "ghp_" + "16C7e42F292c6912E7710c838347Ae178B4a",
+               "AKIA" + "IOSFODNNQEXAMPLE"]
+    assigned = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA",
+                "0b6e9f0c-7f0e-4b57-9d0e-3f6c1a2b4d5e"]
+    clean = ["commit 11acdfb36bb72224148e6160f674b4be45601bff fixes it", "md5 9e107d9d372bb6826bd81d3542a419d6  a.tar",
+             "see https://site.org/blog/2024/03/some-long-title-here now", "the slug top-10-places-to-see-in-2024 is long",
+             "key: /blog/2024/03/some-long-title-here"]
+    rows = [(i, f"The value {s} stands alone") for i, s in enumerate(secrets)]
+    rows += [(10 + i, f"api_key: '{s}' was set") for i, s in enumerate(assigned)]
+    rows += [(100 + 10 * k + i, t) for k in range(30) for i, t in enumerate(clean)]  # far more clean ones
+    got = {r.doc_id: r.text for r in pii.redact(docs_of(rows)).collect()}
+    assert [got[i] for i in range(len(secrets))] == ["The value <SECRET> stands alone"] * len(secrets)
+    assert [got[10 + i] for i in range(len(assigned))] == ["api_key: '<SECRET>' was set"] * len(assigned)
+    assert [got[100 + i] for i in range(len(clean))] == clean
