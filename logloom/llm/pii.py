@@ -9,7 +9,9 @@ and where they stand; candidates that fail verification but score above their
 generator's calibrated threshold are added (a mistyped card number after other
 card numbers).
 
-Secrets have evidence of their own, which the features leave out: a secret bears the prefix of a known key format, or mixes letters and digits
+The generators beside the base formats have evidence of their own, which the
+features leave out: an address written with ``at`` has a domain with a top-level
+part; a secret bears the prefix of a known key format, or mixes letters and digits
 and is assigned to the name of a secret (``token = ...``). What has evidence is
 always added, as of the added kinds; trees add to it what looks and stands alike.
 Digests, paths and slugs elsewhere have none.
@@ -49,9 +51,11 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Generators beside the base formats.
 SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"
-WRITTEN_AT = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9.-]++"
-#: Evidence: known key formats; a name that secrets are
+_DOT = r"(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)"
+WRITTEN_AT = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+"
+#: Evidence: a domain with a top-level part; known key formats; a name that secrets are
 #: assigned to; letters and digits mixed in a run, as in no slug, path or date.
+TOP_LEVEL = rf"{_DOT}(?:[A-Za-z]{{2,}}|xn--[A-Za-z0-9-]+)$"
 KEY_FORMATS = (
     r"^(?:[spr]k_(?:live|test)_[A-Za-z0-9]{12,}|whsec_[A-Za-z0-9+/]{20,}|sk-(?:[a-z0-9]+-){0,2}[A-Za-z0-9_]{20,}|"
     r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[oprsu]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{16,}|"
@@ -130,6 +134,8 @@ def _verified(generator: int, s: Column) -> Column:
 
 def _label(generator: int, s: Column, left: Column) -> Column:
     """What a candidate counts as when the trees are fitted: verified, or with evidence."""
+    if generator == 4:
+        return s.rlike(TOP_LEVEL)
     if generator == 5:
         return s.rlike(KEY_FORMATS) | (left.rlike(ASSIGNED) & s.rlike(MIXED))
     return _verified(generator, s)
@@ -204,7 +210,7 @@ def _placed(text: Column, generator: int) -> Column:
 
 CANDIDATES = "array<struct<s:int,e:int,g:int,ok:boolean,y:boolean,x:array<int>>>"
 #: Cheap tests that a generator can match at all.
-_NEEDS = ("@", r"[0-9]\.[0-9]", "[0-9]", r"\+[0-9]", r"[(\[]at[)\]]", r"[A-Za-z0-9_+/-]{20}")
+_NEEDS = ("@", r"[0-9]\.[0-9]", "[0-9]", r"\+[0-9]", r"[(\[](?i:at)[)\]]", r"[A-Za-z0-9_+/-]{20}")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -292,7 +298,8 @@ def boost(table, rounds: int = 30, rate: float = 0.3, precision: float = 0.9) ->
     """Trees by Newton steps on the logistic loss, then thresholds by generator.
 
     A threshold is the lowest score at which at least ``precision`` of a
-    generator's calibration candidates at or above it are verified ones.
+    generator's calibration candidates at or above it are verified ones; one without
+    calibration candidates takes those of the fit.
     """
     fit = [(x, n, p) for x, cal, n, p in table if not cal] or [(x, n, p) for x, _, n, p in table]
     if not fit:
@@ -315,10 +322,11 @@ def boost(table, rounds: int = 30, rate: float = 0.3, precision: float = 0.9) ->
         trees.append(Tree(test, *sides))
         scores = [s + trees[-1].value(x) for (x, _, _), s in zip(fit, scores)]
     model = Model(prior, tuple(trees))
-    held = [(x, n, p) for x, cal, n, p in table if cal] or fit
+    held = [(x, n, p) for x, cal, n, p in table if cal]
     thresholds = {}
     for g in range(len(GENERATORS)):
-        own = sorted(((model.score(x), n, p) for x, n, p in held if x[0] == g), reverse=True)
+        mine = [r for r in held if r[0][0] == g] or [r for r in fit if r[0][0] == g]
+        own = sorted(((model.score(x), n, p) for x, n, p in mine), reverse=True)
         n_sum = p_sum = 0
         for i, (s, n, p) in enumerate(own):
             n_sum, p_sum = n_sum + n, p_sum + p

@@ -63,6 +63,20 @@ def test_method_adds_spans_and_redaction_covers_all(docs_of):
     assert pii.redact(docs_of([])).count() == 0
 
 
+def test_addresses_written_with_at_are_redacted(docs_of):
+    rows = [(i, f"Write to jane{i} [at] site.org. Or look [at] this") for i in range(40)]
+    rows += [(50, "bob(AT)my-host.co.uk, or al.b [at] site [dot] org!"), (51, "meet (at) noon 7 [at] 8.30")]
+    got = {r.doc_id: r for r in pii.redact(docs_of(rows)).collect()}
+    assert got[3].text == "Write to <EMAIL_LIKE>. Or look [at] this"
+    assert got[50].text == "<EMAIL_LIKE>, or <EMAIL_LIKE>!"
+    assert got[51].text == rows[-1][1]
+    alone = pii.redact(docs_of([(1, "jane [at] site.org")])).collect()[0]
+    assert alone.text == "<EMAIL_LIKE>"
+    x = lambda **kw: tuple(kw.get(name, 0) for name, _ in pii.FEATURES)
+    table = [(x(generator=4, cue=1), False, 0, 60), (x(generator=4), False, 60, 0), (x(generator=0), True, 0, 5)]
+    assert 4 in pii.boost(table).thresholds  # without calibration candidates of its own
+
+
 def test_secrets_need_no_hexadecimal_form(docs_of):
     secrets = ["sk_" + "live_4eC39HqLyjWDarjtT1zdp7dc", "AKIA" + "IOSFODNN7EXAMPLE", "ghp_" + "16C7e42F292c6912E7710c838347Ae178B4a",
                "AKIA" + "IOSFODNNQEXAMPLE"]
