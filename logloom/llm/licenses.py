@@ -60,19 +60,49 @@ BASE = (
     Template("cc-by-nc", "cc by nc", True),
 )
 
-#: Short notices and the operative sentences of common licences.
+#: Whole licence texts: grant, conditions and disclaimer; free are names and list numbers.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files <<optional: (the "Software")>>, to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<optional: (including the next paragraph)>> shall be included in
+all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND <<var: NONINFRINGEMENT | NON-INFRINGEMENT>>.
+IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+<<optional: <<var: 1 | a | i>>>> Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer.
+<<optional: <<var: 2 | b | ii>>>> Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+<<optional: <<optional: <<var: 3 | c | iii>>>> <<var: Neither the name of <<var>> nor the names of
+<<var: its | their | other | any>> contributors may | Neither the name of <<var>> may | The name of <<var>> may not | The names of <<var>> may not>>
+be used to endorse or promote products derived from this software without specific prior written permission.>>
+THIS SOFTWARE IS PROVIDED BY <<var>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var>>
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = """Permission to use, copy, modify, and<<optional: /or>> distribute this software for any purpose with or without
+fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND <<var>> <<var: DISCLAIMS | DISCLAIM>> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY SPECIAL,
+DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+
+#: Short notices, and licence texts as a whole: an altered text has no label.
 TEMPLATES = (
     Template("mit-notice", "<<var: released | licensed | distributed | available>> under the "
              "<<optional: terms of the>> MIT <<var: license | licence>>"),
-    Template("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of "
-             "this software and associated documentation files <<optional: (the \"Software\")>>, to deal in "
-             "the Software without restriction"),
+    Template("mit-text", MIT),
     Template("apache-2-notice", "licensed under the Apache License, Version 2.0 "
              "<<optional: (the \"License\")>>"),
-    Template("bsd-text", "Redistribution and use in source and binary forms, with or without modification, "
-             "are permitted provided that the following conditions are met"),
-    Template("isc-text", "Permission to use, copy, modify, and<<optional: /or>> distribute this software for "
-             "any purpose with or without fee is hereby granted"),
+    Template("bsd-text", BSD),
+    Template("isc-text", ISC),
     Template("gpl-notice", "GNU <<optional: <<var: Lesser | Library | Affero>>>> General Public "
              "<<var: License | Licence>> <<optional: as published by the Free Software Foundation>>, "
              "<<optional: either>> version <<var: 1 | 2 | 3 | 2.0 | 2.1 | 3.0>>"),

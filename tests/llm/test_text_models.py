@@ -107,6 +107,32 @@ def test_license_matches(docs_of):
                      ("apache-2", 13, 17)]
 
 
+@pytest.mark.parametrize("name", ["mit-text", "bsd-text", "isc-text"])
+def test_altered_license_texts_are_not_accepted(name):
+    import re
+
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    labels = lambda text: [licenses.TEMPLATES[k].label for k, _, _ in scanner.scan(text)]
+    wording = next(t.wording for t in licenses.TEMPLATES if t.label == name)
+    # Innermost markup first: free regions become a name, choices their first, optional parts stay or go.
+    plain = [wording, wording]
+    for i, stays in enumerate((True, False)):
+        while "<<" in plain[i]:
+            plain[i] = re.sub(r"<<(optional:|var:|var)([^<>]*)>>", lambda m: (
+                "The Authors of X" if m[1] == "var" else m[2].split("|")[0] if m[1] == "var:" else m[2] * stays), plain[i])
+    for text in map(licenses.words, plain):
+        assert labels(["x", *text, "y"]) == [name]
+    text = licenses.words(plain[1])
+    named = {i for i, w in enumerate(text) if "authors" in text[max(0, i - 3):i + 4]}  # free regions and about them
+    for i in set(range(len(text))) - named:
+        assert name not in labels(text[:i] + ["altered"] + text[i + 1:]), text[i]
+        assert name not in labels(text[:i] + text[i + 1:]), text[i]
+    assert name not in labels(text[:len(text) // 2])
+    # A clause of one's own before the disclaimer.
+    at = next(i for i in range(len(text)) if text[i:i + 3] == ["software", "is", "provided"]) - 1
+    assert name not in labels(text[:at] + "the software shall be used for good not evil".split() + text[at:])
+
+
 def _repeats(words):
     from collections import Counter
 
