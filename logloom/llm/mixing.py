@@ -132,16 +132,26 @@ def mixed_rows(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
 
     The document at the cut keeps its words inside the budget. Columns are those
     of ``docs``; ``n_chars`` follows the text if it is there. Rows equal in id,
-    text and source share what they take evenly, rounded down.
+    text and source are taken one after the other, so all but one are whole or
+    absent beside their epochs, as in :func:`mix`.
     """
-    counts = mix(docs, seed=seed, **options).groupBy("doc_id", "key").agg(
-        F.min("epochs").alias("_epochs"), F.floor(F.sum("part") / F.count("*")).alias("_part")
+    counts = materialize(mix(docs, seed=seed, **options).groupBy("doc_id", "key").agg(
+        F.min("epochs").alias("_epochs"), F.sum("part").alias("_part"), F.count("*").alias("_rows")
     ).where((F.col("_epochs") > 0) | (F.col("_part") > 0)).select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "_epochs", "_part"
-    )
-    found = _keyed(docs, seed).join(
-        counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
-    )
+        F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "_epochs", "_part", "_rows"
+    ))
+
+    def rows(counts: DataFrame) -> DataFrame:
+        return _keyed(docs, seed).join(
+            counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+
+    found, again = rows(counts.where("_rows = 1")), counts.where("_rows > 1")
+    if not again.isEmpty():
+        whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+        place = F.row_number().over(Window.partitionBy("_id", "_k").orderBy(F.xxhash64(whole))) - 1
+        left = F.col("_part") - place * F.col("_size")
+        found = found.unionByName(rows(again).withColumn("_part", F.greatest(
+            F.lit(0).cast("long"), F.least(left, F.col("_size")))))
     sizes = F.concat(
         F.array_repeat(F.col("_size"), F.col("_epochs").cast("int")),
         F.filter(F.array(F.col("_part")), lambda n: n > 0),

@@ -163,6 +163,18 @@ def test_targets_fill_evenly(spark):
     assert got[None] == pytest.approx(40) and sum(got.values()) == pytest.approx(150)
 
 
+def test_repeated_rows_are_whole_or_absent_but_one(docs_of):
+    for n, text in ((1000, "w"), (30, "a b c d e f g")):
+        table = docs_of([(None, text, "en", "a")] * n + [(i, "x", "en", "b") for i in range(n * len(text.split()) // 5)])
+        want = Counter()
+        for r in mixing.mix(table).where("doc_id is null").collect():
+            want[r.size] += r.epochs
+            want[r.part] += 1
+        got = Counter(len(r.text.split()) for r in mixing.mixed_rows(table).where("doc_id is null").collect())
+        del want[0]
+        assert got == +want and sum(k not in (0, len(text.split())) for k in got.elements()) <= 1
+
+
 def test_mix_meets_targets(docs_of):
     rng = random.Random(9)
     rows = [(i, "w " * rng.randint(0, 40), "en", rng.choice(["a", "a", "a", "b", None])) for i in range(400)]
