@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, licenses, mixing, packing, pii, quality, topk, toxicity, warc
+from . import extraction, jaccard, language, licenses, mixing, packing, pii, quality, topk, toxicity, trie, warc
 import corpus_pipeline
 from logloom.sources.materialize import new_folder
 
@@ -107,6 +107,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_toxicity_kneser_ney": op1_toxicity_kneser_ney,
     "op2_warc_assembly": op2_warc_assembly,
@@ -118,6 +126,8 @@ QUERIES = {
     "op8_pii_boosting": op8_pii_boosting,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_html_extraction": op13_html_extraction,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -126,4 +136,6 @@ ORACLES = {
     "op4_ngram_jaccard": jaccard.SQL,
     "op6_license_templates": licenses.SQL,
     "op7_quality_cascade": quality.SQL,
+    "op11_prefix_trie": trie.SQL,
+    "op13_html_extraction": extraction.SQL,
 }
