@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, jaccard, language, licenses, mixing, packing, pii, quality, topk, toxicity, trie, warc
+from . import collocations, extraction, jaccard, language, licenses, mixing, packing, pii, quality, topk, toxicity, trie, warc
 import corpus_pipeline
 from logloom.sources.materialize import new_folder
 
@@ -111,6 +111,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -127,6 +131,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_html_extraction": op13_html_extraction,
     "pipeline": corpus_pipeline.run,
 }
@@ -137,5 +142,6 @@ ORACLES = {
     "op6_license_templates": licenses.SQL,
     "op7_quality_cascade": quality.SQL,
     "op11_prefix_trie": trie.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_html_extraction": extraction.SQL,
 }
