@@ -48,24 +48,24 @@ NODE = ["p1", "p2", "depth"]
 
 
 def _sums(rows: DataFrame, keys: list[str], slot: str, order: list, totals: dict[str, tuple]) -> DataFrame:
-    """Running totals per key, ``name: (aggregate, input, combine, nothing)``, in slices of order.
+    """Running totals per key, ``name: (aggregate, input, of totals, of two, nothing)``, in slices of order.
 
     ``slot`` numbers a key's slices. Each is summed by itself; keys of several slices then
     take up the totals of the slices before.
     """
     own = Window.partitionBy(*keys, slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumns({n: agg(x).over(own) for n, (agg, x, _, _) in totals.items()})
+    local = rows.withColumns({n: agg(x).over(own) for n, (agg, x, *_) in totals.items()})
     first = F.min(slot).over(Window.partitionBy(*keys))
     before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy(*keys, slot).agg(*[agg(x).alias(n) for n, (agg, x, _, _) in totals.items()])
+        rows.groupBy(*keys, slot).agg(*[agg(x).alias(n) for n, (agg, x, *_) in totals.items()])
         .withColumn("_first", first)
-        .withColumns({f"_{n}": agg(F.col(n)).over(before) for n, (agg, _, _, _) in totals.items()})
+        .withColumns({f"_{n}": whole(F.col(n)).over(before) for n, (_, _, whole, *_) in totals.items()})
         .where(F.col(slot) > F.col("_first")).select(*keys, slot, *[f"_{n}" for n in totals])
     )
     joined = local.join(starts, [*keys, slot], "left")
     shifted = {
-        n: combine(F.col(n), F.coalesce(f"_{n}", F.lit(nothing))) for n, (_, _, combine, nothing) in totals.items()
+        n: combine(F.col(n), F.coalesce(f"_{n}", F.lit(nothing))) for n, (_, _, _, combine, nothing) in totals.items()
     }
     return joined.withColumns(shifted).drop(*[f"_{n}" for n in totals])
 
@@ -74,6 +74,10 @@ def _xor(a: Column, b: Column) -> Column:
     return a.bitwiseXOR(b)
 
 
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """``conv_id, j, k1, k2, bytes``: a conversation's turns from 1 on, hashed where they are read."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
@@ -98,7 +102,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*place, "k1", "k2")]
         narrow = narrow.alias("l").join(tied.alias("r"), same, "left").select("l.*", "r.tie")
         tie = F.col("tie")
-    one = {"j": (F.count, F.lit(1), lambda a, b: a + b, 0)}
+    one = {"j": (F.count, F.lit(1), F.sum, _plus, 0)}
     return _sums(narrow, ["conv_id"], "_slot", [F.col("turn").asc_nulls_first(), tie], one).select(
         "conv_id", "j", "k1", "k2", "bytes")
 
@@ -112,8 +116,8 @@ def rebuilt(numbered: DataFrame, group: int = 5, cut: int = SHARED + 1) -> DataF
     """
     c = F.col("conv_id")
     turn = F.struct("j", "k1", "k2", "bytes")
-    # At most SHARED turns a conversation.
-    heads = numbered.where(F.col("j") < cut).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("head"))
+    # Fewer than ``cut`` turns a conversation.
+    heads = numbered.where(F.col("j") <= max(cut - 1, 1)).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("head"))
     taken = (F.crc32(c.cast("string").cast("binary")) % cut).cast("int")
     lent = heads.select(F.col("conv_id").alias("_base"), "head")
     every = heads.select("conv_id", (c - c % group).alias("_base")).join(lent, "_base", "left").select(
@@ -132,7 +136,7 @@ def _prefixes(rows: DataFrame, keys: list[str]) -> DataFrame:
         "_slot": F.floor((F.col("i") - 1) / SLICE),
         "_x1": F.xxhash64(F.lit(3), "i", "k1", "k2"), "_x2": F.xxhash64(F.lit(4), "i", "k2", "k1"),
     })
-    totals = {p: (F.bit_xor, F.col(x), _xor, 0) for p, x in (("p1", "_x1"), ("p2", "_x2"))}
+    totals = {p: (F.bit_xor, F.col(x), F.bit_xor, _xor, 0) for p, x in (("p1", "_x1"), ("p2", "_x2"))}
     return _sums(placed, keys, "_slot", ["i"], totals).drop("_slot", "_x1", "_x2")
 
 
@@ -150,8 +154,8 @@ def ends(whole: DataFrame, repeated: DataFrame) -> DataFrame:
     """``p1, p2, depth, ends_sha256`` of the sequences in ``repeated``: digests of all ids that end there."""
     block = F.floor(F.col("conv_id") / BLOCK).alias("block")
     ids = F.transform(F.array_sort(F.collect_list("conv_id")), lambda i: i.cast("string"))
-    blocks = whole.join(repeated.select(*NODE), NODE, "left_semi").groupBy(*NODE, block).agg(
-        F.array_join(ids, ",").alias("ids"))
+    blocks = whole.groupBy(*NODE, block).agg(F.array_join(ids, ",").alias("ids"))
+    blocks = blocks.join(repeated.select(*NODE), NODE, "left_semi")
     names = [*NODE, "ends_sha256"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +210,7 @@ def trie(conversations: DataFrame, group: int = 5, cut: int = SHARED + 1) -> Dat
     counted = paths.select("conv_id", *NODE).join(named, ["conv_id", "depth"], "left").withColumns({
         "own": F.coalesce("own", F.lit(0)), "_slot": F.floor(-F.col("depth") / SLICE)})
     below = _sums(counted, ["conv_id"], "_slot", [F.col("depth").desc()], {
-        "below": (F.sum, F.col("own"), lambda a, b: a + b, 0)})
+        "below": (F.sum, F.col("own"), F.sum, _plus, 0)})
     totals = below.groupBy(*NODE).agg(F.sum("below").alias("saved_tokens"))
 
     # The node above a named one lies on the same sequence.
