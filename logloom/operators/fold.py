@@ -1,26 +1,19 @@
 """Folding of repeated events into runs.
 
 ``fold_islands``: a run is a chain of same-template records, each at most ten
-parsed records after the one before. ``fold_runs`` is the stream fold proper,
-which also bounds the number of open runs and emits them in head order.
-Passthrough records end every run in both.
+parsed records after the one before. ``fold_session`` ends a run by event time. The
+stream fold proper, which also bounds the number of open runs, is in ``runs``.
+Passthrough records end every run in it and in islands.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.ordinals import CHUNK, SLICE, in_reach, with_chunks, with_ordinal
-from logloom.sources.materialize import materialize
+from logloom.operators.runs import FOLD_WINDOW
 
-# Records a run survives without a match, and open runs at most.
-FOLD_WINDOW = 10
-MAX_OPEN_RUNS = 8
 # How long a paused and a busy run may be held back.
 IDLE = "750 milliseconds"
 IDLE_MS = 750
@@ -146,195 +139,6 @@ def _micros(span: str) -> int:
     return int(float(number) * scale[unit.rstrip("s")])
 
 
-# --- the stream fold -----------------------------------------------------------
-
-
-#: The state of a fold without open runs.
-EMPTY = "[]"
-
-
-class OpenRuns:
-    """Open runs of one stream, oldest head first: ``[template, last p, head, count]``.
-
-    ``add`` returns the runs that ended, in head order.
-    """
-
-    def __init__(self) -> None:
-        self.runs: list[list] = []
-        self.p = 0
-
-    def flush(self, n: int | None = None) -> list[list]:
-        n = len(self.runs) if n is None else n
-        done, self.runs = self.runs[:n], self.runs[n:]
-        return done
-
-    def add(self, template, head) -> list[list]:
-        if template is None:
-            return self.flush()
-        self.p += 1
-        ended = 0
-        for n, run in enumerate(self.runs, 1):
-            if self.p - run[1] > FOLD_WINDOW:
-                ended = n
-        done = self.flush(ended) if ended else []
-        for run in self.runs:
-            if run[0] == template:
-                run[1] = self.p
-                run[3] += 1
-                return done
-        if len(self.runs) == MAX_OPEN_RUNS:
-            done = done + self.flush(1)
-        self.runs.append([template, self.p, head, 1])
-        return done
-
-    def state(self) -> str:
-        """What later records depend on: the open templates and their ages."""
-        return json.dumps([[self.p - r[1], r[0]] for r in self.runs])
-
-    @classmethod
-    def of_state(cls, state: str) -> OpenRuns:
-        out = cls()
-        out.p = FOLD_WINDOW + 1
-        out.runs = [[template, out.p - age, None, 0] for age, template in json.loads(state)]
-        return out
-
-
-def _fold_chunk(pdf: pd.DataFrame, start: str) -> Iterator[tuple]:
-    """Fold one chunk from a start state: run parts, then the end state.
-
-    A part without a head continues the run of its template from the chunk
-    before; an open part goes on in the next.
-    """
-    fold = OpenRuns.of_state(start)
-    for template, pos in zip(pdf["template"], pdf["pos"], strict=True):
-        template = None if pd.isna(template) else template
-        for run in fold.add(template, pos):
-            yield run[0], run[2], run[3], False, None
-    for run in fold.runs:
-        yield run[0], run[2], run[3], True, None
-    yield None, None, 0, False, fold.state()
-
-
-_PART_SCHEMA = (
-    "stream_id string, chunk long, start string, n long, template string, head_pos long, "
-    "repeat long, open boolean, end string"
-)
-
-
-def _fold_parts(key: tuple, rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("q")
-    out = [
-        (key[0], key[1], start, n, *part)
-        for start in starts["start"]
-        for n, part in enumerate(_fold_chunk(rows, start))
-    ]
-    names = [c.split()[0] for c in _PART_SCHEMA.split(", ")]
-    pdf = pd.DataFrame(out, columns=names)
-    for c in ("chunk", "n", "head_pos", "repeat"):
-        pdf[c] = pdf[c].astype("Int64")
-    return pdf
-
-
-def fold_runs(
-    df: DataFrame, chunk: int = CHUNK, size: int = SLICE, max_rounds: int | None = None
-) -> DataFrame:
-    """The stream fold, exact: ``stream_id, head_pos, repeat, template``.
-
-    A stream is one sequence, so its chunks are folded side by side from the
-    states they may start in. A chunk's start state is the end state of the one
-    before; every end state not yet tried on the next chunk is tried in the next
-    round, until none is new. The true path through these states is then found
-    by doubling, and run parts along it are joined at the chunk edges. A state
-    is a few templates, whatever the chunk size.
-    """
-    rows = materialize(_numbered(df, size).withColumn(
-        "chunk", F.floor(F.col("q") / chunk).cast("long")
-    ))
-    chunks = rows.select("stream_id", "chunk").distinct()
-    starts = chunks.withColumn("start", F.lit(EMPTY))
-    parts = None
-    rounds = 0
-    while True:
-        asked_for = rows if parts is None else rows.join(
-            starts.select("stream_id", "chunk").distinct(), ["stream_id", "chunk"], "left_semi"
-        )
-        got = materialize(
-            asked_for.select("stream_id", "chunk", "q", "pos", "template")
-            .groupBy("stream_id", "chunk")
-            .cogroup(starts.groupBy("stream_id", "chunk"))
-            .applyInPandas(_fold_parts, _PART_SCHEMA)
-        )
-        parts = got if parts is None else parts.unionByName(got)
-        tried = parts.filter(F.col("end").isNotNull()).select("stream_id", "chunk", "start", "end")
-        asked = tried.select(
-            "stream_id", (F.col("chunk") + 1).alias("chunk"), F.col("end").alias("start")
-        ).distinct()
-        starts = materialize(
-            asked.join(chunks, ["stream_id", "chunk"], "left_semi").join(
-                tried, ["stream_id", "chunk", "start"], "left_anti"
-            )
-        )
-        rounds += 1
-        if starts.isEmpty():
-            break
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"fold states did not settle in {rounds} rounds")
-    return _joined(parts, _true_path(tried))
-
-
-def _true_path(tried: DataFrame) -> DataFrame:
-    """``stream_id, chunk, start``: the states that chunk after chunk leads to.
-
-    From the known states at chunks 0 .. 2^k - 1, a jump of 2^k chunks gives
-    those of the next 2^k; the jumps double in length each time.
-    """
-    jump = tried.select(
-        "stream_id", "chunk", "start", (F.col("chunk") + 1).alias("to"),
-        F.col("end").alias("at"),
-    )
-    known = tried.filter((F.col("chunk") == 0) & (F.col("start") == EMPTY)).select(
-        "stream_id", "chunk", "start"
-    )
-    last = tried.agg(F.max("chunk")).first()[0] or 0
-    length = 1
-    while length <= last:
-        jump = materialize(jump)
-        reached = known.join(jump, ["stream_id", "chunk", "start"]).select(
-            "stream_id", F.col("to").alias("chunk"), F.col("at").alias("start")
-        )
-        known = materialize(known.unionByName(reached))
-        onward = jump.select(
-            "stream_id", F.col("chunk").alias("to"), F.col("start").alias("at"),
-            F.col("to").alias("to2"), F.col("at").alias("at2"),
-        )
-        jump = jump.join(onward, ["stream_id", "to", "at"]).select(
-            "stream_id", "chunk", "start", F.col("to2").alias("to"), F.col("at2").alias("at")
-        )
-        length *= 2
-    return known
-
-
-def _joined(parts: DataFrame, path: DataFrame) -> DataFrame:
-    """Whole runs from the run parts along the true path."""
-    true_parts = parts.filter(F.col("end").isNull()).join(
-        path, ["stream_id", "chunk", "start"], "left_semi"
-    )
-    edged = F.col("head_pos").isNull() | F.col("open")
-    chain = Window.partitionBy("stream_id", "template").orderBy("chunk", "n").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    # A template is open once at most, so a headless part continues the part
-    # of its template that the chunk before left open.
-    linked = (
-        true_parts.filter(edged)
-        .withColumn("_run", F.count("head_pos").over(chain))
-        .groupBy("stream_id", "template", "_run")
-        .agg(F.min("head_pos").alias("head_pos"), F.sum("repeat").alias("repeat"))
-    )
-    columns = ["stream_id", "head_pos", "repeat", "template"]
-    return true_parts.filter(~edged).select(*columns).unionByName(linked.select(*columns))
-
-
 def fold(df: DataFrame, runs: DataFrame) -> DataFrame:
     """Keep run heads, with ``repeat``, and the passthrough records.
 

@@ -161,14 +161,19 @@ def summary_report(
     """
     found = materialize(tallies(df))
     counts = _templates(found)
-    tops = top_templates(counts, cap, shown).groupBy("stream_id").agg(
+    return report_of(found, tracked_templates(counts, cap), template_totals(counts, cap), shown)
+
+
+def report_of(found: DataFrame, tracked: DataFrame, totals: DataFrame, shown: int) -> DataFrame:
+    """The report from tallies, tracked templates and their totals."""
+    tops = top_templates(tracked, None, shown).groupBy("stream_id").agg(
         F.array_sort(
             F.collect_list(F.struct((-F.col("level")).alias("order"), "rank", "n", "text"))
         ).alias("top")
     )
     return (
         _counts(found)
-        .join(template_totals(counts, cap), "stream_id", "left")
+        .join(totals, "stream_id", "left")
         .join(tops, "stream_id", "left")
         .select("stream_id", report_text(shown).alias("report"))
     )

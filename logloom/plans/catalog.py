@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from logloom.operators import frames, render, summary
 from logloom.operators.columns import constant_fields
 from logloom.operators.correlate import NARROW, corr_groups, related_events, remembered
-from logloom.operators.fold import fold_islands, fold_runs, fold_session
+from logloom.operators.fold import fold_islands, fold_session
 from logloom.operators.identity import corr_tag, identify, mask
 from logloom.operators.normalize import normalize
 from logloom.operators.ordinals import with_ordinal
+from logloom.operators.runs import fold_runs
 from logloom.operators.severity import rerank_severity
 from logloom.operators.stack import extract_stack
 from logloom.operators.where import where
@@ -34,8 +35,19 @@ from logloom.plans.derived import (
 from logloom.plans.pipeline import Options, enrich, run
 from logloom.schema import level_label
 from logloom.sources.materialize import materialize, new_folder
-from logloom.sources.sinks import write_stream
-from logloom.streaming.live import latest, live_counts, live_templates, split_timed, upserted
+from logloom.sources.sinks import write_lines, write_stream
+from logloom.sources.tail import positioned_lines, tail_lines
+from logloom.streaming.live import (
+    latest,
+    live_counts,
+    live_report,
+    live_templates,
+    merge_report,
+    split_late,
+    split_timed,
+    upserted,
+)
+from logloom.streaming.stateful import fold_stream, mark_stream, open_runs, state_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -319,18 +331,21 @@ def summary_span(spark, sf_dir):
     )
 
 
-def _part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A failure per part; names make many templates."""
     text = F.concat(
         F.lit('level='), F.when(F.col("p_size") % 5 == 0, "warning").otherwise("error"),
         F.lit(' msg="failed to price '), F.col("p_name"), F.lit(" "), F.col("p_type"),
         F.lit(" "), F.col("p_partkey").cast("string"), F.lit('"'),
     )
-    lines = spread(table(spark, sf_dir, "part")).select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.concat(F.lit("line"), (F.col("p_size") % 3).cast("string")).alias("stream_id"),
         F.col("p_partkey").alias("pos"), text.alias("raw"),
     )
-    return enrich(lines)
+
+
+def _part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich(_part_lines(spark, sf_dir))
 
 
 _PARTS = """
@@ -777,3 +792,102 @@ def stream_templates(spark, sf_dir):
     got = _live(spark, sf_dir, live_templates, keys)
     return got.groupBy(*keys, "level").agg(F.sum("n").alias("n")).withColumn(
         "template", _plain("template"))
+
+
+# --- growing files ------------------------------------------------------------------------
+
+#: Bytes of a stream that a batch takes.
+_PER_BATCH = str(1 << 18)
+
+
+def _log_folder(lines: DataFrame) -> str:
+    """Lines written as log files, a folder per stream."""
+    path = f"{new_folder(lines.sparkSession)}/logs"
+    write_lines(lines.withColumnRenamed("raw", "line"), path, by_stream=True)
+    return path
+
+
+def _ordinals(spark: SparkSession, logs: str) -> DataFrame:
+    """The place of every line in its stream, by its position in the files."""
+    lines = positioned_lines(spark, logs, stream="folder").select("stream_id", "pos")
+    return materialize(with_ordinal(lines, "n", size=1 << 20))
+
+
+def _read_to_end(writer) -> None:
+    """Run batches until there is nothing new."""
+    running = writer.start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+
+
+def _followed(spark: SparkSession, logs: str, operator) -> tuple[DataFrame, str]:
+    """What a stateful operator makes of the enriched lines of growing files, and its checkpoint."""
+    out = new_folder(spark)
+    records = enrich(tail_lines(spark, logs, stream="folder", maxBytesPerFile=_PER_BATCH))
+    with state_store(spark):
+        _read_to_end(operator(records).writeStream.format("parquet").option("path", f"{out}/rows")
+                     .option("checkpointLocation", f"{out}/progress"))
+    return spark.read.parquet(f"{out}/rows"), f"{out}/progress"
+
+
+@query(ORACLES["fold_runs"].replace("h: pos, c: 1", "h: p - 1, c: 1"))
+def stream_fold(spark, sf_dir):
+    """The stream fold over growing files: runs that ended, and those open at the end."""
+    logs = _log_folder(log_lines(spark, sf_dir, "json"))
+    ended, progress = _followed(spark, logs, lambda records: fold_stream(records, held=False))
+    runs = ended.unionByName(open_runs(spark, progress)).withColumnRenamed("head_pos", "pos")
+    return runs.join(_ordinals(spark, logs), ["stream_id", "pos"]).select(
+        "stream_id", F.col("n").alias("head_pos"), "repeat", _plain("template").alias("template"))
+
+
+@query(_records() + _CONSTANT + f"""
+, o AS (SELECT stream_id, pos, row_number() OVER (PARTITION BY stream_id ORDER BY pos) - 1 AS n FROM rec),
+g AS ({_CORR}),
+l AS ({_RELATED}),
+k AS (SELECT stream_id, pos, string_agg(i::VARCHAR, ',' ORDER BY i) AS constant FROM j WHERE n >= 3 AND lo = hi GROUP BY ALL)
+SELECT o.stream_id, o.n, g.corr_key, r.n AS related_n, l.related_clock, l.summary AS related_summary,
+  coalesce(k.constant, '') AS constant
+FROM o JOIN par ON par.stream_id = o.stream_id AND par.pos = o.pos
+LEFT JOIN g ON g.stream_id = o.stream_id AND g.pos = o.pos
+LEFT JOIN l ON l.stream_id = o.stream_id AND l.pos = o.pos
+LEFT JOIN o r ON r.stream_id = l.stream_id AND r.pos = l.related_pos
+LEFT JOIN k ON k.stream_id = o.stream_id AND k.pos = o.pos""")
+def stream_marks(spark, sf_dir):
+    """Groups, links and constant fields of the lines of growing files."""
+    logs = _log_folder(log_lines(spark, sf_dir))
+    marks, _ = _followed(spark, logs, mark_stream)
+    places = _ordinals(spark, logs)
+    targets = places.select("stream_id", F.col("pos").alias("related_pos"), F.col("n").alias("related_n"))
+    return marks.join(places, ["stream_id", "pos"]).join(targets, ["stream_id", "related_pos"], "left").select(
+        "stream_id", "n", "corr_key", "related_n", "related_clock", "related_summary",
+        F.array_join(F.array_sort("constant"), ",").alias("constant"))
+
+
+@query(ORACLES["summary_report"])
+def stream_report(spark, sf_dir):
+    """The report from a state that is merged batch by batch."""
+    logs = _log_folder(_part_lines(spark, sf_dir))
+    out = new_folder(spark)
+    records = enrich(tail_lines(spark, logs, stream="folder", maxBytesPerFile=_PER_BATCH))
+    _read_to_end(records.writeStream.foreachBatch(lambda rows, batch: merge_report(rows, batch, f"{out}/state"))
+                 .option("checkpointLocation", f"{out}/progress"))
+    return live_report(spark, f"{out}/state")
+
+
+@query(_records() + """
+SELECT o.stream_id, o.n, ts_us AS us FROM rec
+JOIN (SELECT stream_id, pos, row_number() OVER (PARTITION BY stream_id ORDER BY pos) - 1 AS n FROM rec) o
+  ON o.stream_id = rec.stream_id AND o.pos = rec.pos WHERE ts_us IS NOT NULL""")
+def stream_late_kept(spark, sf_dir):
+    """Timed lines on time and late ones, which together are all."""
+    logs = _log_folder(log_lines(spark, sf_dir))
+    out = new_folder(spark)
+    lines = tail_lines(spark, logs, stream="folder", maxBytesPerFile=_PER_BATCH)
+    records = normalize(lines).where("ts is not null").select("stream_id", "pos", "ts")
+    _read_to_end(records.writeStream.foreachBatch(lambda rows, batch: split_late(rows, batch, out, "2 seconds"))
+                 .option("checkpointLocation", f"{out}/progress"))
+    both = spark.read.parquet(f"{out}/on_time").unionByName(spark.read.parquet(f"{out}/late"))
+    return both.join(_ordinals(spark, logs), ["stream_id", "pos"]).select(
+        "stream_id", "n", F.unix_micros("ts").alias("us"))

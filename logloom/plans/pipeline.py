@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 
 from logloom.operators.columns import demote_constant_fields
 from logloom.operators.correlate import correlate
-from logloom.operators.fold import fold, fold_islands, fold_runs
+from logloom.operators.fold import fold, fold_islands
 from logloom.operators.identity import MASK_RULES, identify
 from logloom.operators.normalize import normalize
+from logloom.operators.runs import fold_runs
 from logloom.operators.severity import rerank_severity
 from logloom.operators.stack import extract_stack
 from logloom.operators.where import where

@@ -9,13 +9,15 @@ parts; each is summed in a query of its own, and their results are united.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from logloom.operators.fold import IDLE, fold_session
+from logloom.operators.summary import SHOWN, TRACKED, report_of, tallies
 from logloom.schema import DEBUG, ERROR, INFO, UNKNOWN, WARN
+from logloom.sources.materialize import materialize
 from logloom.sources.sinks import write_stream
 
 #: Formats whose times have no year.
@@ -100,6 +102,83 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return newest.select(*keys, "v.*")
 
 
+def _batch(path: str, batch: int) -> str:
+    return f"{path}/batch={batch:012d}"
+
+
+def merge_report(records: DataFrame, batch: int, path: str, cap: int = TRACKED) -> None:
+    """Take a batch of enriched records into the report's state, for ``foreachBatch``.
+
+    A state is a table of bounded size a stream: tallies by level, and per template for the
+    first ``cap`` templates that the stream met. Warnings and errors of other templates
+    stay in the tally of their level. It is the state of the batch before plus the batch's
+    own tallies, which Spark combines in parallel, and is written beside it: a batch that
+    runs again writes the same again. Templates of one batch count as met by position.
+    """
+    spark = records.sparkSession
+    found = tallies(records).withColumn("tracked", F.lit(False))
+    if batch:
+        found = found.unionByName(spark.read.parquet(_batch(path, batch - 1)))
+    keys = ["stream_id", "parsed", "effective"]
+    spans = [
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),
+        F.min_by("first_ts", "first_at").alias("first_ts"), F.max_by("last_ts", "last_at").alias("last_ts"),
+        F.min_by("first_s", "first_at").alias("first_s"), F.max_by("last_s", "last_at").alias("last_s"),
+    ]
+    every = materialize(found.groupBy(*keys, "template").agg(
+        F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"), F.min_by("text", "first_pos").alias("text"),
+        *spans, F.max("tracked").alias("tracked")))
+    met = Window.partitionBy("stream_id").orderBy(F.desc("tracked"), "first_pos", "template")
+    kept = (
+        every.where(F.col("parsed") & (F.col("effective") >= WARN) & F.col("template").isNotNull())
+        .withColumn("_met", F.row_number().over(met)).where(F.col("_met") <= cap)
+        .drop("_met").withColumn("tracked", F.lit(True))
+    )
+    # The tracked ones count negative against the total of all.
+    signed = every.select(*every.columns, F.col("n").alias("m")).unionByName(
+        kept.select(*kept.columns, (-F.col("n")).alias("m")))
+    rest = signed.groupBy(*keys).agg(
+        F.sum("m").alias("n"), F.min("first_pos").alias("first_pos"), *spans,
+    ).withColumns({"template": F.lit(None).cast("string"), "text": F.lit(None).cast("string"), "tracked": F.lit(False)})
+    state = kept.unionByName(rest.select(*kept.columns))
+    state.write.mode("overwrite").parquet(_batch(path, batch))
+
+
+def live_report(spark: SparkSession, path: str, shown: int = SHOWN) -> DataFrame:
+    """``stream_id, report``: the summary as of the last batch."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    last = rows.agg(F.max("batch")).first()[0]
+    # A batch id is a partition value, hence a number.
+    state = spark.read.parquet(_batch(path, int(last or 0)))
+    tracked = state.where("tracked")
+    templates = tracked.select("stream_id", "template", F.col("effective").alias("level"), "n", "first_pos", "text")
+    level, own = F.col("effective"), F.col("tracked")
+    failed = F.col("parsed") & (level >= WARN)
+    totals = state.groupBy("stream_id").agg(
+        F.count_if(own & (level == ERROR)).alias("unique_errors"), F.count_if(own & (level == WARN)).alias("unique_warns"),
+        F.coalesce(F.sum(F.when(failed & ~own, F.col("n"))), F.lit(0)).alias("untracked"))
+    return report_of(state, templates, totals, shown)
+
+
+def split_late(rows: DataFrame, batch: int, path: str, delay: str, at: str = "ts") -> None:
+    """Write a batch's rows to ``path/on_time`` or ``path/late``, for ``foreachBatch``: none is dropped.
+
+    Late are rows whose ``at`` lies more than ``delay`` before the latest ``at`` of all batches
+    before, which is kept beside them. Feed windows from ``on_time`` and correct them from
+    ``late``. A batch that runs again writes the same again.
+    """
+    spark = rows.sparkSession
+    seen = None
+    if batch:
+        seen = spark.read.parquet(_batch(f"{path}/seen", batch - 1)).first()["at"]
+    before = F.lit(seen).cast("timestamp")
+    late = F.coalesce(F.col(at) < before - F.expr(f"interval {delay}"), F.lit(False))
+    own = materialize(rows)
+    own.where(~late).write.mode("overwrite").parquet(_batch(f"{path}/on_time", batch))
+    own.where(late).write.mode("overwrite").parquet(_batch(f"{path}/late", batch))
+    own.agg(F.greatest(F.max(at), before).alias("at")).write.mode("overwrite").parquet(_batch(f"{path}/seen", batch))
+
+
 class LateRows(StreamingQueryListener):
     """Counts what stateful operators dropped behind the watermark, by query id.
 

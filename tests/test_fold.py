@@ -2,14 +2,9 @@
 
 import random
 
-from logloom.operators.fold import (
-    FOLD_WINDOW,
-    MAX_OPEN_RUNS,
-    OpenRuns,
-    fold,
-    fold_islands,
-    fold_runs,
-)
+from logloom.operators import runs
+from logloom.operators.fold import fold, fold_islands
+from logloom.operators.runs import FOLD_WINDOW, MAX_OPEN_RUNS, OpenRuns, fold_runs
 
 SCHEMA = "stream_id string, pos long, parsed boolean, template string"
 
@@ -108,22 +103,30 @@ def _emitted(templates):
     return done, f.flush()
 
 
+def _blocks(rnd, n, templates):
+    """Templates in shuffled blocks: runs that never end."""
+    out = []
+    while len(out) < n:
+        out += rnd.sample(templates, len(templates))
+    return out[:n]
+
+
 def test_interleaved_runs_fold_side_by_side():
     before, after = _emitted("ababab")
     assert before == []
-    assert [(r[2], r[3]) for r in after] == [(0, 3), (1, 3)]
+    assert [r[1:] for r in after] == [(0, 3), (1, 3)]
 
 
 def test_rare_run_ends_after_the_window():
     before, after = _emitted("r" + "s" * (FOLD_WINDOW + 1))
-    assert [(r[0], r[3]) for r in before] == [("r", 1)]
-    assert [(r[0], r[3]) for r in after] == [("s", FOLD_WINDOW + 1)]
+    assert [(r[0], r[2]) for r in before] == [("r", 1)]
+    assert [(r[0], r[2]) for r in after] == [("s", FOLD_WINDOW + 1)]
 
 
 def test_an_ended_run_takes_older_ones_along():
     before, after = _emitted("ab" + "a" * 11)
-    assert [(r[0], r[3]) for r in before] == [("a", 11), ("b", 1)]
-    assert [(r[0], r[3]) for r in after] == [("a", 1)]
+    assert [(r[0], r[2]) for r in before] == [("a", 11), ("b", 1)]
+    assert [(r[0], r[2]) for r in after] == [("a", 1)]
 
 
 def test_ninth_template_pushes_out_the_oldest():
@@ -140,5 +143,68 @@ def test_fold_keeps_heads_and_plain_lines(spark):
 
 def test_steady_interleaving_settles_in_few_rounds(spark):
     rows = [("s", i, "ba"[i % 2]) for i in range(1_001)]
-    got = fold_runs(_frame(spark, rows), chunk=50, size=64, max_rounds=4).collect()
+    got = fold_runs(_frame(spark, rows), chunk=50, size=64, max_rounds=2).collect()
     assert sorted(tuple(r) for r in got) == [("s", 0, 501, "b"), ("s", 1, 500, "a")]
+
+
+def test_shuffled_blocks_need_no_rounds_per_chunk(spark):
+    """Orders of five runs differ at every edge; a tree of three levels finds them."""
+    rnd = random.Random(8)
+    rows = [("s", i, t) for i, t in enumerate(_blocks(rnd, 3_000, list("abcde")))]
+    rows += [("u", i, t) for i, t in enumerate(_blocks(rnd, 700, list("abcdefgh")))]
+    got = fold_runs(_frame(spark, rows), chunk=50, size=64, fan=4, max_rounds=3)
+    assert sorted(tuple(r) for r in got.collect()) == _plain_runs(rows)
+
+
+def test_rare_events_between_shuffled_blocks(spark):
+    """A rare template takes all older runs along when it ends; crowded streams push out the oldest."""
+    rnd = random.Random(9)
+    rows = []
+    for name, some, rare in (("r", "abcd", 0.02), ("c", "abcdefghij", 0.05), ("p", "abc", 0.004)):
+        for i, t in enumerate(_blocks(rnd, 900, list(some))):
+            t = rnd.choice("xyz") if rnd.random() < rare else t
+            rows.append((name, i, None if name == "p" and rnd.random() < 0.004 else t))
+    got = fold_runs(_frame(spark, rows), chunk=50, size=64, fan=3)
+    assert sorted(tuple(r) for r in got.collect()) == _plain_runs(rows)
+
+
+def test_cases_hold_for_every_order_of_what_they_inherit():
+    """A case, alone and composed, against the plain state in all orders its facts allow."""
+    rnd = random.Random(10)
+
+    def end(state, before, records):
+        plain = OpenRuns.resumed(state, before)
+        for t in records:
+            plain.add(t, 0)
+        return list(plain.open)
+
+    def case(state, before, records):
+        noted = runs._Noted.resumed(state, before)
+        for t in records:
+            noted.add(t, 0)
+        kept = sum(r[0] is None for r in noted.open.values())
+        return state, sorted(map(list, noted.facts)), list(noted.open), kept
+
+    held = failed = 0
+    for _ in range(300):
+        names = "abcdefghijk"[: rnd.randint(3, 10)]
+        before = _blocks(rnd, 20, list(names))
+        start = list(dict.fromkeys(reversed(before[-10:])))[:MAX_OPEN_RUNS]
+        one, two = ([rnd.choice(names + "z") if rnd.random() < 0.1 else t for t in _blocks(rnd, 30, list(names))] for _ in "12")
+        first = case(start, before, one)
+        then = case(first[2], before + one, two)
+        both = runs._composed(first, then)
+        for _ in range(10):
+            state = rnd.sample(start, len(start))
+            if runs._holds(first, state):
+                assert runs._after(first, state)[0] == end(state, before, one)
+            if runs._holds(both, state):
+                held += 1
+                assert runs._after(both, state)[0] == end(state, before, one + two)
+            else:
+                failed += 1
+    assert held > 500 and failed > 100
+
+
+def test_empty_stream(spark):
+    assert fold_runs(_frame(spark, [("s", 0, "a")]).limit(0), chunk=50, size=64).count() == 0
