@@ -39,7 +39,7 @@ BLOCK, STRETCH = 1 << 23, 1 << 20
 #: Side of a tile; points from which it is counted by address; ids that may lie in such tiles.
 TILE, DENSE, HEAD = 512, 512 * 512 // 16, 1 << 14
 #: Points that a task holds before it counts them; entries of an emitted row.
-HELD, ROW = 1 << 22, 1 << 16
+HELD, ROW = 1 << 21, 1 << 16
 #: What ends a piece of text, and what parts words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b"\t"
