@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.stage import let
 from logloom.operators.stack import PROJECT
+from logloom.sources.materialize import materialize
 
 _BLOCK = "struct<project:boolean,start:int,n:int,packages:array<string>,frame:{frame}>"
 _FRAME = "struct<func:string,file:string,line:int,col:int,kind:string>"
@@ -141,8 +142,25 @@ def resolve_paths(files: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
-def resolve_frames(frames: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Exploded frames with ``path``, NULL where the inventory has no such file."""
-    return frames.join(resolve_paths(frames, inventory), "file", "left").select(
-        *frames.columns, "path"
-    )
+#: A file is heavy if it holds more than one in so many frames; so there are fewer of them.
+HEAVY = 200
+
+
+def resolve_frames(frames: DataFrame, inventory: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Exploded frames with ``path``, NULL where the inventory has no such file.
+
+    Distinct files are counted where they are read and resolved once. The answers for
+    heavy files, fewer than ``heavy`` rows, are sent to every task, so that their frames
+    need not move; all other frames join theirs by file.
+    """
+    files = materialize(frames.where(F.col("file").isNotNull()).groupBy("file").count())
+    every = files.agg(F.sum("count")).first()[0] or 0
+    known = materialize(files.join(resolve_paths(files, inventory), "file", "left").withColumn(
+        "heavy", F.col("count") * heavy > every))
+    columns = frames.columns
+    few = known.where("heavy").select(F.col("file").alias("_file"), F.col("path").alias("_path"))
+    marked = frames.join(F.broadcast(few), F.col("file").eqNullSafe(F.col("_file")), "left")
+    moved = marked.where("_file is null and file is not null").drop("_file", "_path").join(
+        known.where("not heavy").select("file", "path"), "file", "left")
+    still = marked.where("_file is not null or file is null").withColumn("path", F.col("_path"))
+    return still.select(*columns, "path").unionByName(moved.select(*columns, "path"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +14,8 @@ def write_lines(
     """Write ``stream_id, pos, line`` in stream order.
 
     Ranges of (stream, position) become files, so a large stream is spread over
-    many and each file is in order. ``by_stream`` gives each stream a folder.
+    many and each file is in order. ``by_stream`` gives each stream a folder; where there
+    are many streams, use ``write_streams``.
     """
     keys = ["stream_id", "pos"]
     ranged = (
@@ -45,9 +46,52 @@ def write_records(
     dealt.write.mode(mode).partitionBy("day").parquet(path)
 
 
-def write_summary(report: DataFrame, path: str, mode: str = "error") -> None:
-    """Write ``stream_id, report`` as text, one folder per stream."""
-    report.select("stream_id", "report").write.mode(mode).partitionBy("stream_id").text(path)
+#: Folders that streams are dealt to.
+FOLDERS = 256
+_INDEX = "_streams"
+
+
+def write_streams(
+    rows: DataFrame, path: str, folders: int = FOLDERS, partitions: int | None = None, mode: str = "error"
+) -> None:
+    """Write ``stream_id, pos, ...`` as Parquet in at most ``folders`` folders, however many streams.
+
+    A stream lies in one folder, in order, over as many files as it fills. An index beside
+    the folders names each stream's folder, its rows and its positions; ``read_streams``
+    finds a stream by it.
+    """
+    folder = F.pmod(F.xxhash64("stream_id"), F.lit(folders)).cast("int")
+    keys = ["folder", "stream_id", "pos"]
+    dealt = rows.withColumn("folder", folder)
+    ranged = dealt.repartitionByRange(partitions, *keys) if partitions else dealt.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode(mode).partitionBy("folder").parquet(path)
+    index = dealt.groupBy("folder", "stream_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    index.repartitionByRange("stream_id").sortWithinPartitions("stream_id").write.mode("overwrite").parquet(
+        f"{path}/{_INDEX}")
+
+
+def stream_index(spark: SparkSession, path: str) -> DataFrame:
+    """``folder, stream_id, rows, first_pos, last_pos`` of what ``write_streams`` wrote."""
+    return spark.read.parquet(f"{path}/{_INDEX}")
+
+
+def read_streams(spark: SparkSession, path: str, *streams: str) -> DataFrame:
+    """Rows of the given streams, or of all; only their folders and row groups are read."""
+    found = spark.read.parquet(path)
+    if streams:
+        here = F.col("stream_id").isin(*streams)
+        folders = [r.folder for r in stream_index(spark, path).where(here).select("folder").distinct().collect()]
+        found = found.where(F.col("folder").isin(*folders) & here)
+    return found.drop("folder")
+
+
+def write_summary(report: DataFrame, path: str, mode: str = "error", folders: int = FOLDERS) -> None:
+    """Write ``stream_id, report`` in at most ``folders`` folders, with an index of streams.
+
+    Read reports back with ``read_streams``.
+    """
+    write_streams(report.select("stream_id", F.lit(0).cast("long").alias("pos"), "report"), path, folders, mode=mode)
 
 
 def write_stream(

@@ -35,14 +35,14 @@ NODE = (
 
 def test_severity(spark):
     rows = [
-        (dict(message="PANIC: runtime error"), 4),
-        (dict(message="upload failed: connection refused"), 3),
-        (dict(message="done", fields=[("error", "not_found: error")]), 3),
-        (dict(message="done", fields=[("error", ""), ("error", "fatal")]), 2),
-        (dict(message="all fine", level=4), 4),
-        (dict(message="starting"), 2),
-        (dict(message="request timeout", level=0), 3),
-        (dict(parsed=False, raw="panic everywhere", level=0), 0),
+        (dict(message="PANIC: the keel split"), 4),
+        (dict(message="pilot boat failed to answer"), 3),
+        (dict(message="berth 9", fields=[("error", "crane: error")]), 3),
+        (dict(message="berth 9", fields=[("error", ""), ("error", "fatal")]), 2),
+        (dict(message="calm sea", level=4), 4),
+        (dict(message="casting off"), 2),
+        (dict(message="lock gate timeout", level=0), 3),
+        (dict(parsed=False, raw="panic on the pier", level=0), 0),
     ]
     got = ordered(rerank_severity(records(spark, [r for r, _ in rows])))
     assert [r.effective for r in got] == [e for _, e in rows]

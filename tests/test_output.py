@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from helpers import ordered, records
 from logloom.operators import summary
-from logloom.operators.frames import github_url, resolve_paths
+from logloom.operators.frames import github_url, resolve_frames, resolve_paths
 from logloom.operators.identity import identify
 from logloom.operators.render import format_lines
 from logloom.operators.stack import extract_stack
 from logloom.plans.pipeline import Options, run
 from logloom.sources.lines import join_files, kafka_lines, read_lines, split_long
-from logloom.sources.sinks import write_lines, write_records, write_summary
+from logloom.sources.sinks import (
+    read_streams,
+    stream_index,
+    write_lines,
+    write_records,
+    write_streams,
+    write_summary,
+)
 
 RULE = "── summary " + "─" * 45
 
@@ -192,5 +199,40 @@ def test_whole_pipeline_to_files(spark, tmp_path):
     assert written.read_text().rstrip("\n") == "\n".join(text)
     write_records(out, str(tmp_path / "records"))
     assert spark.read.parquet(str(tmp_path / "records")).count() == 4
-    write_summary(summary.summary_report(out), str(tmp_path / "summary"))
-    assert (tmp_path / "summary").exists()
+    report = summary.summary_report(out)
+    write_summary(report, str(tmp_path / "summary"))
+    (stream, text), = report.collect()
+    assert [r.report for r in read_streams(spark, str(tmp_path / "summary"), stream).collect()] == [text]
+
+
+def test_many_streams_in_few_folders(spark, tmp_path):
+    rows = spark.range(3_000).select(
+        F.concat(F.lit("stream/"), (F.col("id") % 500).cast("string")).alias("stream_id"), F.col("id").alias("pos"),
+        F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    path = str(tmp_path / "streams")
+    write_streams(rows, path, folders=7, partitions=4)
+    assert len(list((tmp_path / "streams").glob("folder=*"))) == 7
+    assert sorted(map(tuple, read_streams(spark, path).select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    one = read_streams(spark, path, "stream/123")
+    assert [r.pos for r in one.orderBy("pos").collect()] == list(range(123, 3_000, 500))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan.replace("isnotnull(folder#", "folder#").replace("(folder", "folder")
+    index = {r.stream_id: (r.rows, r.first_pos, r.last_pos) for r in stream_index(spark, path).collect()}
+    assert len(index) == 500 and index["stream/123"] == (6, 123, 2_623)
+    assert read_streams(spark, path, "absent").count() == 0
+
+
+def test_heavy_files_stay_where_they_are(spark):
+    """Half of the frames in one file, the rest in many; null files have no path."""
+    frames = spark.range(4_000).select(
+        F.col("id").alias("i"),
+        F.when(F.col("id") % 2 == 0, "/app/src/hot.go").when(F.col("id") % 500 == 1, None)
+        .otherwise(F.concat(F.lit("/app/src/f"), (F.col("id") % 997).cast("string"), F.lit(".go"))).alias("file"))
+    inventory = spark.createDataFrame([("src/hot.go",), ("f7.go",), ("src/f9.go",)], "path string")
+    plain = {"/app/src/hot.go": "src/hot.go", "/app/src/f7.go": "f7.go", "/app/src/f9.go": "src/f9.go"}
+    got = resolve_frames(frames, inventory)
+    assert got.columns == ["i", "file", "path"]
+    rows = got.collect()
+    assert len(rows) == 4_000 and all(r.path == plain.get(r.file) for r in rows)
+    # What is joined by file holds no heavy one.
+    assert resolve_frames(frames.limit(0), inventory).count() == 0
