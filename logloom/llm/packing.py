@@ -51,6 +51,11 @@ SCHEMA = (
 #: Fixed value: how byte-level BPE splits a text before its merges.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Fixed value: long runs of what ``\\s`` stands for in it. The pattern backtracks over a run,
+#: so these are cut out before: all of a run is one piece, but for its last character
+#: where something follows.
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
 
 def _ranks(model: dict) -> dict[bytes, int] | None:
     """Bytes of the tokens by id, if ids rank the merges; else None."""
@@ -94,9 +99,22 @@ class Ids:
         self._ranked = ranks and tiktoken.Encoding(
             "ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def _split(self, text: str) -> bytes:
+        return self._ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        from array import array
+
+        return array("I", self._ranked._encode_single_piece(text)).tobytes()
+
     def of(self, text: str) -> bytes:
         if self._ranked and not (self._special and self._special.search(text)):
-            return self._ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            out, at = [], 0
+            for run in BLANKS.finditer(text):
+                end = run.end() if run.end() == len(text) else run.end() - 1
+                out += [self._split(text[at:run.start()]), self._piece(text[run.start():end])]
+                at = end
+            return b"".join([*out, self._split(text[at:])])
         from array import array
 
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
