@@ -12,13 +12,15 @@ point while all sums stay below 2^53, else with integers of any size.
 Defined results: vectors that are null, empty of components, or hold a null or
 non-finite one take no part, nor do those without an id; vectors of another length
 than a query's are no candidates for it; ties go to the smaller id; with fewer
-candidates than ``k`` all are listed; scores beyond 64 bits are cut to them. A
+candidates than ``k`` all are listed; a component beyond the doubles when scaled counts
+as the largest of them; scores beyond 64 bits are cut to them. A
 query id that occurs twice is searched once, with the smallest of its vectors;
 rows that repeat a candidate's id are candidates each. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +46,10 @@ def usable(vectors: DataFrame, scale: int = 256) -> DataFrame:
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(fine)
     # floor() of a double would be cut to 64 bits; rounding down by hand is not.
+    most = sys.float_info.max
     down = F.transform(x, lambda c: F.when(
-        F.abs(c * scale) < 2.0**52, F.floor(c * scale).cast("double")).otherwise(c * scale))
+        F.abs(c * scale) < 2.0**52, F.floor(c * scale).cast("double")
+    ).otherwise(F.greatest(F.least(c * scale, F.lit(most)), F.lit(-most))))
     return rows.select(F.col("vec_id").cast("long"), F.size("embedding").alias("dim"), down.alias("v"))
 
 
