@@ -33,13 +33,28 @@ from logloom.sources.materialize import new_folder
 NEAR = jaccard.Join(words=5, percent=80)
 
 
+#: Columns that a stage's operator does not use travel in one of this name, whatever their own.
+CARRIED = "other_columns"
+
+
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    mine, other = ([F.col(f"`{c}`") for c in docs.columns if (c in used) == own] for own in (True, False))
+    return docs.select(*mine, F.struct(*other).alias(CARRIED)) if other else docs
+
+
+def _together(out: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return out.select(*[F.col(f"`{c}`" if c in used else f"{CARRIED}.`{c}`").alias(c) for c in docs.columns])
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    used = ("doc_id", "text")
+    scored = toxicity.scores(_apart(docs, *used), table(spark, sf_dir, "labels"))
+    return _together(scored.where("predicted = 0"), docs, *used)
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialize(jaccard.linked(docs, NEAR).where(F.col("doc_id").isNotNull()))
+    groups = materialize(jaccard.linked(docs.select("doc_id", "text"), NEAR).where(F.col("doc_id").isNotNull()))
     stays = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
         F.count("*").alias("_rows"))
     stays = materialize(stays)
@@ -55,11 +70,13 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    used = ("doc_id", "text", "n_chars")
+    return _together(pii.redact(_apart(docs, *used)), docs, *used)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs)
+    used = ("doc_id", "text", "source", "n_chars")
+    return _together(mixing.mixed_rows(_apart(docs, *used)), docs, *used)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
