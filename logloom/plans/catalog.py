@@ -47,7 +47,7 @@ from logloom.streaming.live import (
     split_timed,
     upserted,
 )
-from logloom.streaming.stateful import fold_stream, mark_stream, open_runs, state_store
+from logloom.streaming.stateful import fold_stream, mark_stream, open_runs, related_stream, state_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -865,6 +865,22 @@ def stream_marks(spark, sf_dir):
         F.array_join(F.array_sort("constant"), ",").alias("constant"))
 
 
+@query(_records() + f"""
+, o AS (SELECT stream_id, pos, row_number() OVER (PARTITION BY stream_id ORDER BY pos) - 1 AS n FROM rec),
+l AS ({_RELATED})
+SELECT o.stream_id, o.n, r.n AS related_n, l.related_clock, l.summary AS related_summary
+FROM l JOIN o ON o.stream_id = l.stream_id AND o.pos = l.pos
+JOIN o r ON r.stream_id = l.stream_id AND r.pos = l.related_pos""")
+def stream_related(spark, sf_dir):
+    """Links to the latest related failure in growing files, state by method."""
+    logs = _log_folder(log_lines(spark, sf_dir))
+    links, _ = _followed(spark, logs, related_stream)
+    places = _ordinals(spark, logs)
+    targets = places.select("stream_id", F.col("pos").alias("related_pos"), F.col("n").alias("related_n"))
+    return links.join(places, ["stream_id", "pos"]).join(targets, ["stream_id", "related_pos"]).select(
+        "stream_id", "n", "related_n", "related_clock", "related_summary")
+
+
 @query(ORACLES["summary_report"])
 def stream_report(spark, sf_dir):
     """The report from a state that is merged batch by batch."""

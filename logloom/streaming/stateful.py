@@ -38,6 +38,7 @@ MARKS_SCHEMA = (
     "stream_id string, pos long, corr_key string, related_pos long, related_clock string, "
     "related_summary string, constant array<int>"
 )
+RELATED_SCHEMA = "stream_id string, pos long, related_pos long, related_clock string, related_summary string"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -301,6 +302,59 @@ class MarkStream(StatefulProcessor):
         pass
 
 
+class RelatedStream(StatefulProcessor):
+    """Links of one method's records to the latest failure before them, by event time.
+
+    State is an entry per failure that a record to come may still point at: failures
+    older than the latest time seen by the span and ``delay`` go.
+    """
+
+    def __init__(self, span_us: int, delay_us: int) -> None:
+        self.span, self.delay = span_us, delay_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.failed = handle.getMapState(
+            "failed", "pos long", "us long, template string, clock string, summary string")
+        self.latest = handle.getValueState("latest", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        latest = self.latest.get()[0] if self.latest.exists() else -(2**62)
+        stored = {pos: tuple(e) for (pos,), e in self.failed.iterator()}
+        # By template: most records meet another template's newest failure at once.
+        recent: dict[str, deque] = {}
+        for pos in sorted(stored):
+            recent.setdefault(stored[pos][1], deque()).append((pos, *stored[pos]))
+        out = []
+        for pos, us, template, effective, summary, clock in _in_order(
+                rows, ["pos", "us", "template", "effective", "summary", "clock"]):
+            pos, us = int(pos), int(us)
+            latest = max(latest, us)
+            found = None
+            for other, entries in recent.items():
+                while entries and entries[0][1] < latest - self.span - self.delay:
+                    entries.popleft()
+                if other != template:
+                    near = next((e for e in reversed(entries) if abs(e[1] - us) <= self.span), None)
+                    if near and (found is None or near[0] > found[0]):
+                        found = near
+            if found:
+                out.append((key[0], pos, found[0], found[3], found[4]))
+            if effective >= WARN:
+                recent.setdefault(template, deque()).append((pos, us, template, _none(clock), _none(summary)))
+        kept = {e[0]: e[1:] for entries in recent.values() for e in entries
+                if e[1] >= latest - self.span - self.delay}
+        for pos in stored.keys() - kept.keys():
+            self.failed.removeKey((pos,))
+        for pos in kept.keys() - stored.keys():
+            self.failed.updateValue((pos,), kept[pos])
+        self.latest.update((latest,))
+        columns = [c.split()[0] for c in RELATED_SCHEMA.split(", ")]
+        yield pd.DataFrame(out, columns=columns)
+
+    def close(self) -> None:
+        pass
+
+
 class _Group:
     """Records of a request key inside the window."""
 
@@ -369,3 +423,27 @@ def mark_stream(records: DataFrame) -> DataFrame:
             MarkStream(), MARKS_SCHEMA, outputMode="Append", timeMode="None"
         )
     )
+
+
+def related_stream(records: DataFrame, span_us: int = LINK_SPAN_US, delay: str = "10 seconds") -> DataFrame:
+    """``stream_id, pos, related_pos, ...``: the latest failure of the same method before a record.
+
+    Keyed by stream and method, so a stream is spread over its methods. Records without a
+    time or a method are left out, and event time in place of a count of records bounds
+    what is looked back on: out of order by at most ``delay``. A join of the two sides by
+    interval would list every failure in the span for each record; the state gives the
+    latest by look-up.
+    """
+    number, unit = delay.split()
+    scale = {"millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6}[unit.rstrip("s")]
+    return (
+        records.filter(F.col("parsed") & F.col("method").isNotNull() & F.col("ts").isNotNull())
+        .select(
+            "stream_id", "method", "pos", F.unix_micros("ts").alias("us"), "clock", "effective", "template",
+            F.when(F.col("effective") >= WARN, summarize(F.col("text"))).alias("summary"),
+        )
+        .groupBy("stream_id", "method")
+        .transformWithStateInPandas(
+            RelatedStream(span_us, int(float(number) * scale)), RELATED_SCHEMA, outputMode="Append", timeMode="None"
+        )
+    )
