@@ -14,12 +14,10 @@ TRACKED = 64
 SHOWN = 8
 
 
-def tallies(df: DataFrame) -> DataFrame:
-    """One row per stream, level and, for warnings and errors, template.
+def narrowed(df: DataFrame) -> DataFrame:
+    """What the summary needs of each record; texts of warnings and errors only.
 
-    All parts of the summary follow from it, so lines are decoded once. Clocks
-    travel as seconds of the day. ``first_at`` and ``last_at`` are the positions
-    of the first and last record with a time.
+    Clocks travel as seconds of the day.
     """
     parsed = F.col("parsed")
     clock = F.split("clock", ":")
@@ -33,20 +31,33 @@ def tallies(df: DataFrame) -> DataFrame:
     columns = set(df.columns)
     own = {c: F.when(failed, F.col(c)) if c in columns else F.lit(None).cast("string")
            for c in ("template", "text")}
-    return (
-        df.select("stream_id", "parsed", "effective", "ts", "pos", at.alias("_at"), second.alias("_s"),
-                  own["template"].alias("template"), own["text"].alias("text"))
-        .groupBy("stream_id", "parsed", "effective", "template")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"),
-            F.min_by("text", "pos").alias("text"),
-            F.min("_at").alias("first_at"), F.max("_at").alias("last_at"),
-            F.min_by("ts", "_at").alias("first_ts"), F.max_by("ts", "_at").alias("last_ts"),
-            F.min_by("_s", "_at").alias("first_s"), F.max_by("_s", "_at").alias("last_s"),
-        )
+    return df.select("stream_id", "parsed", "effective", "ts", "pos", at.alias("at"), second.alias("second"),
+                     own["template"].alias("template"), own["text"].alias("text"))
+
+
+def tallies(narrow: DataFrame) -> DataFrame:
+    """One row per stream, level and, for warnings and errors, template, from :func:`narrowed`.
+
+    All parts of the summary follow from it but the texts, which :func:`with_text` fetches
+    for the few that are shown: so all that is kept per group is of fixed width, and Spark
+    aggregates by hash. ``first_at`` and ``last_at`` are the positions of the first and last
+    record with a time.
+    """
+    return narrow.groupBy("stream_id", "parsed", "effective", "template").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"),
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+        F.min_by("ts", "at").alias("first_ts"), F.max_by("ts", "at").alias("last_ts"),
+        F.min_by("second", "at").alias("first_s"), F.max_by("second", "at").alias("last_s"),
     )
 
 
+def with_text(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Adds ``text``: that of the record at ``first_pos``."""
+    texts = narrow.where(F.col("template").isNotNull()).select(
+        "stream_id", F.col("pos").alias("first_pos"), "text")
+    return rows.join(texts, ["stream_id", "first_pos"], "left").select(*rows.columns, "text")
+
+
 def _counts(found: DataFrame) -> DataFrame:
     """Tallies by severity, and the span, of each stream."""
     parsed, level = F.col("parsed"), F.col("effective")
@@ -88,27 +99,26 @@ def summary_counts(df: DataFrame) -> DataFrame:
     The span runs from the first to the last record that has a time, in stream
     order.
     """
-    return _counts(tallies(df.select("stream_id", "pos", "parsed", "effective", "ts", "clock")))
+    return _counts(tallies(narrowed(df.select("stream_id", "pos", "parsed", "effective", "ts", "clock"))))
 
 
 def _templates(found: DataFrame) -> DataFrame:
     # A template names its level, so it has one row per stream.
     return found.filter(F.col("parsed") & (F.col("effective") >= WARN)).select(
-        "stream_id", "template", F.col("effective").alias("level"), "n", "first_pos", "text")
+        "stream_id", "template", F.col("effective").alias("level"), "n", "first_pos")
 
 
 def template_counts(df: DataFrame) -> DataFrame:
-    """Warnings and errors per template: level, count, first text and position."""
-    return (
+    """Warnings and errors per template: level, count, first text and position.
+
+    They are written once, narrow: counted by hash, and read again for the first texts.
+    """
+    failed = materialize(
         df.filter(F.col("parsed") & (F.col("effective") >= WARN))
-        .groupBy("stream_id", "template")
-        .agg(
-            F.max("effective").alias("level"),
-            F.count(F.lit(1)).alias("n"),
-            F.min("pos").alias("first_pos"),
-            F.min_by("text", "pos").alias("text"),
-        )
-    )
+        .select("stream_id", "pos", "effective", "template", "text"))
+    counts = failed.groupBy("stream_id", "template").agg(
+        F.max("effective").alias("level"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+    return with_text(counts, failed)
 
 
 def tracked_templates(counts: DataFrame, cap: int | None = TRACKED) -> DataFrame:
@@ -148,7 +158,8 @@ def top_templates(
         tracked_templates(counts, cap)
         .withColumn("rank", F.row_number().over(often))
         .filter(F.col("rank") <= shown)
-        .select("stream_id", "level", "rank", "n", "first_pos", "text", "template")
+        .select("stream_id", "level", "rank", "n", "first_pos",
+                *[c for c in ("text", "template") if c in counts.columns])
     )
 
 
@@ -157,16 +168,19 @@ def summary_report(
 ) -> DataFrame:
     """``stream_id, report``: the summary as text, one row per stream.
 
-    The narrow tallies are written once and feed counts, totals and top lines.
+    Lines are decoded once: narrow records are written, and tallies of them feed counts,
+    totals and top lines. Only the top lines' texts are fetched from the records.
     """
-    found = materialize(tallies(df))
+    narrow = materialize(narrowed(df))
+    found = materialize(tallies(narrow))
     counts = _templates(found)
-    return report_of(found, tracked_templates(counts, cap), template_totals(counts, cap), shown)
+    tops = with_text(top_templates(counts, cap, shown), narrow)
+    return report_of(found, tops, template_totals(counts, cap), shown)
 
 
-def report_of(found: DataFrame, tracked: DataFrame, totals: DataFrame, shown: int) -> DataFrame:
-    """The report from tallies, tracked templates and their totals."""
-    tops = top_templates(tracked, None, shown).groupBy("stream_id").agg(
+def report_of(found: DataFrame, tops: DataFrame, totals: DataFrame, shown: int) -> DataFrame:
+    """The report from tallies, top templates with their texts, and totals."""
+    listed = tops.groupBy("stream_id").agg(
         F.array_sort(
             F.collect_list(F.struct((-F.col("level")).alias("order"), "rank", "n", "text"))
         ).alias("top")
@@ -174,6 +188,6 @@ def report_of(found: DataFrame, tracked: DataFrame, totals: DataFrame, shown: in
     return (
         _counts(found)
         .join(totals, "stream_id", "left")
-        .join(tops, "stream_id", "left")
+        .join(listed, "stream_id", "left")
         .select("stream_id", report_text(shown).alias("report"))
     )

@@ -15,7 +15,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from logloom.operators.fold import IDLE, fold_session
-from logloom.operators.summary import SHOWN, TRACKED, report_of, tallies
+from logloom.operators.summary import (
+    SHOWN,
+    TRACKED,
+    narrowed,
+    report_of,
+    tallies,
+    top_templates,
+    with_text,
+)
 from logloom.schema import DEBUG, ERROR, INFO, UNKNOWN, WARN
 from logloom.sources.materialize import materialize
 from logloom.sources.sinks import write_stream
@@ -27,7 +35,8 @@ YEARLESS = ("glog",)
 def split_timed(df: DataFrame, delay: str = "1 minute") -> tuple[DataFrame, DataFrame]:
     """Records with a full time, and all others; both with ``at`` and ``timed``.
 
-    ``at`` is the record's time, or its arrival; each part has a watermark on it.
+    ``at`` is the record's time, or its arrival; each part has a watermark on it. Arrival is
+    when the batch is read, so a batch that runs again may count it in another window.
     """
     full = F.col("ts").isNotNull() & ~F.coalesce(F.col("format").isin(*YEARLESS), F.lit(False))
     own = df.filter(full).withColumns({"at": F.col("ts"), "timed": F.lit(True)})
@@ -53,16 +62,19 @@ def live_counts(df: DataFrame, window: str = "1 minute") -> DataFrame:
 
 
 def live_templates(df: DataFrame, window: str = "1 minute") -> DataFrame:
-    """Warnings and errors per template, stream and window, of a part of ``split_timed``."""
+    """Warnings and errors per template, stream and window, of a part of ``split_timed``.
+
+    ``first_pos`` says where the first text is; what state holds is of fixed width.
+    """
     return (
         df.filter(F.col("parsed") & (F.col("effective") >= WARN))
         .groupBy(F.window("at", window).alias("w"), "timed", "stream_id", "template")
         .agg(
             F.max("effective").alias("level"), F.count(F.lit(1)).alias("n"),
-            F.min_by("text", "pos").alias("text"),
+            F.min("pos").alias("first_pos"),
         )
         .select(F.col("w.start").alias("start"), "timed", "stream_id", "template", "level", "n",
-                "text")
+                "first_pos")
     )
 
 
@@ -116,7 +128,8 @@ def merge_report(records: DataFrame, batch: int, path: str, cap: int = TRACKED)
     runs again writes the same again. Templates of one batch count as met by position.
     """
     spark = records.sparkSession
-    found = tallies(records).withColumn("tracked", F.lit(False))
+    narrow = materialize(narrowed(records))
+    found = with_text(tallies(narrow), narrow).withColumn("tracked", F.lit(False))
     if batch:
         found = found.unionByName(spark.read.parquet(_batch(path, batch - 1)))
     keys = ["stream_id", "parsed", "effective"]
@@ -157,7 +170,7 @@ def live_report(spark: SparkSession, path: str, shown: int = SHOWN) -> DataFrame
     totals = state.groupBy("stream_id").agg(
         F.count_if(own & (level == ERROR)).alias("unique_errors"), F.count_if(own & (level == WARN)).alias("unique_warns"),
         F.coalesce(F.sum(F.when(failed & ~own, F.col("n"))), F.lit(0)).alias("untracked"))
-    return report_of(state, templates, totals, shown)
+    return report_of(state, top_templates(templates, None, shown), totals, shown)
 
 
 def split_late(rows: DataFrame, batch: int, path: str, delay: str, at: str = "ts") -> None:

@@ -205,6 +205,20 @@ def test_whole_pipeline_to_files(spark, tmp_path):
     assert [r.report for r in read_streams(spark, str(tmp_path / "summary"), stream).collect()] == [text]
 
 
+def test_summary_aggregates_by_hash(spark):
+    df = records(spark, [{"level": 4, "message": f"m{i % 3}", "stream": "ab"[i % 2]} for i in range(9)]).withColumns(
+        {"template": F.col("message"), "text": F.concat("message", F.lit(" "), F.col("pos").cast("string"))})
+    narrow = summary.narrowed(df)
+    for out in (summary.tallies(narrow), summary.summary_counts(df)):
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = summary.template_counts(df)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    first = {}
+    for r in df.orderBy("pos").collect():
+        first.setdefault((r.stream_id, r.template), (r.pos, r.text))
+    assert {(r.stream_id, r.template): (r.first_pos, r.text) for r in got.collect()} == first
+
+
 def test_many_streams_in_few_folders(spark, tmp_path):
     rows = spark.range(3_000).select(
         F.concat(F.lit("stream/"), (F.col("id") % 500).cast("string")).alias("stream_id"), F.col("id").alias("pos"),
