@@ -29,8 +29,10 @@ which bounds the list that tasks get whatever the size of the corpus.
 *Verification* never takes all pairs of a group of near copies: first each class
 is compared with the likeliest of the pivots that share an index entry with it,
 and classes that link so get one label. Afterwards only pairs of different labels
-that share an entry are compared, all of them. Nothing is capped. A pair's sets
-are fetched only if its sketches allow a link: a sketch holds the parities of the
+that share an entry are compared, all of them. Nothing is capped. A pair meets in one of
+its common entries: near copies share nearly all of theirs, so each class names its
+smallest entry of each of ``LEADS`` parts of the hashes, and a pair that has one of these
+in common meets in the first such. A pair's sets are fetched only if its sketches allow a link: a sketch holds the parities of the
 tokens that fall on each of its bits, so the bits in which two sketches differ are
 at most the tokens in which the sets differ.
 
@@ -59,6 +61,8 @@ LOW = -(2**63) + 2**64 // 5
 RARE = 8
 #: Tokens that a task holds before it sums them up.
 BLOCK = 2_000_000
+#: Parts of the hashes of which a class names its smallest entry.
+LEADS = 8
 #: Words of 64 bits in a sketch, for sets below and from a size on.
 SKETCH = ((2048, 8), (None, 64))
 
@@ -395,14 +399,20 @@ def _across(index: DataFrame, labels: DataFrame, classes: DataFrame, join: Join)
     members = index.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "entry", "id", "n", F.coalesce("component", "id").alias("label"))
     open_ = members.groupBy("entry").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h")
-    members = members.join(open_.select("entry"), "entry", "left_semi").join(
-        classes.select("id", "sketch"), "id")
+    members = materialize(members.join(open_.select("entry"), "entry", "left_semi"))
+    part = F.pmod(F.xxhash64("entry"), F.lit(LEADS))
+    leads = members.groupBy("id").agg(
+        F.array(*[F.min(F.when(part == k, F.col("entry"))) for k in range(LEADS)]).alias("leads"))
+    members = members.join(leads.join(classes.select("id", "sketch"), "id"), "id")
     a = members.select("entry", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("_n"),
-                       F.col("sketch").alias("sx"))
+                       F.col("sketch").alias("sx"), F.col("leads").alias("ex"))
     b = members.select("entry", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("_m"),
-                       F.col("sketch").alias("sy"))
+                       F.col("sketch").alias("sy"), F.col("leads").alias("ey"))
     n, m = F.col("_n"), F.col("_m")
-    met = (a["entry"] == b["entry"]) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly"))
+    # Where two classes name the same entry, it is common to them, and they meet there alone.
+    place = F.coalesce(*[F.when(F.get("ex", F.lit(k)) == F.get("ey", F.lit(k)), F.get("ex", F.lit(k))) for k in range(LEADS)])
+    met = (a["entry"] == b["entry"]) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (
+        F.coalesce(place, a["entry"]) == a["entry"])
     near = _close(n, m, join) & _able(_apart(F.col("sx"), F.col("sy")), n, m, join)
     return a.join(b, met & near).select("x", "y").distinct()
 
