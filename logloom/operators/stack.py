@@ -98,11 +98,24 @@ def classify_node(file: Column) -> Column:
     )
 
 
-def _node_is_frame(line: Column) -> Column:
-    file = F.regexp_extract(line, _NODE_FRAME, 2)
-    path = file.rlike("[./]") | F.startswith(file, F.lit("node:"))
+def _node_groups(line: Column) -> Column:
+    """Function, file, line and column by one search; other lines stay one part.
+
+    A line with the separator in it takes a search for each.
+    """
+    joined = F.regexp_replace(line, _NODE_FRAME, "$1\x00$2\x00$3\x00$4")
+    each = F.array(*[F.regexp_extract(line, _NODE_FRAME, i) for i in (1, 2, 3, 4)])
     # The plain test spares most lines the search.
-    return F.contains(line, F.lit("at ")) & line.rlike(_NODE_FRAME) & path
+    return (
+        F.when(~F.contains(line, F.lit("at ")), F.array(line))
+        .when(~F.contains(line, F.lit("\x00")), F.split(joined, "\x00"))
+        .when(line.rlike(_NODE_FRAME), each).otherwise(F.array(line))
+    )
+
+
+def _node_is_frame(parts: Column) -> Column:
+    file = F.get(parts, F.lit(1))
+    return (F.size(parts) == 4) & (file.rlike("[./]") | F.startswith(file, F.lit("node:")))
 
 
 def _node_frames(s: Column, module: str) -> Column:
@@ -114,23 +127,15 @@ def _node_frames(s: Column, module: str) -> Column:
             _int(F.get(part, F.lit(2))), _int(F.get(part, F.lit(3))), classify_node(file),
         )
 
-    def groups(line: Column) -> Column:
-        """All groups by one search; a line with the separator in it takes four."""
-        joined = F.regexp_replace(line, _NODE_FRAME, "$1\x00$2\x00$3\x00$4")
-        each = F.array(*[F.regexp_extract(line, _NODE_FRAME, i) for i in (1, 2, 3, 4)])
-        return F.when(F.contains(line, F.lit("\x00")), each).otherwise(F.split(joined, "\x00"))
-
-    return F.transform(
-        F.filter(F.split(s, "\n"), _node_is_frame), lambda line: let(groups(line), frame)
-    )
+    return F.transform(F.filter(F.transform(F.split(s, "\n"), _node_groups), _node_is_frame), frame)
 
 
 def _node_header(s: Column) -> Column:
     lines = F.split(s, "\n")
-    numbered = F.transform(
-        lines, lambda l, i: F.when(_node_is_frame(l), i).otherwise(F.lit(2_147_483_647))
-    )
-    return trim_space(F.array_join(F.slice(lines, F.lit(1), F.array_min(numbered)), "\n"))
+    found = F.transform(F.transform(lines, _node_groups), _node_is_frame)
+    first = F.array_position(found, F.lit(True))
+    return trim_space(F.array_join(
+        F.slice(lines, F.lit(1), F.when(first > 0, (first - 1).cast("int")).otherwise(F.size(lines))), "\n"))
 
 
 # --- registry ------------------------------------------------------------------
@@ -156,7 +161,8 @@ GRAMMARS: list[TraceGrammar] = [
     ),
     TraceGrammar(
         "node",
-        lambda s: F.contains(s, F.lit("at ")) & F.exists(F.split(s, "\n"), _node_is_frame),
+        lambda s: F.contains(s, F.lit("at ")) & F.exists(
+            F.transform(F.split(s, "\n"), _node_groups), _node_is_frame),
         _node_frames,
         _node_header,
     ),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import frames, render, summary
+from logloom.operators import decode, frames, render, summary
 from logloom.operators.columns import constant_fields
 from logloom.operators.correlate import NARROW, corr_groups, related_events, remembered
 from logloom.operators.fold import fold_islands, fold_session
@@ -35,7 +35,8 @@ from logloom.plans.derived import (
 from logloom.plans.pipeline import Options, enrich, run
 from logloom.schema import level_label
 from logloom.sources.materialize import materialize, new_folder
-from logloom.sources.sinks import write_lines, write_stream
+from logloom.sources.lines import read_lines, split_long
+from logloom.sources.sinks import read_streams, write_lines, write_stream, write_summary
 from logloom.sources.tail import positioned_lines, tail_lines
 from logloom.streaming.live import (
     latest,
@@ -794,6 +795,88 @@ def stream_templates(spark, sf_dir):
         "template", _plain("template"))
 
 
+# --- files --------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT row_number() OVER (ORDER BY stream_id, pos) - 1 AS n, line FROM ({ORACLES["format_lines"]})""")
+def written_order(spark, sf_dir):
+    """Lines of text files in the order they were written."""
+    path = f"{new_folder(spark)}/text"
+    write_lines(format_lines(spark, sf_dir), path)
+    lines = positioned_lines(spark, path, stream="folder")
+    return with_ordinal(lines, "n", size=1 << 20).select("n", F.col("raw").alias("line"))
+
+
+_DOCUMENT_LINES = "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents"
+
+
+@query(f"""
+SELECT lang, count(*) AS lines, count(*) AS places,
+  sum(length(CASE WHEN line LIKE '%' || chr(13) THEN left(line, -1) ELSE line END))::BIGINT AS chars
+FROM ({_DOCUMENT_LINES}) WHERE lang <> 'en' GROUP BY lang""")
+def read_kept_files(spark, sf_dir):
+    """Lines of the files that a filter on their folder keeps, each in a place of its own."""
+    path = f"{new_folder(spark)}/documents"
+    table(spark, sf_dir, "documents").where("text is not null").select("text", "lang").write.partitionBy("lang").text(path)
+    lines = read_lines(spark, path, keep=F.col("lang") != "en")
+    return lines.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("stream_id", "pos").alias("places"),
+        F.sum(F.length("raw")).alias("chars"))
+
+
+@query(f"""
+SELECT 'doc' || doc_id AS stream_id, strlen(line) >= 300 AS long, count(*) AS lines, sum(strlen(line))::BIGINT AS bytes
+FROM ({_DOCUMENT_LINES}) GROUP BY ALL""")
+def split_long_lines(spark, sf_dir):
+    """Lines that are short enough to take, and those set apart."""
+    short, long = split_long(document_lines(spark, sf_dir), 300)
+    both = short.withColumn("long", F.lit(False)).unionByName(long.withColumn("long", F.lit(True)))
+    return both.groupBy("stream_id", "long").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("raw")).alias("bytes"))
+
+
+@query(ORACLES["summary_report"])
+def summary_folders(spark, sf_dir):
+    """Reports written to a bounded number of folders and read back."""
+    path = f"{new_folder(spark)}/reports"
+    write_summary(summary.summary_report(_part_records(spark, sf_dir)), path)
+    return read_streams(spark, path).drop("pos")
+
+
+@query(r"""
+SELECT 'parts' AS stream_id, p_partkey AS pos, '--:--:-- INFO  part  body="' ||
+  trim(regexp_replace(p_name || ' ' || p_type, '\s+', ' ', 'g')) || '"' AS line FROM part""")
+def flattened_fields(spark, sf_dir):
+    """Values of several lines come out on one."""
+    body = F.concat("p_name", F.lit("\n\t "), "p_type")
+    raw = F.to_json(F.struct(F.lit("INFO").alias("level"), F.lit("part").alias("msg"), body.alias("body")))
+    lines = spread(table(spark, sf_dir, "part")).select(
+        F.lit("parts").alias("stream_id"), F.col("p_partkey").alias("pos"), raw.alias("raw"))
+    return render.format_lines(normalize(lines))
+
+
+@query("""
+SELECT 'suppliers' AS stream_id, s_suppkey AS pos, 'tilde' AS format, 3 AS level,
+  'late crate ' || s_suppkey || ' of ' || s_nationkey AS message, 'WARN||late crate # of #' AS template FROM supplier""")
+def registered_format(spark, sf_dir):
+    """Lines of a format, and masks, that the caller brings along."""
+    part = lambda raw, i: F.get(F.split(raw, "~"), F.lit(i))
+    decode.register_format("tilde", lambda raw: raw.rlike("^[A-Z]+~"), lambda raw: F.array(
+        F.struct(F.lit("level").alias("key"), part(raw, 0).alias("value")),
+        F.struct(F.lit("msg").alias("key"), part(raw, 1).alias("value"))))
+    try:
+        raw = F.concat(F.lit("WARN~late crate "), F.col("s_suppkey").cast("string"), F.lit(" of "),
+                       F.col("s_nationkey").cast("string"))
+        lines = spread(table(spark, sf_dir, "supplier")).select(
+            F.lit("suppliers").alias("stream_id"), F.col("s_suppkey").alias("pos"), raw.alias("raw"))
+        records = enrich(lines, Options(mask_rules=(("[0-9]+", "#"),)))
+    finally:
+        decode.FORMATS.pop()
+        del decode.FORMAT_NAMES["tilde"]
+    return records.select("stream_id", "pos", "format", "level", "message", _plain("template").alias("template"))
+
+
 # --- growing files ------------------------------------------------------------------------
 
 #: Bytes of a stream that a batch takes.
