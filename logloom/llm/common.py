@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,4 +51,33 @@ def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in columns.items()])
 
 
-__all__ = ["FOLDS", "SPACE", "WORD", "fold", "materialize", "replaced", "table", "tokenizer_path", "word_count", "words"]
+#: Bits of a sieve: 2 MB, whatever it is made from.
+SIEVE = 1 << 24
+
+
+def sieve(ids: DataFrame, bits: int = SIEVE) -> Callable[[str], Column]:
+    """Tells for a column whether its value may be among ``ids``; never wrong about one that is.
+
+    A table of ``bits`` bits, one for each hash that occurs. Rows that it rules out need not
+    move for a join; the others are joined as before. With very many ids it rules out
+    little and costs nothing but itself. Null is never among them.
+    """
+    at = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(bits))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("held")).toArrow()
+    table = np.zeros(bits // 8, np.uint8)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+
+    @F.pandas_udf("boolean")
+    def held(place: pd.Series) -> pd.Series:
+        p = place.to_numpy()
+        return pd.Series((table[p >> 3] >> (p & 7)) & 1 == 1)
+
+    def may_hold(name: str) -> Column:
+        c = F.col(f"`{name}`").cast("long")
+        return held(F.pmod(F.xxhash64(c), F.lit(bits))) & c.isNotNull()
+
+    return may_hold
+
+
+__all__ = ["FOLDS", "SPACE", "WORD", "fold", "materialize", "replaced", "sieve", "table", "tokenizer_path", "word_count", "words"]

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sieve
 
 #: Limits of set sizes and numbers of groups of frequent tokens up to them.
 LEVELS = ((128, 8), (1024, 32), (8192, 128), (None, 1024))
@@ -62,7 +62,7 @@ RARE = 8
 #: Tokens that a task holds before it sums them up.
 BLOCK = 2_000_000
 #: Parts of the hashes of which a class names its smallest entry.
-LEADS = 8
+LEADS = 4
 #: Words of 64 bits in a sketch, for sets below and from a size on.
 SKETCH = ((2048, 8), (None, 64))
 
@@ -292,7 +292,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), _I64)),
                     ], ["id", "tokens"])
 
-    texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "h1", "h2")
+    # Texts that no pair asks for stay where they are.
+    may_hold = sieve(wanted.select("id"))
+    texts = docs.where(may_hold("doc_id")).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id")
+    texts = texts.select("doc_id", "text", "h1", "h2")
     return texts.mapInArrow(sets, "id long, tokens array<long>")
 
 
@@ -311,7 +314,8 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, join: Join) ->
     """Those ``x, y`` that link, by their whole sets."""
     pairs = materialize(pairs)
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    sets = materialize(_sets(docs, classes.join(ids, "id", "left_semi").select("id", "h1", "h2"), join))
+    wanted = materialize(classes.join(ids, "id", "left_semi").select("id", "h1", "h2"))
+    sets = materialize(_sets(docs, wanted, join))
     a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("_a"))
     b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
