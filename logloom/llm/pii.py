@@ -47,7 +47,8 @@ from .common import fold, replaced
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
+# Numbers of fewer than seven digits are no candidates, so the pattern passes them over.
+CARD = r"(?=(?:[0-9][\x20-]?){6}[0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Generators beside the base formats.
 SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"
@@ -81,6 +82,8 @@ CUES = (
     r"fax|mobile|mail|contact|ip|host|address|ssn)\W{0,4}$"
 )
 CONTEXT = 24
+#: Matches of a text that are placed together.
+BLOCK = 128
 
 #: Names and numbers of values of the features.
 FEATURES = (
@@ -165,6 +168,39 @@ def _features(generator: int, s: Column, left: Column, right: Column) -> list[Co
     ]
 
 
+def _places(gap: Column, found: Column) -> Column:
+    """Start, end and number of each match, from the matches and the gaps around them.
+
+    Running sums copy the list that they extend, so they are made within blocks of
+    matches, from the sums of the blocks before.
+    """
+    none = F.array().cast("array<int>")
+
+    def summed(sizes: Column) -> Column:
+        """The sum before each element and before the end."""
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(
+            sizes, start, lambda acc, n: F.struct(
+                (acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: F.concat(acc["out"], F.array(acc["at"])))
+
+    def ends(b: Column) -> Column:
+        """Lengths from match to match of a block."""
+        numbers = F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK, F.size(found)) - 1)
+        return F.transform(numbers, lambda i: F.length(F.get(gap, i)) + F.length(F.get(found, i)))
+
+    def block(sizes: Column, b: Column, before: Column) -> Column:
+        return let(summed(sizes), lambda sums: F.transform(sizes, lambda _, k: let(
+            before + F.get(sums, k + 1), lambda e: F.struct(
+                (e - F.length(F.get(found, b * BLOCK + k))).alias("s"), e.alias("e"), (b * BLOCK + k).alias("i")))))
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), ends)
+    return let(blocks, lambda blocks: let(
+        summed(F.transform(blocks, lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, n: a + n))),
+        lambda before: F.flatten(F.transform(blocks, lambda sizes, b: block(sizes, b, F.get(before, b))))))
+
+
 def _placed(text: Column, generator: int) -> Column:
     """Candidates of one generator: start, end, verified, label, features."""
     pattern = GENERATORS[generator]
@@ -173,20 +209,7 @@ def _placed(text: Column, generator: int) -> Column:
         gaps = F.split(text, pattern, -1)
 
         def walk(gap: Column) -> Column:
-            empty = F.array().cast("array<struct<s:int,e:int,i:int>>")
-
-            def step(acc: Column, i: Column) -> Column:
-                s = acc["at"] + F.length(F.get(gap, i))
-                return let(s, lambda s: let(s + F.length(F.get(found, i)), lambda e: F.struct(
-                    e.alias("at"),
-                    F.concat(acc["out"], F.array(F.struct(
-                        s.alias("s"), e.alias("e"), i.alias("i")))).alias("out"),
-                )))
-
-            at = F.aggregate(
-                F.sequence(F.lit(0), F.size(found) - 1),
-                F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"],
-            )
+            at = _places(gap, found)
 
             def candidate(p: Column) -> Column:
                 return let(F.get(found, p["i"]), lambda s: let(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from logloom.llm import pii
 
@@ -92,3 +93,26 @@ def test_secrets_need_no_hexadecimal_form(docs_of):
     assert [got[i] for i in range(len(secrets))] == ["The value <SECRET> stands alone"] * len(secrets)
     assert [got[10 + i] for i in range(len(assigned))] == ["api_key: '<SECRET>' was set"] * len(assigned)
     assert [got[100 + i] for i in range(len(clean))] == clean
+
+
+def test_many_matches_are_placed_in_blocks(docs_of):
+    rng = random.Random(8)
+    bits = ["a@b.org", "4111 1111 1111 1111", "1.2.3.4", "+1 234 567 8901", "7 8 9", "é" * 3, "123456", "12-34-56-7", "1234567", "words"]
+    rows = [(n, "; ".join(rng.choices(bits, k=n))) for n in (1, 127, 128, 129, 700)]
+    found = pii.candidates(docs_of(rows))
+    out = pii.selected(found, pii.Model())
+    for r in out.select("text", pii.written(out["base"]).alias("b")).collect():
+        assert r.b == _base(r.text)
+    # The spans proposed as cards are the runs of seven digits and more.
+    for r in found.select("text", "candidates").collect():
+        runs = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])*", r.text) if len(re.sub("[^0-9]", "", m.group())) >= 7]
+        assert [(c.s, c.e) for c in r.candidates if c.g == 2] == runs
+
+
+def test_long_tables_of_numbers_take_seconds(docs_of):
+    text = "".join(f"{i % 1000},{i % 77}\n" for i in range(150_000))
+    assert len(text) > 900_000
+    start = time.time()
+    got = pii.candidates(docs_of([(1, text), (2, "mail a@b.org, " * 10_000)])).collect()
+    assert {r.doc_id: len(r.candidates) for r in got} == {1: 0, 2: 10_000}
+    assert time.time() - start < 30
