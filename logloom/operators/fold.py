@@ -1,7 +1,7 @@
 """Folding of repeated events into runs.
 
 ``fold_islands``: a run is a chain of same-template records, each at most ten
-parsed records after the one before. ``fold_session`` ends a run by event time. The
+parsed records after the one before. ``fold_session`` ends a run by event time, also by its length if asked. The
 stream fold proper, which also bounds the number of open runs, is in ``runs``.
 Passthrough records end every run in it and in islands.
 """
@@ -95,20 +95,29 @@ def _sessions(timed: DataFrame, idle: str, *keys: str) -> DataFrame:
     )
 
 
-def fold_session(df: DataFrame, idle: str = IDLE, slices: int = SESSION_SLICES) -> DataFrame:
+def fold_session(
+    df: DataFrame, idle: str = IDLE, slices: int = SESSION_SLICES, hold: str | None = None
+) -> DataFrame:
     """Runs by event time: a template's run ends after ``idle`` without a record.
 
     Also runs on a watermarked stream. Records without a time are left out. In
     batch, time is cut into slices of ``slices`` times the idle time, so that a
     template that most of a stream consists of is spread over many tasks; runs
     that reach the edge of their slice are joined across it afterwards.
+
+    With ``hold``, in batch, a run that goes on is also cut every ``hold`` from its
+    first record, so that none lasts that long and a storm shows at least so often.
     """
     timed = df.filter(F.col("parsed") & F.col("ts").isNotNull())
     columns = [*RUN_COLUMNS, "first_ts", "last_ts"]
     if df.isStreaming:
+        if hold:
+            raise ValueError("on a stream, fold_stream holds runs by time")
         return _sessions(timed, idle).select(*columns)
     gap = _micros(idle)
     width = gap * slices
+    if hold:
+        return _held(timed, gap, width, _micros(hold)).select(*columns)
     us = F.unix_micros("ts")
     parts = _sessions(timed.withColumn("_slice", F.floor(us / width)), idle, "_slice")
     # A run can go on beyond its slice only from within ``idle`` of the edge.
@@ -131,6 +140,38 @@ def fold_session(df: DataFrame, idle: str = IDLE, slices: int = SESSION_SLICES)
     return edged.filter("not _edge").select(*columns).unionByName(joined.select(*columns))
 
 
+def _held(timed: DataFrame, gap: int, width: int, hold: int) -> DataFrame:
+    """Sessions cut every ``hold``; only where a slice is entered amid one is its start looked up."""
+    keys = ["stream_id", "template", "_slice"]
+    us = F.unix_micros("ts")
+    here = Window.partitionBy(*keys).orderBy("_us", "pos")
+    rows = (
+        timed.select("stream_id", "template", "pos", us.alias("_us"), F.floor(us / width).alias("_slice"))
+        .withColumn("_first", F.when(F.col("_us") - F.lag("_us").over(here) <= gap, None).otherwise(F.col("_us")))
+        .withColumn("_start", F.max("_first").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    # A row for each slice: how it begins and ends. Starts pass through slices without a break.
+    chain = Window.partitionBy("stream_id", "template").orderBy("_slice")
+    entered = (
+        rows.groupBy(*keys)
+        .agg(F.min("_us").alias("_a"), F.max("_us").alias("_z"), F.max("_start").alias("_last"))
+        .withColumn("_joined", F.coalesce(F.col("_a") - F.lag("_z").over(chain) <= gap, F.lit(False)))
+        .withColumn("_left", F.when(~F.col("_joined") | (F.col("_last") > F.col("_a")), F.col("_last")))
+        .withColumn("_from", F.last("_left", True).over(chain.rowsBetween(Window.unboundedPreceding, -1)))
+        .filter("_joined").select(*keys, "_a", "_from")
+    )
+    begun = F.when(F.col("_start") == F.col("_a"), F.col("_from")).otherwise(F.col("_start"))
+    return (
+        rows.join(entered, keys, "left").withColumn("_start", begun)
+        .groupBy("stream_id", "template", "_start", F.floor((F.col("_us") - F.col("_start")) / hold).alias("_part"))
+        .agg(
+            F.min("pos").alias("head_pos"), F.max("pos").alias("last_pos"),
+            F.count(F.lit(1)).alias("repeat"),
+            F.timestamp_micros(F.min("_us")).alias("first_ts"), F.timestamp_micros(F.max("_us")).alias("last_ts"),
+        )
+    )
+
+
 def _micros(span: str) -> int:
     """Microseconds of a span such as ``750 milliseconds``."""
     number, unit = span.split()

@@ -518,24 +518,43 @@ def fold_islands_unbroken(spark, sf_dir):
     return runs.withColumn("template", _plain("template"))
 
 
-@query(_records() + """
+_SESSIONS = """
 , s AS (
   SELECT *, lag(ts_us) OVER (PARTITION BY stream_id, tmpl ORDER BY ts_us, pos) AS before
   FROM par),
 i AS (
-  SELECT *, sum(CASE WHEN ts_us - before <= 750000 THEN 0 ELSE 1 END)
+  SELECT *, sum(CASE WHEN ts_us - before <= {gap} THEN 0 ELSE 1 END)
     OVER (PARTITION BY stream_id, tmpl ORDER BY ts_us, pos) AS island FROM s)
+"""
+#: Seconds after which ``fold_session_held`` ends and cuts a run.
+HELD_IDLE, HELD_FOR = 30, 120
+_SESSION_RUNS = """
 SELECT stream_id, min(pos) AS head_pos, max(pos) AS last_pos, count(*) AS repeat,
   tmpl AS template, min(ts_us) AS first_us, max(ts_us) AS last_us
-FROM i GROUP BY stream_id, tmpl, island""", name="fold_session")
-def fold_session_query(spark, sf_dir):
-    runs = fold_session(_mixed(spark, sf_dir))
+"""
+
+
+def _timed_runs(runs: DataFrame) -> DataFrame:
     return runs.select(
         "stream_id", "head_pos", "last_pos", "repeat", _plain("template").alias("template"),
         F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"),
     )
 
 
+@query(_records() + _SESSIONS.format(gap=750_000) + _SESSION_RUNS + "FROM i GROUP BY stream_id, tmpl, island",
+       name="fold_session")
+def fold_session_query(spark, sf_dir):
+    return _timed_runs(fold_session(_mixed(spark, sf_dir)))
+
+
+@query(_records() + _SESSIONS.format(gap=HELD_IDLE * 1_000_000) + """
+, h AS (SELECT *, ts_us - min(ts_us) OVER (PARTITION BY stream_id, tmpl, island) AS since FROM i)
+""" + _SESSION_RUNS + f"FROM h GROUP BY stream_id, tmpl, island, since // {HELD_FOR * 1_000_000}")
+def fold_session_held(spark, sf_dir):
+    """Runs cut by length; spans as long as those between the records of the tables."""
+    return _timed_runs(fold_session(_mixed(spark, sf_dir), f"{HELD_IDLE} seconds", hold=f"{HELD_FOR} seconds"))
+
+
 @query(_records("0").replace("WITH ", "WITH RECURSIVE ", 1) + """
 , f AS (SELECT stream_id, pos, tmpl, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS p FROM par),
 -- Open runs, oldest head first: template, last record, head and count. Each step takes one

@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from logloom.operators import runs
-from logloom.operators.fold import fold, fold_islands
+from logloom.operators.fold import RUN_COLUMNS, fold, fold_islands, fold_session
 from logloom.operators.runs import FOLD_WINDOW, MAX_OPEN_RUNS, OpenRuns, fold_runs
 
 SCHEMA = "stream_id string, pos long, parsed boolean, template string"
@@ -208,3 +211,48 @@ def test_cases_hold_for_every_order_of_what_they_inherit():
 
 def test_empty_stream(spark):
     assert fold_runs(_frame(spark, [("s", 0, "a")]).limit(0), chunk=50, size=64).count() == 0
+
+
+def _cut_sessions(rows, idle, hold):
+    """Runs by a loop over each template's records in time order."""
+    runs, last = [], {}
+    for us, pos, stream, template in sorted((us, pos, s, t) for s, pos, t, us in rows):
+        run = last.get((stream, template))
+        if not run or us - run["end"] > idle:
+            run = last[stream, template] = {"from": us, "end": us, "part": None}
+        part = (us - run["from"]) // hold
+        if part != run["part"]:
+            run["part"], run["own"] = part, [stream, pos, pos, 0, template, us, us]
+            runs.append(run["own"])
+        own, run["end"] = run["own"], us
+        own[1], own[2], own[3], own[6] = min(own[1], pos), max(own[2], pos), own[3] + 1, us
+    return sorted(map(tuple, runs))
+
+
+@pytest.mark.parametrize("slices", [1, 3, 1024])
+def test_sessions_are_cut_by_length(spark, slices):
+    rng, rows, at = random.Random(slices), [], {}
+    for pos in range(3000):
+        stream, template = rng.choice("xy"), rng.choice("aaab")
+        # Gaps at and beside the limit, equal times, and times out of order.
+        at[stream] = at.get(stream, 1_700_000_000_000_000) + rng.choice([0, 1000, 90_000, 150_000, 200_000, 200_001, 350_000])
+        rows.append((stream, pos, template, at[stream] - rng.choice([0, 0, 0, 120_000])))
+    rows += [("storm", p, "s", 1_700_000_000_000_000 + p * 100_000) for p in range(500)]
+    frame = spark.createDataFrame(rows, "stream_id string, pos long, template string, us long").select(
+        "stream_id", "pos", "template", F.timestamp_micros("us").alias("ts"), F.lit(True).alias("parsed"))
+    frame = frame.unionByName(frame.limit(5).withColumns({"ts": F.lit(None).cast("timestamp"), "pos": F.col("pos") + 10**6}))
+    got = fold_session(frame, "200 milliseconds", slices=slices, hold="3 seconds").select(
+        *RUN_COLUMNS[:4], "template", F.unix_micros("first_ts"), F.unix_micros("last_ts"))
+    got = sorted(map(tuple, got.collect()))
+    assert got == _cut_sessions(rows, 200_000, 3_000_000)
+    assert all(r[6] - r[5] < 3_000_000 for r in got)
+    assert len([r for r in got if r[0] == "storm"]) == 17
+    # Without a storm's length to cut, runs are those of the idle time alone.
+    whole = fold_session(frame, "200 milliseconds", slices=slices).select("stream_id", "head_pos", "repeat")
+    held = fold_session(frame, "200 milliseconds", slices=slices, hold="1 day").select("stream_id", "head_pos", "repeat")
+    assert sorted(held.collect()) == sorted(whole.collect())
+
+
+def test_sessions_by_length_of_no_records(spark):
+    none = spark.createDataFrame([], "stream_id string, pos long, template string, ts timestamp, parsed boolean")
+    assert fold_session(none, hold="3 seconds").collect() == []
