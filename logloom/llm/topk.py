@@ -1,10 +1,12 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors are gathered into shards, queries into blocks, each a matrix of one row
-of a table. Every block meets every shard by an equi-join on the block's number
-(shards are repeated once per block), so a tile is one product of two bounded
-matrices. From each tile the best ``k`` per query are selected; lists of tiles are
-merged as a tree, ``FAN`` at a time, so no task gets all lists of a query.
+Vectors are gathered into shards, queries into blocks, each a matrix in one row of
+a table, of a bounded number of rows and bytes. The grid of blocks and shards is cut
+into cells of ``BLOCKS`` by ``SHARDS``: a cell is a task's group, which multiplies
+tile by tile. A shard is sent once per ``BLOCKS`` blocks, a block once per ``SHARDS``
+shards. From each tile the best ``k`` per query are selected and merged within the
+cell; lists of cells are merged as a tree, ``FAN`` at a time, so no task gets all
+lists of a query.
 
 Components are integers, ``floor(scale * x)``; products are exact: in floating
 point while all sums stay below 2^53, else with integers of any size.
@@ -32,6 +34,10 @@ from .common import materialize
 
 #: Rows of a shard, and of a block of queries.
 SHARD, BLOCK = 8192, 2048
+#: Bytes after which either is full.
+SHARD_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
+#: Blocks and shards of a cell, which then holds 128 MB (256 at worst).
+BLOCKS, SHARDS = 16, 4
 #: Lists merged at a time.
 FAN = 16
 #: Bits of the numbers of shards within a task.
@@ -53,8 +59,8 @@ def usable(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), F.size("embedding").alias("dim"), down.alias("v"))
 
 
-def _gathered(vectors: DataFrame, rows: int) -> DataFrame:
-    """Tiles: ``tile, dim, ids`` (ascending), ``data`` (doubles, row by row)."""
+def _gathered(vectors: DataFrame, rows: int, size: int) -> DataFrame:
+    """Tiles ``tile, dim, ids`` (ascending), ``data`` (doubles, row by row), of under twice ``rows`` and ``size`` bytes."""
     names = ["tile", "dim", "ids", "data"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +86,14 @@ def _gathered(vectors: DataFrame, rows: int) -> DataFrame:
             flat, ends = v.flatten().to_numpy(), np.cumsum(dims)
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
-                for i in range(0, len(mine), rows):
-                    at = mine[i:i + rows]
+                most = max(1, min(rows, size // (8 * int(dim))))
+                for i in range(0, len(mine), most):
+                    at = mine[i:i + most]
                     cells = (ends[at] - dim)[:, None] + np.arange(dim)
                     own = held.setdefault(int(dim), ([], []))
                     own[0].append(ids[at])
                     own[1].append(flat[cells].ravel())
-                    if sum(map(len, own[0])) >= rows:
+                    if sum(map(len, own[0])) >= most:
                         yield made(int(dim))
         for dim in list(held):
             yield made(dim)
@@ -116,24 +123,44 @@ def best(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, ids: np.ndarr
     return out
 
 
-def _multiplied(tiles: DataFrame, k: int) -> DataFrame:
-    names = ["query_id", "part", "vec_id", "score"]
+def _rows_of(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [
+        (np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(d.as_buffer()).reshape(-1, dim.as_py()))
+        for i, d, dim in zip(table["ids"], table["data"], table["dim"])]
+
+
+def _multiplied(blocks: DataFrame, shards: DataFrame, k: int) -> DataFrame:
+    """``query_id, part, vec_id, score``: the best of each cell; ``part`` numbers its shards."""
+    cell = ("dim", "part", "column")
+
+    def multiply(blocks: pa.Table, shards: pa.Table) -> pa.Table:
+        tiles, out = _rows_of(shards), []
+        for q_ids, queries in _rows_of(blocks):
+            lists = []
+            for ids, data in tiles:
+                found = best(queries, q_ids, data, ids, k)
+                lists.append((
+                    np.repeat(q_ids, [len(s) for _, s in found]),
+                    np.concatenate([i for i, _ in found]),
+                    np.array([s for _, row in found for s in row], np.int64)))
+            query, vec, score = (np.concatenate(x) for x in zip(*lists))
+            # The complement orders scores downwards and has no overflow.
+            order = np.lexsort((vec, ~score, query))
+            starts = np.searchsorted(query[order], query[order])
+            out.append([c[order[np.arange(len(order)) - starts < k]] for c in (query, vec, score)])
+        query, vec, score = (np.concatenate(x) for x in zip(*out))
+        part = np.full(len(query), shards["part"][0].as_py(), np.int64) if len(shards) else query
+        return pa.table({"query_id": query, "part": part, "vec_id": vec, "score": score})
+
+    return blocks.groupBy(*cell).cogroup(shards.groupBy(*cell)).applyInArrow(
+        multiply, "query_id long, part long, vec_id long, score long")
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.to_pylist():
-                q, d = (np.frombuffer(t[c]).reshape(-1, t["dim"]) for c in ("q_data", "data"))
-                q_ids, ids = (np.frombuffer(t[c], np.int64) for c in ("q_ids", "ids"))
-                found = best(q, q_ids, d, ids, k)
-                counts = [len(s) for _, s in found]
-                scores = [s for _, row in found for s in row]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(q_ids, counts), pa.int64()),
-                    pa.array(np.full(len(scores), t["part"]), pa.int64()),
-                    pa.array(np.concatenate([i for i, _ in found]), pa.int64()),
-                    pa.array(scores, pa.int64())], names)
 
-    return tiles.mapInArrow(multiply, ", ".join(f"{c} long" for c in names))
+def _dealt(tiles: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``tile, dim, name`` (``size`` tiles a number, from 0, per length), and the numbers by length."""
+    order = Window.partitionBy("dim").orderBy("tile")
+    places = tiles.select("tile", "dim", F.floor((F.row_number().over(order) - 1) / size).alias(name))
+    return places, places.groupBy("dim").agg((F.max(name) + 1).alias("_n"))
 
 
 def _shortened(lists: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -151,23 +178,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256,
     every = usable(vectors, scale)
     chosen = usable(vectors.where(is_query), scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     chosen = chosen.select("vec_id", F.size("v").alias("dim"), "v")
-    blocks = materialize(_gathered(chosen, block))
-    shards = materialize(_gathered(every, shard))
-    # Numbers of the blocks of a length: one row per block.
-    numbered = blocks.groupBy("dim").agg(F.collect_list("tile").alias("tiles"))
-    spread = shards.join(numbered, "dim").select(
-        "dim", "ids", "data", F.col("tile").alias("part"), F.explode("tiles").alias("block"))
-    # Dealt by tile, not by block: each task gets a few products.
-    spread = spread.repartition("part", "block")
-    tiles = spread.join(
-        blocks.select(F.col("tile").alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "block")
-    lists = _multiplied(tiles.select("dim", "part", "ids", "data", "q_ids", "q_data"), k)
-
-    # Shards get consecutive numbers, so that each level has FAN times fewer lists.
-    places = shards.select(F.col("tile").alias("part")).withColumn(
-        "group", F.row_number().over(Window.orderBy("part")) - 1)
-    count = shards.count()
-    lists = lists.join(places, "part").drop("part")
+    blocks = materialize(_gathered(chosen, block, BLOCK_BYTES))
+    shards = materialize(_gathered(every, shard, SHARD_BYTES))
+    # One narrow row for each block and shard.
+    columns, across = _dealt(blocks, BLOCKS, "column")
+    parts, down = _dealt(shards, SHARDS, "part")
+    count = down.agg(F.max("_n")).first()[0] or 0
+
+    def copies(tiles: DataFrame, places: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
+        each = places.join(numbers, "dim").select(
+            "tile", *[c for c in places.columns if c not in ("tile", "dim")],
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias(name))
+        return tiles.join(each, "tile").drop("tile")
+
+    lists = _multiplied(copies(blocks, columns, down, "part"), copies(shards, parts, across, "column"), k)
+    lists = lists.withColumnRenamed("part", "group")
     while count > FAN:
         count = -(-count // FAN)
         lists = lists.withColumn("group", F.floor(F.col("group") / FAN))

@@ -5,6 +5,7 @@ import hashlib
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm import registry, topk, warc
@@ -12,7 +13,10 @@ from logloom.llm import registry, topk, warc
 _LONG = 2**63 - 1
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("cell", [(16, 4, 16), (1, 1, 2), (2, 3, 2)])
+def test_top_k_equals_brute_force(spark, monkeypatch, cell):
+    for name, value in zip(("BLOCKS", "SHARDS", "FAN"), cell):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4)], "q") for i in range(137)]
     rows += [
@@ -36,6 +40,12 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_tiles_are_bounded_by_bytes(spark):
+    rows = spark.range(64).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(1.0), 100).alias("embedding"))
+    tiles = topk._gathered(topk.usable(rows.coalesce(1)), 50, 8000).select("ids", "data").collect()
+    assert sum(len(t.ids) for t in tiles) == 64 * 8 and max(len(t.data) for t in tiles) <= 16_000 and len(tiles) >= 4
+
+
 def _pages(rows):
     first = {}
     for i, _, html in rows:
