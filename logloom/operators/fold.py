@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.ordinals import CHUNK, SLICE, in_reach, with_chunks, with_ordinal
 from logloom.operators.runs import FOLD_WINDOW
+from logloom.sources.materialize import materialize
 
 # How long a paused and a busy run may be held back.
 IDLE = "750 milliseconds"
@@ -145,8 +146,10 @@ def _held(timed: DataFrame, gap: int, width: int, hold: int) -> DataFrame:
     keys = ["stream_id", "template", "_slice"]
     us = F.unix_micros("ts")
     here = Window.partitionBy(*keys).orderBy("_us", "pos")
+    # Read twice below, so what the lines are parsed into is written, narrow, first.
+    narrow = materialize(timed.select("stream_id", "template", "pos", us.alias("_us")))
     rows = (
-        timed.select("stream_id", "template", "pos", us.alias("_us"), F.floor(us / width).alias("_slice"))
+        narrow.withColumn("_slice", F.floor(F.col("_us") / width))
         .withColumn("_first", F.when(F.col("_us") - F.lag("_us").over(here) <= gap, None).otherwise(F.col("_us")))
         .withColumn("_start", F.max("_first").over(here.rowsBetween(Window.unboundedPreceding, 0)))
     )
