@@ -37,7 +37,7 @@ from logloom.schema import level_label
 from logloom.sources.materialize import materialize, new_folder
 from logloom.sources.lines import read_lines, split_long
 from logloom.sources.sinks import read_streams, write_lines, write_stream, write_summary
-from logloom.sources.tail import positioned_lines, tail_lines
+from logloom.sources.tail import folder_bytes, positioned_lines, tail_lines
 from logloom.streaming.live import (
     latest,
     live_counts,
@@ -898,8 +898,8 @@ def registered_format(spark, sf_dir):
 
 # --- growing files ------------------------------------------------------------------------
 
-#: Bytes of a stream that a batch takes.
-_PER_BATCH = str(1 << 18)
+#: Bytes of a stream that a batch takes: a part of all there are, within these.
+_PER_BATCH, _PARTS = (1 << 18, 1 << 25), 24
 
 
 def _log_folder(lines: DataFrame) -> str:
@@ -909,6 +909,17 @@ def _log_folder(lines: DataFrame) -> str:
     return path
 
 
+def _followed_lines(spark: SparkSession, logs: str) -> DataFrame:
+    """The lines of a log folder as a stream, several batches of it.
+
+    Batches grow with the files until a task has enough to do and no more than it can hold: each
+    has a fixed cost, so small ones of one size would be as many as the files are long.
+    """
+    least, most = _PER_BATCH
+    size = min(most, max(least, folder_bytes(logs) // _PARTS))
+    return tail_lines(spark, logs, stream="folder", maxBytesPerStream=str(size))
+
+
 def _ordinals(spark: SparkSession, logs: str) -> DataFrame:
     """The place of every line in its stream, by its position in the files."""
     lines = positioned_lines(spark, logs, stream="folder").select("stream_id", "pos")
@@ -927,7 +938,7 @@ def _read_to_end(writer) -> None:
 def _followed(spark: SparkSession, logs: str, operator) -> tuple[DataFrame, str]:
     """What a stateful operator makes of the enriched lines of growing files, and its checkpoint."""
     out = new_folder(spark)
-    records = enrich(tail_lines(spark, logs, stream="folder", maxBytesPerFile=_PER_BATCH))
+    records = enrich(_followed_lines(spark, logs))
     with state_store(spark):
         _read_to_end(operator(records).writeStream.format("parquet").option("path", f"{out}/rows")
                      .option("checkpointLocation", f"{out}/progress"))
@@ -988,7 +999,7 @@ def stream_report(spark, sf_dir):
     """The report from a state that is merged batch by batch."""
     logs = _log_folder(_part_lines(spark, sf_dir))
     out = new_folder(spark)
-    records = enrich(tail_lines(spark, logs, stream="folder", maxBytesPerFile=_PER_BATCH))
+    records = enrich(_followed_lines(spark, logs))
     _read_to_end(records.writeStream.foreachBatch(lambda rows, batch: merge_report(rows, batch, f"{out}/state"))
                  .option("checkpointLocation", f"{out}/progress"))
     return live_report(spark, f"{out}/state")
@@ -1002,7 +1013,7 @@ def stream_late_kept(spark, sf_dir):
     """Timed lines on time and late ones, which together are all."""
     logs = _log_folder(log_lines(spark, sf_dir))
     out = new_folder(spark)
-    lines = tail_lines(spark, logs, stream="folder", maxBytesPerFile=_PER_BATCH)
+    lines = _followed_lines(spark, logs)
     records = normalize(lines).where("ts is not null").select("stream_id", "pos", "ts")
     _read_to_end(records.writeStream.foreachBatch(lambda rows, batch: split_late(rows, batch, out, "2 seconds"))
                  .option("checkpointLocation", f"{out}/progress"))

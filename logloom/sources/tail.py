@@ -54,6 +54,8 @@ class _Files:
         self.by_folder = options.get("stream", "file") == "folder"
         #: Bytes of a file in one batch, in folders of a stream; 0 for all there are.
         self.most = int(options.get("maxbytesperfile", "0"))
+        #: Bytes of all files of a stream in one batch; 0 for all there are.
+        self.per_stream = int(options.get("maxbytesperstream", "0"))
         #: Whether a last line without its end counts.
         self.unfinished = options.get("unfinished", "wait") == "take"
         self.split = int(options.get("split", str(SPLIT)))
@@ -68,12 +70,14 @@ class _Files:
             if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))
         }
 
-    def line_end(self, path: str, start: int, size: int, take: bool) -> int:
+    def line_end(self, path: str, start: int, size: int, take: bool, most: int) -> int:
         """The end of the last line that ends by ``size``, or by the limit; else ``start``.
 
         ``take`` says whether a last line without its end counts.
         """
-        limit = min(size, start + self.most) if self.most else size
+        if start == size:
+            return size
+        limit = min(size, start + most) if most else size
         if take and limit == size:
             return size
         with self.fs.open_input_file(path) as f:
@@ -110,18 +114,23 @@ class _Files:
         for folder, files in folders.items():
             files.sort()
             waits = False
+            left = self.per_stream
             for number, path, size in files:
                 if path not in known:
                     number = used.get(folder, 0)
                     used[folder] = number + 1
                 old = known.get(path, {"end": 0})["end"]
                 start = end = old if size >= old else 0
+                most = min(filter(None, (self.most, left)), default=0)
                 if not waits:
                     # A file that another one follows is closed.
                     closed = self.by_folder and path != files[-1][1]
-                    end = self.line_end(path, start, size, self.unfinished or closed)
+                    end = self.line_end(path, start, size, self.unfinished or closed, most)
                 # In one stream a file is begun when all before it are read.
-                waits = waits or (self.by_folder and self.most > 0 and start + self.most < size)
+                waits = waits or (self.by_folder and most > 0 and start + most < size)
+                if self.by_folder and self.per_stream:
+                    left -= end - start
+                    waits = waits or left <= 0
                 out[path] = {"end": end, "number": number}
         return out
 
@@ -218,7 +227,7 @@ class _Table(DataSourceReader):
         self.files = _Files(options)
 
     def partitions(self) -> list[Split]:
-        self.files.most = 0
+        self.files.most = self.files.per_stream = 0
         return self.files.splits({}, self.files.offset({}))
 
     def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
@@ -230,7 +239,8 @@ class LogFiles(DataSource):
     """``format("log_files")``: ``stream_id, pos, raw``.
 
     Options: ``path`` (a file, or a folder with all below it), ``stream``, ``maxBytesPerFile``
-    (bytes that a batch takes of each file; all by default), ``split`` (bytes a task reads)
+    (bytes that a batch takes of each file; all by default), ``maxBytesPerStream`` (the same of
+    all files of a stream together, however small they are), ``split`` (bytes a task reads)
     and ``unfinished``: a last line without its end waits, or with "take" counts. Where
     files form one stream, a file is begun when all before it are read, and what another
     one follows is closed, so its last line counts.
@@ -263,3 +273,8 @@ def positioned_lines(spark: SparkSession, path: str, **options: str) -> DataFram
     """The same lines and positions as a table."""
     spark.dataSource.register(LogFiles)
     return spark.read.format("log_files").option("path", path).options(**options).load()
+
+
+def folder_bytes(path: str) -> int:
+    """Bytes of all files below a path."""
+    return sum(_Files({"path": path}).sizes().values())

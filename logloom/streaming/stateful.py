@@ -4,7 +4,7 @@ Count windows and the stream fold need the records of a stream one after the oth
 their state is keyed by ``stream_id``; streams run in parallel. State is one entry per run,
 per request key and per method; a batch reads and writes only the entries it touches. Of
 a batch's records a task holds what the operator needs of them, as columns; bound the
-batch at the source (``maxBytesPerFile`` of ``tail_lines``, ``maxFilesPerTrigger``,
+batch at the source (``maxBytesPerStream`` of ``tail_lines``, ``maxFilesPerTrigger``,
 ``maxOffsetsPerTrigger``).
 
 They need the RocksDB state store: see :func:`state_store`. Lines of growing files come
@@ -40,18 +40,26 @@ MARKS_SCHEMA = (
 )
 RELATED_SCHEMA = "stream_id string, pos long, related_pos long, related_clock string, related_summary string"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
 def state_store(spark: SparkSession):
-    """Start stateful queries inside; the session's own state store comes back after."""
-    old = spark.conf.get(_PROVIDER)
+    """Start stateful queries inside; the session's own state store comes back after.
+
+    State lies in one partition a core at most: Spark does not merge partitions of state, and
+    in every batch each of them costs a task, a commit and a Python worker, empty or not.
+    A query that goes on from a checkpoint keeps the number it began with.
+    """
+    old = {name: spark.conf.get(name) for name in (_PROVIDER, _PARTITIONS)}
     spark.conf.set(_PROVIDER, _ROCKSDB)
+    spark.conf.set(_PARTITIONS, min(int(old[_PARTITIONS]), spark.sparkContext.defaultParallelism))
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
 
 
 def _none(value):

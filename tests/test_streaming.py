@@ -162,3 +162,36 @@ def test_templates_per_window(spark):
     want = records.filter("effective >= 3")
     assert got.agg(F.sum("n")).first()[0] == want.count() > 0
     assert got.select("start", "stream_id", "template").distinct().count() == got.count()
+
+
+def test_batches_of_a_followed_folder_grow_with_it(spark, tmp_path, monkeypatch):
+    from logloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "_PER_BATCH", (100, 1000))
+    counts = []
+    for lines in (20, 200, 2000):
+        logs = tmp_path / f"logs{lines}"
+        (logs / "s").mkdir(parents=True)
+        for i in range(2):
+            (logs / "s" / f"{i}").write_text("123456789\n" * (lines // 2))
+        seen = []
+        catalog._read_to_end(
+            catalog._followed_lines(spark, str(logs)).writeStream
+            .foreachBatch(lambda rows, batch, seen=seen: seen.append(rows.count()))
+            .option("checkpointLocation", str(tmp_path / f"done{lines}")))
+        assert sum(seen) == lines
+        counts.append(len(seen))
+    assert counts[0] == 2 and max(counts) <= 26
+
+
+def test_state_has_a_partition_a_core_at_most(spark):
+    from logloom.streaming.stateful import state_store
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        with state_store(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -93,3 +93,25 @@ def test_growing_files_and_a_restart(spark, tmp_path):
 
 def test_empty_folder(spark, tmp_path):
     assert positioned_lines(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("most", [12, 25, 1000])
+def test_a_batch_is_bounded_over_all_files_of_a_stream(tmp_path, most):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        for i in range(6):
+            (tmp_path / folder / f"{i}").write_bytes(b"abc\n" * 2 + (b"rest" if i == 1 else b""))
+    files = _Files({"path": str(tmp_path), "stream": "folder", "maxbytesperstream": str(most)})
+    known, got, taken = {}, [], []
+    while True:
+        new = files.offset(known)
+        if new == known:
+            break
+        splits = files.splits(known, new)
+        taken += [sum(s.end - s.start for s in splits if s.stream == folder) for folder in "ab"]
+        got += [(s.stream, r["pos"]) for s in splits for b in files.lines(s) for r in b.to_pylist()]
+        known = new
+    assert max(taken) <= most and len(got) == len(set(got)) == 26
+    for folder in "ab":
+        mine = [pos for stream, pos in got if stream == folder]
+        assert mine == sorted(mine)
