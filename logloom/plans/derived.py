@@ -18,13 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task makes lines of, at most.
+ROWS = 1 << 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, where the files hold fewer splits than there are cores.
+    """Over all cores and in tasks of bounded size, where the files hold fewer splits than that.
 
-    Lines cost much more to parse than to move; large tables stay as they are.
+    Lines cost much more to parse than to move, and a split of the narrow tables holds millions
+    of rows. The rows are counted from the files' footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    least = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
 def _two(c: Column, width: int = 2) -> Column:

@@ -49,3 +49,13 @@ def test_days_are_utc(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     got = {str(r.day): r.n for r in spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n")).collect()}
     assert len(got) == 2 and got.pop("none") == 1 and list(got.values()) == [3]
+
+
+def test_derived_lines_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    from logloom.plans import derived
+
+    events = derived.table(spark, "/root/testdata/sf0.001", "events")
+    rows = events.count()
+    monkeypatch.setattr(derived, "ROWS", 50)
+    got = derived.spread(events).rdd.glom().map(len).collect()
+    assert sum(got) == rows and max(got) <= 2 * 50 and len(got) >= rows / 50
