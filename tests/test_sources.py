@@ -59,3 +59,21 @@ def test_derived_lines_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(derived, "ROWS", 50)
     got = derived.spread(events).rdd.glom().map(len).collect()
     assert sum(got) == rows and max(got) <= 2 * 50 and len(got) >= rows / 50
+
+
+def test_written_lines_are_made_once(spark, tmp_path):
+    from logloom.sources.sinks import read_streams, write_lines, write_streams
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    lines = spark.range(500).selectExpr("'s' as stream_id", "id as pos", "cast(id as string) as line")
+    lines = lines.mapInArrow(count, lines.schema)
+    write_lines(lines, str(tmp_path / "text"))
+    assert made.value == 500 and spark.read.text(str(tmp_path / "text")).count() == 500
+    write_streams(lines, str(tmp_path / "streams"))
+    assert made.value == 1000 and read_streams(spark, str(tmp_path / "streams"), "s").count() == 500
