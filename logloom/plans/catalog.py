@@ -25,6 +25,7 @@ from logloom.operators.where import where
 from logloom.plans.derived import (
     FORMATS,
     MODULE,
+    ROWS,
     document_lines,
     log_lines,
     source_inventory,
@@ -764,22 +765,31 @@ def stream_normalize(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows")
 
 
+def _in_batches(lines: DataFrame, batches: int = 3) -> DataFrame:
+    """Lines as a stream of so many batches, each over all cores and in tasks of bounded size."""
+    spark, written = lines.sparkSession, f"{new_folder(lines.sparkSession)}/lines"
+    lines = materialize(lines)
+    files = max(1, -(-lines.count() // (batches * ROWS)))
+    lines.repartitionByRange(batches * files, "pos").write.parquet(written)
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(written)
+    # Small files are read by one task, which is too much to parse for one.
+    return source.repartition(max(files, spark.sparkContext.defaultParallelism))
+
+
 def _live(spark: SparkSession, sf_dir: str, summarise, keys: list[str]) -> DataFrame:
     """A live summary of mixed lines, read in several batches to their end."""
-    written = f"{new_folder(spark)}/lines"
-    lines = log_lines(spark, sf_dir)
-    lines.repartitionByRange(3, "pos").write.parquet(written)
-    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(written)
+    source = _in_batches(log_lines(spark, sf_dir))
     out = None
     # Files are met in the order they were written, so the delay spans all of them.
     for name, part in zip(("timed", "untimed"), split_timed(enrich(source), "1 day"), strict=True):
         path = new_folder(spark)
-        stream = (
-            summarise(part).writeStream.outputMode("update")
-            .foreachBatch(lambda rows, batch, path=path: upserted(rows, batch, f"{path}/rows"))
-            .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-        )
-        stream.awaitTermination()
+        with state_store(spark):
+            stream = (
+                summarise(part).writeStream.outputMode("update")
+                .foreachBatch(lambda rows, batch, path=path: upserted(rows, batch, f"{path}/rows"))
+                .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+            )
+            stream.awaitTermination()
         got = latest(spark.read.parquet(f"{path}/rows"), keys)
         # Arrival differs by run; its windows are summed up.
         got = got.withColumn("start", F.unix_micros("start") if name == "timed" else F.lit(None).cast("long"))

@@ -61,6 +61,27 @@ def test_derived_lines_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
     assert sum(got) == rows and max(got) <= 2 * 50 and len(got) >= rows / 50
 
 
+def test_batches_of_lines_are_parsed_in_many_tasks(spark, tmp_path, monkeypatch):
+    from logloom.plans import catalog
+
+    rows = 1000
+    monkeypatch.setattr(catalog, "ROWS", 10)
+    lines = spark.range(rows).selectExpr("'s' as stream_id", "id as pos", "cast(id as string) as raw").coalesce(1)
+    batches = []
+
+    def took(df, _):
+        sizes = df.rdd.glom().map(len).collect()
+        batches.append((sum(sizes), max(sizes)))
+
+    query = (
+        catalog._in_batches(lines).writeStream.foreachBatch(took)
+        .option("checkpointLocation", str(tmp_path / "done")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert sum(n for n, _ in batches) == rows and len(batches) == 3 and max(most for _, most in batches) <= 20
+
+
 def test_written_lines_are_made_once(spark, tmp_path):
     from logloom.sources.sinks import read_streams, write_lines, write_streams
 
