@@ -11,14 +11,26 @@ classes together. A word keeps counts of its own if they tell the classes apart
 likelihood ratio of at least ``evidence`` and a factor of e between its
 probabilities), however small its share of the corpus. All others, in particular
 rare expressions, are smoothed into the shared counts and then say the same in both
-models. A document's raw score is the difference of its two log-likelihoods per
+models.
+
+Above the words stand pairs, a word ``w`` behind ``v`` (or at a text's start):
+
+    P_c(w | v) = max(n_c(v, w) - d, 0) / n_c(v) + back(v) * P_c(w)
+
+where ``n_c(v, w)`` counts the distinct texts of the class that have the pair (copies
+and repeats within a text add nothing), ``n_c(v)`` is their sum and ``back(v)`` the
+discounted mass of both classes, ``d`` times the pairs of ``v`` over their counts. As in a
+pruned back-off model, pairs in fewer than five texts, and those whose share of toxic
+texts is what their word and the place behind ``v`` let expect (by the same ratio and
+factor), back off to their word. A telling pair has the difference to its word as its
+weight, so all below holds for words and pairs alike. A document's raw score is the difference of its two log-likelihoods per
 word; a logistic curve over its inverse hyperbolic sine, fitted on a fold that gave
 no counts, makes it a probability.
 
 Counts cover every labelled document outside the held-out and the calibration
 fold and are summed by Spark. Telling words stay a table that grows with the
 corpus. Those with over ``share`` of a class's counts, at most ``2/share`` whatever
-the corpus (200,000 at the default), go to every task, as does a bitmap of fixed
+the corpus (200,000 words at the default; pairs over a tenth of it), go to every task, as does a bitmap of fixed
 size (1 MB) of the hashes of the others; words of a text that the bitmap may hold
 are joined with the table, once per distinct text, salted. ``share`` decides where a
 word is looked up, never what it weighs. Weights are whole multiples of 2^-20, so
@@ -40,7 +52,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -56,6 +68,10 @@ FLUSH = 2_000_000
 #: Characters of the whole texts that a task turns into arrays at a time.
 PORTION = 1 << 20
 DISCOUNT = 0.75
+#: Texts that a pair must be in to have counts of its own.
+LEAST = 5
+#: Pairs go to every task from this part of the share that words need: occurrences of the others are moved.
+PAIR_PART = 0.1
 #: Weights are log ratios in units of 1/UNIT.
 UNIT = 1 << 20
 #: Bits of a word's hash that are its place in the bitmap, and bits in a row of it.
@@ -109,14 +125,35 @@ def _bigrams(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (words << LEFT_BITS) | left
 
 
+def _pair_ids(keys):
+    """Ids of pairs, below 0 as words have the others; the low bits say both words (arrays or columns)."""
+    if isinstance(keys, np.ndarray):
+        return ~(keys ^ (keys >> LEFT_BITS))
+    return F.bitwise_not(keys.bitwiseXOR(F.shiftright(keys, LEFT_BITS)))
+
+
+def _once(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sorted keys, each as often as there are texts that have it."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.argsort(keys, kind="stable")
+    keys, owner = keys[at], owner[at]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return keys[new]
+
+
 def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct bigrams of a task's texts and the classes that have them, in blocks."""
+    """Distinct bigrams of a task's texts and how many texts of each class have them, in blocks."""
     hashes, held, n = _Hashes(), ([], []), 0
 
     def flush():
-        both = [np.unique(np.concatenate(h) if h else np.empty(0, np.int64)) for h in held]
-        keys = np.union1d(*both)
-        columns = [keys, *[np.isin(keys, k, assume_unique=True) for k in both]]
+        both = [np.unique(np.concatenate(h) if h else np.empty(0, np.int64), return_counts=True) for h in held]
+        keys = np.union1d(both[0][0], both[1][0])
+        columns = [keys]
+        for k, c in both:
+            counts = np.zeros(len(keys), np.int64)
+            counts[np.searchsorted(keys, k)] = c
+            columns.append(counts)
         for h in held:
             h.clear()
         step = 100_000
@@ -131,7 +168,7 @@ def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _portions(mine):
                 words, sizes = _tokens(mine[part], hashes)
                 if len(words):
-                    held[y].append(np.unique(_bigrams(words, sizes)))
+                    held[y].append(_once(_bigrams(words, sizes), sizes))
                     n += len(words)
         if n >= FLUSH:
             yield from flush()
@@ -142,16 +179,24 @@ def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Frequent:
-    """What every task gets: weights of frequent telling words, a bitmap of the others."""
+    """What every task gets: weights of frequent telling words, a bitmap of the others.
+
+    With ``pairs`` words stands for the ids of pairs as well.
+    """
 
     words: np.ndarray
     weights: np.ndarray
     bitmap: np.ndarray
+    pairs: bool = False
 
     def sums(self, texts, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Weights and words per text, and the words of each that may be among the others."""
         words, sizes = _tokens(texts, hashes)
         owner = np.repeat(np.arange(len(sizes)), sizes)
+        if self.pairs:
+            # A place's word and its pair, side by side, so that a text's stay together.
+            words = np.stack([words, _pair_ids(_bigrams(words, sizes))], 1).ravel()
+            owner = np.repeat(owner, 2)
         weight, hit = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
@@ -177,31 +222,44 @@ class Model:
 NOTHING = Model(Frequent(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)))
 
 
-def _evidence(t, o, all_t, all_o):
-    """Twice the log-likelihood ratio against equal shares in both classes (columns)."""
-    p = F.lit(all_t / (all_t + all_o))
+def _evidence(t, o, p):
+    """Twice the log-likelihood ratio against a share ``p`` of ``t`` (columns)."""
+    p = p if isinstance(p, Column) else F.lit(p)
     n = t + o
     term = lambda c, e: F.when(c > 0, c * F.log(c / e)).otherwise(0.0)
     return 2 * (term(t, n * p) + term(o, n * (1 - p)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, share: float = 1e-5, evidence: float = 20.0) -> Model:
-    """The models of folds 2 to 4."""
+def _distinct_texts(train: DataFrame, known: DataFrame) -> DataFrame:
+    """``known`` without all but the first document of a text and class."""
+    text = [F.xxhash64("text").alias("_h"), F.length("text").alias("_n")]
+    rows = train.select("doc_id", *text).join(known, F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_h", "_n", "_toxic").agg(F.min("_id").alias("_id")).select("_id", "_toxic").distinct()
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, share: float = 1e-5, evidence: float = 20.0, order: int = 1
+) -> Model:
+    """The models of folds 2 to 4: of words, or with ``order`` 2 of word pairs that back off to them."""
     known = labels.where(F.col("toxic").isin(0, 1)).select(
         F.col("doc_id").alias("_id"), F.col("toxic").cast("long").alias("_toxic"))
     train = docs.where(fold("doc_id") >= 2).select("doc_id", "text")
+    if order > 1:
+        known = materialize(_distinct_texts(train, known))
     # The texts are moved once, unsorted; rows without a label stay behind.
     train = train.join(known.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("text", "_toxic")
-    types = train.mapInArrow(_types, "key long, ordinary boolean, toxic boolean")
-    types = types.groupBy("key").agg(F.max("toxic").alias("t"), F.max("ordinary").alias("o"))
+    types = train.mapInArrow(_types, "key long, ordinary long, toxic long")
+    types = types.groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
+    if order > 1:
+        types = materialize(types)
     words = types.groupBy(F.shiftright("key", LEFT_BITS).alias("word")).agg(
-        F.count_if("t").alias("t"), F.count_if("o").alias("o"))
+        F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
     words = materialize(words)
     sums = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "to"]).collect()[0]
     if not (sums.t and sums.o):
         return NOTHING
     t, o, both = F.col("t"), F.col("o"), sums.t + sums.o
-    told = words.where(_evidence(t, o, sums.t, sums.o) >= evidence)
+    told = words.where(_evidence(t, o, sums.t / both) >= evidence)
     # Whole numbers, so that the sums don't depend on the order of the rows.
     kept = told.agg(*[
         (F.coalesce(F.sum(c), F.lit(0)) - DISCOUNT * F.count_if(F.col(c) > 0)).alias(c) for c in "to"]).collect()[0]
@@ -211,14 +269,45 @@ def fit(docs: DataFrame, labels: DataFrame, share: float = 1e-5, evidence: float
         for n, total in ((t, sums.t), (o, sums.o)))
     ratio = F.log(p_t / p_o)
     weighed = told.where(F.abs(ratio) >= 1).select(
-        "word", "t", "o", F.round(ratio * UNIT).cast("long").alias("weight"))
+        "word", "t", "o", p_t.alias("p_t"), p_o.alias("p_o"), F.round(ratio * UNIT).cast("long").alias("weight"))
     often = (t > share * sums.t) | (o > share * sums.o)
-    # Over the share: at most 1/share rows per class.
-    got = sorted(tuple(r) for r in weighed.where(often).select("word", "weight").collect())
+    terms = weighed.select("word", "weight", often.alias("often"))
+    if order > 1:
+        weighed = materialize(weighed)
+        terms = materialize(terms.unionByName(_pairs(types, words, weighed, both, share, evidence)))
+    # Over the share: at most 1/share rows per class of words, ten times that of pairs.
+    got = sorted(tuple(r) for r in terms.where("often").select("word", "weight").collect())
     word, weight = (np.array([r[i] for r in got], np.int64) for i in range(2))
-    others = weighed.where(~often).select("word", "weight")
+    others = terms.where("not often").select("word", "weight")
     bitmap = _bitmap(others)
-    return Model(Frequent(word, weight, bitmap), others if len(bitmap) else None)
+    return Model(Frequent(word, weight, bitmap, order > 1), others if len(bitmap) else None)
+
+
+def _pairs(
+    types: DataFrame, words: DataFrame, weighed: DataFrame, both: int, share: float, evidence: float
+) -> DataFrame:
+    """``word`` (a pair's id), ``weight``, ``often``: what telling pairs add to the weight of their word."""
+    t, o, n = F.col("t"), F.col("o"), F.col("t") + F.col("o")
+    left = F.col("key").bitwiseAND((1 << LEFT_BITS) - 1).alias("left")
+    pairs = types.select("key", left, F.shiftright("key", LEFT_BITS).alias("word"), "t", "o")
+    total = pairs.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).collect()[0]
+    share = share * PAIR_PART
+    context = pairs.groupBy("left").agg(
+        F.sum("t").alias("v_t"), F.sum("o").alias("v_o"), F.count("*").alias("v_n"))
+    plain = (F.col("t") + F.col("o")) / F.lit(both)
+    lower = words.join(weighed.select("word", "p_t", "p_o"), "word", "left").select(
+        "word", F.coalesce("p_t", plain).alias("p_t"), F.coalesce("p_o", plain).alias("p_o"))
+    found = pairs.where(n >= LEAST).join(context, "left").join(lower, "word")
+    v_t, v_o, p_t, p_o = (F.col(c) for c in ("v_t", "v_o", "p_t", "p_o"))
+    found = found.where(_evidence(t, o, v_t * p_t / (v_t * p_t + v_o * p_o)) >= evidence)
+    rest = DISCOUNT * F.col("v_n") / (v_t + v_o)
+    q_t, q_o = (
+        F.greatest(c - DISCOUNT, F.lit(0.0)) / F.greatest(v, F.lit(1)) + rest * p
+        for c, v, p in ((t, v_t, p_t), (o, v_o, p_o)))
+    gain = F.log(q_t / q_o) - F.log(p_t / p_o)
+    return found.where(F.abs(gain) >= 1).select(
+        _pair_ids(F.col("key")).alias("word"), F.round(gain * UNIT).cast("long").alias("weight"),
+        ((t > share * total.t) | (o > share * total.o)).alias("often"))
 
 
 def _bitmap(others: DataFrame) -> np.ndarray:
@@ -321,9 +410,9 @@ def calibrated(scored: DataFrame, labels: DataFrame) -> tuple[float, float]:
     return max(float(slope), 0.0), float(offset)
 
 
-def scores(docs: DataFrame, labels: DataFrame, narrow: bool = False, **options) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, narrow: bool = False, order: int = 2, **options) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; only ``doc_id`` of them if ``narrow``."""
-    model = fit(docs, labels, **options)
+    model = fit(docs, labels, order=order, **options)
     rows = materialize(marked(docs.select("doc_id", "text"), model).drop("text"))
     more = None if model.others is None else materialize(joined(rows, model))
     scored = raw_scores(rows, more)
