@@ -910,6 +910,8 @@ def registered_format(spark, sf_dir):
 
 #: Bytes of a stream that a batch takes: a part of all there are, within these.
 _PER_BATCH, _PARTS = (1 << 18, 1 << 25), 24
+#: Bytes that a task of a batch reads at least, if there are as many.
+_PER_TASK = 1 << 21
 
 
 def _log_folder(lines: DataFrame) -> str:
@@ -925,9 +927,15 @@ def _followed_lines(spark: SparkSession, logs: str) -> DataFrame:
     Batches grow with the files until a task has enough to do and no more than it can hold: each
     has a fixed cost, so small ones of one size would be as many as the files are long.
     """
+    return tail_lines(spark, logs, stream="folder", **_batch_sizes(
+        folder_bytes(logs), spark.sparkContext.defaultParallelism))
+
+
+def _batch_sizes(total: int, cores: int) -> dict[str, str]:
+    """Bytes of a stream in a batch, and of a task: one stream alone keeps all cores busy."""
     least, most = _PER_BATCH
-    size = min(most, max(least, folder_bytes(logs) // _PARTS))
-    return tail_lines(spark, logs, stream="folder", maxBytesPerStream=str(size))
+    size = min(most, max(least, total // _PARTS))
+    return {"maxBytesPerStream": str(size), "split": str(max(_PER_TASK, -(-size // cores)))}
 
 
 def _ordinals(spark: SparkSession, logs: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.plans.catalog import _batch_sizes
 from logloom.sources import tail
 from logloom.sources.sinks import write_stream
 from logloom.sources.tail import _Files, positioned_lines, tail_lines
@@ -115,3 +116,15 @@ def test_a_batch_is_bounded_over_all_files_of_a_stream(tmp_path, most):
     for folder in "ab":
         mine = [pos for stream, pos in got if stream == folder]
         assert mine == sorted(mine)
+
+
+def test_a_batch_of_one_long_stream_is_work_for_all_cores():
+    cores = 12
+    sizes = _batch_sizes(1 << 30, cores)
+    batch = int(sizes["maxBytesPerStream"])
+    files = _Files({"path": "/logs", "stream": "folder", "split": sizes["split"]})
+    splits = files.splits({}, {"/logs/a/f": {"end": batch, "number": 0}})
+    assert len(splits) == cores
+    assert [s.end for s in splits[:-1]] == [s.start for s in splits[1:]] and splits[-1].end == batch
+    # A small batch is not cut into tasks that have nothing to do.
+    assert int(_batch_sizes(1 << 20, cores)["split"]) >= int(_batch_sizes(1 << 20, cores)["maxBytesPerStream"])
