@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import jaccard, mixing, packing, pii, toxicity
-from logloom.llm.common import materialize, table, tokenizer_path
+from logloom.llm.common import materialize, sifted, table, tokenizer_path
 from logloom.sources.materialize import new_folder
 
 
@@ -55,14 +55,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = materialize(jaccard.linked(docs.select("doc_id", "text"), NEAR).where(F.col("doc_id").isNotNull()))
-    stays = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
-        F.count("*").alias("_rows"))
-    stays = materialize(stays)
-    once = docs.join(stays.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    parts = [once, docs.where(F.col("doc_id").isNull())]
-    again = stays.where("_rows > 1").select("doc_id")
+    # Of most documents one row stays; only rows that may be of the others are moved.
+    own = F.count_if(F.col("doc_id") == F.col("component_id"))
+    others = materialize(groups.groupBy("doc_id").agg(own.alias("_rows")).where("_rows <> 1"))
+    may, stays = sifted(docs, others.select("doc_id"))
+    parts = [stays, may.join(others, "doc_id", "left_anti")]
+    again = others.where("_rows > 1").select("doc_id")
     if not again.isEmpty():
-        parts.append(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        parts.append(may.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sifted
 
 #: Limits of set sizes and numbers of groups of frequent tokens up to them.
 LEVELS = ((128, 8), (1024, 32), (8192, 128), (None, 1024))
@@ -239,14 +239,15 @@ def signatures(t: np.ndarray, frequent: np.ndarray, join: Join) -> np.ndarray:
     return np.concatenate(entries).view(np.int64)
 
 
-def _indexed(docs: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
-    names = ["entry", "h1", "h2", "n"]
+def _indexed(docs: DataFrame, frequent: np.ndarray, join: Join, owner: tuple[str, ...]) -> DataFrame:
+    """``entry, n`` and the ``owner``: the document's id (``id``) or its class (``h1, h2``)."""
+    names = ["entry", *owner, "n"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _Words(), set()
         for b in batches:
-            parts, classes, sizes, counts = [], [], [], []
-            for text in b.column(0).to_pylist():
+            parts, owners, sizes, counts = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = tokens(text, join.words, known)
                 if len(t) < join.smallest():
                     continue
@@ -258,17 +259,16 @@ def _indexed(docs: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
                 seen.add(c)
                 found = signatures(t, frequent, join)
                 parts.append(found)
-                classes.append(c)
+                owners.append((doc,) if owner == ("id",) else c)
                 sizes.append(len(t))
                 counts.append(len(found))
             if parts:
-                owner = np.repeat(np.arange(len(parts)), counts)
-                c = np.array(classes, np.int64)[owner]
-                columns = [np.concatenate(parts), c[:, 0], c[:, 1], np.array(sizes, np.int64)[owner]]
-                for i in range(0, len(owner), 200_000):
-                    yield _batch([x[i:i + 200_000] for x in columns], [_I64] * 4, names)
+                at = np.repeat(np.arange(len(parts)), counts)
+                columns = [np.concatenate(parts), *np.array(owners, np.int64)[at].T, np.array(sizes, np.int64)[at]]
+                for i in range(0, len(at), 200_000):
+                    yield _batch([x[i:i + 200_000] for x in columns], [_I64] * len(names), names)
 
-    return docs.select("text").mapInArrow(index, ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "text").mapInArrow(index, ", ".join(f"{c} long" for c in names))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
@@ -292,7 +292,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), _I64)),
                     ], ["id", "tokens"])
 
-    texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "h1", "h2")
+    # Texts that no pair asks for stay where they are.
+    asked, _ = sifted(docs, wanted.select("id"))
+    texts = asked.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "h1", "h2")
     return texts.mapInArrow(sets, "id long, tokens array<long>")
 
 
@@ -311,7 +313,8 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, join: Join) ->
     """Those ``x, y`` that link, by their whole sets."""
     pairs = materialize(pairs)
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    sets = materialize(_sets(docs, classes.join(ids, "id", "left_semi").select("id", "h1", "h2"), join))
+    wanted = materialize(classes.join(ids, "id", "left_semi").select("id", "h1", "h2"))
+    sets = materialize(_sets(docs, wanted, join))
     a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("_a"))
     b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
@@ -425,15 +428,20 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     often = counts.where(F.col("n") >= max(RARE, join.share * rows.count())).select("token")
     frequent = np.sort(np.asarray(often.toArrow().column(0).to_numpy(), np.int64))
 
-    # Entries with two classes or more; which those are needs no list per entry.
-    index = _indexed(docs, frequent, join)
-    entry = Window.partitionBy("entry")
-    index = index.select(
-        "*", *[f(c).over(entry).alias(f"_{f.__name__}{c}") for c in ("h1", "h2") for f in (F.min, F.max)]
-    ).where("_minh1 <> _maxh1 or _minh2 <> _maxh2").select("entry", "h1", "h2", "n").distinct()
     classes = materialize(rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("h1", "h2").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    index = materialize(index.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select("entry", "id", "n"))
+    names = classes.select("h1", "h2", "id")
+    rows = materialize(rows.join(names, ["h1", "h2"], "left").select("doc_id", "n", "id"))
+
+    # Most documents name their class, so their entries need no more than their id.
+    copies = rows.where((F.col("id") != F.col("doc_id")) & (F.col("n") >= join.smallest())).select("doc_id")
+    others, first = sifted(docs.where(F.col("doc_id").isNotNull()), copies)
+    index = _indexed(first, frequent, join, ("id",)).select("entry", "id", "n").unionByName(
+        _indexed(others, frequent, join, ("h1", "h2")).distinct().join(names, ["h1", "h2"]).select("entry", "id", "n"))
+    # Entries with two classes or more; which those are needs no list per entry.
+    entry = Window.partitionBy("entry")
+    index = materialize(index.select("*", F.min("id").over(entry).alias("_l"), F.max("id").over(entry).alias("_h")).where(
+        "_l <> _h").select("entry", "id", "n").distinct())
 
     found = _links(_with_pivots(index, classes, join), docs, classes, join)
     labels = components(found)
@@ -442,8 +450,7 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     edges = more.unionByName(labels.select(F.col("node").alias("x"), F.col("component").alias("y")))
     reached = components(edges)
 
-    named = rows.join(classes.select("h1", "h2", "id"), ["h1", "h2"], "left").join(
-        reached.withColumnRenamed("node", "id"), "id", "left")
+    named = rows.join(reached.withColumnRenamed("node", "id"), "id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
