@@ -34,7 +34,7 @@ its common entries: near copies share nearly all of theirs, so each class names
 smallest entry of each of ``LEADS`` parts of the hashes, and a pair that has one of these
 in common meets in the first such. A pair's sets are fetched only if its sketches allow a link: a sketch holds the parities of the
 tokens that fall on each of its bits, so the bits in which two sketches differ are
-at most the tokens in which the sets differ.
+at most the tokens in which the sets differ. Texts that no pair asks for don't move.
 
 Defined results: null, empty and blank texts have no tokens, 0 shingles and their
 own id; a null id has a null component and links with nothing; repeated rows get
