@@ -63,8 +63,8 @@ RARE = 8
 BLOCK = 2_000_000
 #: Parts of the hashes of which a class names its smallest entry.
 LEADS = 8
-#: Words of 64 bits in a sketch, for sets below and from a size on.
-SKETCH = ((2048, 8), (None, 64))
+#: Words of 64 bits in a sketch, powers of two: the least and the most.
+SKETCH = (2, 64)
 
 
 @dataclass(frozen=True)
@@ -104,38 +104,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def tokens(text: str | None, n: int, known: _Words) -> np.ndarray:
+def tokens(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams of a text.
 
     Bytes are lower-cased and split by ASCII rules only; a text of fewer than
     ``n`` words is one n-gram.
     """
+    from pandas.util import hash_array
+
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.empty(0, np.int64)
-    w = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    # All words at once: a dictionary of words, most of them seen once, took longer than hashing.
+    w = hash_array(np.array(found, object), categorize=False)
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
         h = _mix(h + w[i:len(w) - k + 1 + i])
-    return np.unique(h.view(np.int64))
+    h = np.sort(h.view(np.int64))
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
-def sketch(t: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens on each bit."""
-    size = next(k for limit, k in SKETCH if limit is None or len(t) < limit)
+def sketch(t: np.ndarray, percent: int = 90) -> np.ndarray:
+    """Parity of the number of tokens on each bit.
+
+    Sets with nothing in common differ in half of the bits. There are so many bits that
+    this is four standard deviations over what linked sets of that size may differ in.
+    """
+    size, most = SKETCH
+    allowed = 2 * len(t) * (100 - percent) / (100 + percent)
+    while size < most and 32 * size - 16 * size**0.5 < allowed:
+        size *= 2
     at = (_mix(t.view(np.uint64)) % np.uint64(64 * size)).astype(np.int64)
     bits = (np.bincount(at, minlength=64 * size) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
@@ -161,12 +160,11 @@ def _profiled(docs: DataFrame, join: Join) -> DataFrame:
     names = ["doc_id", "h1", "h2", "n", "sketch"]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for b in batches:
             out = [[] for _ in names]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = tokens(text, join.words, known)
-                row = (doc, *_class(t), len(t), sketch(t) if len(t) >= join.smallest() else None)
+                t = tokens(text, join.words)
+                row = (doc, *_class(t), len(t), sketch(t, join.percent) if len(t) >= join.smallest() else None)
                 for column, v in zip(out, row):
                     column.append(v)
             yield _batch(out, [_I64] * 4 + [pa.list_(_I64)], names)
@@ -179,7 +177,7 @@ def _low_counts(docs: DataFrame, join: Join) -> DataFrame:
     """``token, n``: documents per low token, summed within blocks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size, seen = _Words(), [], 0, set()
+        held, size, seen = [], 0, set()
 
         def block():
             all_, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -188,7 +186,7 @@ def _low_counts(docs: DataFrame, join: Join) -> DataFrame:
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                t = tokens(text, join.words, known)
+                t = tokens(text, join.words)
                 if len(t) < join.smallest() or (c := _class(t)) in seen:  # copies in a block count once
                     continue
                 seen.add(c)
@@ -244,11 +242,11 @@ def _indexed(docs: DataFrame, frequent: np.ndarray, join: Join, owner: tuple[str
     names = ["entry", *owner, "n"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Words(), set()
+        seen = set()
         for b in batches:
             parts, owners, sizes, counts = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = tokens(text, join.words, known)
+                t = tokens(text, join.words)
                 if len(t) < join.smallest():
                     continue
                 c = _class(t)
@@ -275,13 +273,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     """``id, tokens`` of the wanted classes (``id, h1, h2``), from the text of that id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
             for i in range(0, b.num_rows, 500):
                 ids, found = [], []
                 for doc, text, h1, h2 in zip(*[c[i:i + 500] for c in columns]):
-                    t = tokens(text, join.words, known)
+                    t = tokens(text, join.words)
                     if _class(t) == (h1, h2):
                         ids.append(doc)
                         found.append(t)
@@ -299,10 +296,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
 
 
 def _apart(a: Column, b: Column) -> Column:
-    """Tokens in which two sets differ at least; sketches of two sizes say nothing."""
-    differ = F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    return F.when(F.size(a) == F.size(b), differ).otherwise(0)
+    """Tokens in which two sets differ at least.
+
+    The halves of a sketch add up to the sketch of half its size; more than that apart in
+    size, sketches say nothing.
+    """
+    def differ(a: Column, b: Column) -> Column:
+        return F.aggregate(
+            F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+
+    def half(c: Column) -> Column:
+        size = (F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+
+    return F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) == 2 * F.size(b), differ(half(a), b)).when(
+        F.size(b) == 2 * F.size(a), differ(a, half(b))).otherwise(0)
 
 
 def _able(apart: Column, n: Column, m: Column, join: Join) -> Column:
@@ -357,6 +365,23 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("component")) if labels is None else labels
 
 
+def _shared(index: DataFrame, join: Join) -> DataFrame:
+    """``index`` without the rows that can link with no other class of their entry.
+
+    Those are the rows of an entry with one class, and those whose next smaller and next
+    larger set in the entry are too far in size: all others are farther. Unlike texts that
+    share an entry by chance mostly go so, and chance grows faster than the corpus.
+    """
+    entry = Window.partitionBy("entry")
+    index = index.select("*", F.min("id").over(entry).alias("_l"), F.max("id").over(entry).alias("_h")).where("_l <> _h")
+    # Only what is left is put in order.
+    by_size = entry.orderBy("n")
+    index = index.select(
+        "entry", "id", "n", F.lag("n").over(by_size).alias("_less"), F.lead("n").over(by_size).alias("_more"))
+    near = [F.coalesce(_close(F.col("n"), F.col(c), join), F.lit(False)) for c in ("_less", "_more")]
+    return index.where(near[0] | near[1]).select("entry", "id", "n").distinct()
+
+
 def _met(index: DataFrame, order: list[Column], classes: DataFrame, join: Join) -> DataFrame:
     """``x, y, nx, ny, apart``: classes and the pivots of their entries, the first by each order."""
     pivots = index.groupBy("entry").agg(*[
@@ -438,10 +463,7 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     others, first = sifted(docs.where(F.col("doc_id").isNotNull()), copies)
     index = _indexed(first, frequent, join, ("id",)).select("entry", "id", "n").unionByName(
         _indexed(others, frequent, join, ("h1", "h2")).distinct().join(names, ["h1", "h2"]).select("entry", "id", "n"))
-    # Entries with two classes or more; which those are needs no list per entry.
-    entry = Window.partitionBy("entry")
-    index = materialize(index.select("*", F.min("id").over(entry).alias("_l"), F.max("id").over(entry).alias("_h")).where(
-        "_l <> _h").select("entry", "id", "n").distinct())
+    index = materialize(_shared(index, join))
 
     found = _links(_with_pivots(index, classes, join), docs, classes, join)
     labels = components(found)

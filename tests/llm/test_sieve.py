@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from logloom.llm import common, jaccard
 
 
@@ -39,3 +42,49 @@ def test_only_texts_that_pairs_ask_for_are_moved(spark, monkeypatch):
     near = {(r.doc_id, r.component_id) for r in out if r.doc_id != r.component_id}
     assert near == {(500, 3), (501, 4), (8, 6)}
     assert len(out) == len(rows) and moved and max(moved) <= 12
+
+
+def test_rows_of_an_entry_that_are_far_in_size_from_all_others_leave_the_index(spark):
+    # By entry: chance (no two are close), a pair and a stranger, one class twice, two at the limit, one alone.
+    rows = [(1, i, n) for i, n in enumerate((10, 20, 40, 80))]
+    rows += [(2, 10, 100), (2, 11, 300), (2, 12, 95), (3, 20, 50), (3, 20, 50), (4, 30, 90), (4, 31, 100), (5, 40, 9)]
+    rows += [(6, 50, 89), (6, 51, 100)]
+    got = jaccard._shared(spark.createDataFrame(rows, "entry long, id long, n long"), jaccard.Join())
+    assert sorted(tuple(r) for r in got.collect()) == [(2, 10, 100), (2, 12, 95), (4, 30, 90), (4, 31, 100)]
+
+
+def test_a_shared_passage_joins_only_texts_of_close_sizes(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    text = lambda n: passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(i, text(round(40 * 1.3**i))) for i in range(7)]
+    rows += [(100, rows[5][1] + " tail"), (101, " ".join(rows[6][1].split()[:-4]))]
+    sizes, real = [], jaccard._with_pivots
+
+    def told(index, classes, join):
+        sizes.append({r.id for r in index.select("id").collect()})
+        return real(index, classes, join)
+
+    monkeypatch.setattr(jaccard, "_with_pivots", told)
+    out = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out if r.doc_id != r.component_id} == {(100, 5), (101, 6)}
+    assert sizes == [{5, 6, 100, 101}]
+
+
+def test_sketches_grow_with_the_set_and_compare_with_those_of_the_next_size(spark):
+    rng = np.random.default_rng(2)
+    last, seen = 0, set()
+    for n in (50, 380, 400, 900, 930, 2000, 2100, 4200, 4400, 8700, 9000, 30_000):
+        t = np.unique(rng.integers(-2**63, 2**63 - 1, n, dtype=np.int64))
+        near, far = t[n // 20:], np.unique(rng.integers(-2**63, 2**63 - 1, n - n // 20, dtype=np.int64))
+        assert len(jaccard.sketch(t)) >= last
+        last = len(jaccard.sketch(t))
+        row = [jaccard.sketch(x).tolist() for x in (t, near, far)]
+        df = spark.createDataFrame([row], "t array<long>, near array<long>, far array<long>")
+        apart = df.select(jaccard._apart(F.col("t"), F.col("near")), jaccard._apart(F.col("near"), F.col("t")),
+                          jaccard._apart(F.col("t"), F.col("far"))).first()
+        assert apart[0] == apart[1] and 0 < apart[0] <= len(t) - len(near)
+        able = apart[2] * 190 <= (len(t) + len(far)) * 10
+        assert able == (n == 30_000), n  # the largest sketch is full by then
+        seen.add((len(row[0]), len(row[1])))
+    assert any(a == 2 * b for a, b in seen) and last == jaccard.SKETCH[1]
