@@ -35,6 +35,11 @@ smallest entry of each of ``LEADS`` parts of the hashes, and a pair that has one
 in common meets in the first such. A pair's sets are fetched only if its sketches allow a link: a sketch holds the parities of the
 tokens that fall on each of its bits, so the bits in which two sketches differ are
 at most the tokens in which the sets differ. Texts that no pair asks for don't move.
+In entries of ``CROWD`` rows and more, texts are mostly near copies just beyond the limit;
+there the tokens that a set has for itself count in full, sets that have too many of them
+leave, and sketches of the rest are ``FINER`` times as large. The pairs whose sets are
+fetched are then about those that link; the sketches compared still grow with the square
+of such a group.
 
 Defined results: null, empty and blank texts have no tokens, 0 shingles and their
 own id; a null id has a null component and links with nothing; repeated rows get
@@ -65,6 +70,9 @@ BLOCK = 2_000_000
 LEADS = 8
 #: Words of 64 bits in a sketch, powers of two: the least and the most.
 SKETCH = (2, 64)
+#: Rows from which an entry is crowded, and how many times larger sketches are there.
+CROWD = 64
+FINER = 4
 
 
 @dataclass(frozen=True)
@@ -125,16 +133,18 @@ def tokens(text: str | None, n: int) -> np.ndarray:
     return h[np.append(True, h[1:] != h[:-1])]
 
 
-def sketch(t: np.ndarray, percent: int = 90) -> np.ndarray:
+def sketch(t: np.ndarray, percent: int = 90, finer: int = 1) -> np.ndarray:
     """Parity of the number of tokens on each bit.
 
     Sets with nothing in common differ in half of the bits. There are so many bits that
-    this is four standard deviations over what linked sets of that size may differ in.
+    this is four standard deviations over what linked sets of that size may differ in;
+    ``finer`` times as many tell sets just beyond the limit from those within.
     """
     size, most = SKETCH
     allowed = 2 * len(t) * (100 - percent) / (100 + percent)
     while size < most and 32 * size - 16 * size**0.5 < allowed:
         size *= 2
+    size *= finer
     at = (_mix(t.view(np.uint64)) % np.uint64(64 * size)).astype(np.int64)
     bits = (np.bincount(at, minlength=64 * size) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
@@ -295,6 +305,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     return texts.mapInArrow(sets, "id long, tokens array<long>")
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    wanted = materialize(classes.join(ids.distinct(), "id", "left_semi").select("id", "h1", "h2"))
+    return materialize(_sets(docs, wanted, join))
+
+
 def _apart(a: Column, b: Column) -> Column:
     """Tokens in which two sets differ at least.
 
@@ -317,12 +332,64 @@ def _able(apart: Column, n: Column, m: Column, join: Join) -> Column:
     return apart * (100 + join.percent) <= (n + m) * (100 - join.percent)
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """``id, own``: the tokens that no other of the sets (``id, tokens``) has."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each token's least and largest id, within blocks."""
+        ids, held, size = [], [], 0
+
+        def block():
+            t = np.concatenate(held)
+            owner = np.repeat(np.array(ids, np.int64), [len(x) for x in held])
+            order = np.argsort(t, kind="stable")
+            t, owner = t[order], owner[order]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            columns = [t[first], np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)]
+            for i in range(0, len(first), 200_000):
+                yield _batch([c[i:i + 200_000] for c in columns], [_I64] * 3, ["token", "least", "most"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                ids.append(i)
+                held.append(t.values.to_numpy())
+                size += len(held[-1])
+                if size >= BLOCK:
+                    yield from block()
+                    ids, held, size = [], [], 0
+        if size:
+            yield from block()
+
+    tokens = sets.mapInArrow(ends, "token long, least long, most long").groupBy("token").agg(
+        F.min("least").alias("id"), F.max("most").alias("most"))
+    return tokens.where("id = most").groupBy("id").agg(F.collect_list("token").alias("own"))
+
+
+def _crowded(sets: DataFrame, join: Join) -> DataFrame:
+    """``id, own, sketch`` of those of the sets that may link with another of them.
+
+    A set's own tokens, of which only the number is given, tell it from all the others;
+    the sketch is of the rest. Sets of which too much is their own are left out.
+    """
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[], [], []]
+            for i, t, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                t = t.values.to_numpy()
+                left = t[~np.isin(t, own.values.to_numpy())] if own.is_valid else t
+                if len(left) * 100 >= join.percent * len(t):
+                    for column, v in zip(found, (i, len(t) - len(left), sketch(left, join.percent, FINER))):
+                        column.append(v)
+            yield _batch(found, [_I64, _I64, pa.list_(_I64)], ["id", "own", "sketch"])
+
+    return sets.join(_own(sets), "id", "left").select("id", "tokens", "own").mapInArrow(
+        rest, "id long, own long, sketch array<long>").distinct()
+
+
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """Those ``x, y`` that link, by their whole sets."""
     pairs = materialize(pairs)
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    wanted = materialize(classes.join(ids, "id", "left_semi").select("id", "h1", "h2"))
-    sets = materialize(_sets(docs, wanted, join))
+    sets = _sets_of(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))), docs, classes, join)
     a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("_a"))
     b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
@@ -422,26 +489,40 @@ def _with_pivots(index: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     return chosen.select("x", F.explode(near).alias("y"))
 
 
-def _across(index: DataFrame, labels: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """All pairs of different labels that share an entry and whose sketches allow a link."""
+def _across(index: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """All pairs of different labels that share an entry and that may link by their sketches.
+
+    In a crowded entry nearly every two texts are near copies beyond the limit. What
+    each has for itself among all texts of such entries, and finer sketches of the rest,
+    tell there which pairs may link, so that no sets are fetched for the others.
+    """
     members = index.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "entry", "id", "n", F.coalesce("component", "id").alias("label"))
-    open_ = members.groupBy("entry").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h")
-    members = materialize(members.join(open_.select("entry"), "entry", "left_semi"))
+    open_ = members.groupBy("entry").agg(
+        F.min("label").alias("_l"), F.max("label").alias("_h"), (F.count("*") >= CROWD).alias("crowd")).where("_l <> _h")
+    members = materialize(members.join(open_.select("entry", "crowd"), "entry"))
     part = F.pmod(F.xxhash64("entry"), F.lit(LEADS))
     leads = members.groupBy("id").agg(
         F.array(*[F.min(F.when(part == k, F.col("entry"))) for k in range(LEADS)]).alias("leads"))
-    members = members.join(leads.join(classes.select("id", "sketch"), "id"), "id")
-    a = members.select("entry", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("_n"),
-                       F.col("sketch").alias("sx"), F.col("leads").alias("ex"))
-    b = members.select("entry", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("_m"),
-                       F.col("sketch").alias("sy"), F.col("leads").alias("ey"))
-    n, m = F.col("_n"), F.col("_m")
+    told = classes.select("id", F.lit(0).cast("long").alias("own"), "sketch", F.lit(False).alias("crowd"))
+    crowd = members.where("crowd").select("id")
+    if not crowd.isEmpty():
+        finer = materialize(_crowded(_sets_of(crowd, docs, classes, join), join))
+        told = told.unionByName(finer.withColumn("crowd", F.lit(True)))
+    members = members.join(leads, "id").join(told, ["id", "crowd"])
+
+    def side(c: str) -> DataFrame:
+        return members.select(
+            "entry", F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("label", "n", "own", "sketch", "leads")])
+
+    a, b = side("x"), side("y")
+    n, m, own = F.col("n_x"), F.col("n_y"), F.col("own_x") + F.col("own_y")
     # Where two classes name the same entry, it is common to them, and they meet there alone.
-    place = F.coalesce(*[F.when(F.get("ex", F.lit(k)) == F.get("ey", F.lit(k)), F.get("ex", F.lit(k))) for k in range(LEADS)])
-    met = (a["entry"] == b["entry"]) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (
-        F.coalesce(place, a["entry"]) == a["entry"])
-    near = _close(n, m, join) & _able(_apart(F.col("sx"), F.col("sy")), n, m, join)
+    ex, ey = ([F.get(c, F.lit(k)) for k in range(LEADS)] for c in ("leads_x", "leads_y"))
+    place = F.coalesce(*[F.when(e == f, e) for e, f in zip(ex, ey)])
+    met = (a["entry"] == b["entry"]) & (F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & _close(
+        n, m, join) & _able(own, n, m, join) & (F.coalesce(place, a["entry"]) == a["entry"])
+    near = _able(own + _apart(F.col("sketch_x"), F.col("sketch_y")), n, m, join)
     return a.join(b, met & near).select("x", "y").distinct()
 
 
@@ -468,7 +549,7 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     found = _links(_with_pivots(index, classes, join), docs, classes, join)
     labels = components(found)
     # Links found so far are kept as labels of their nodes.
-    more = _links(_across(index, labels, classes, join), docs, classes, join)
+    more = _links(_across(index, labels, docs, classes, join), docs, classes, join)
     edges = more.unionByName(labels.select(F.col("node").alias("x"), F.col("component").alias("y")))
     reached = components(edges)
 

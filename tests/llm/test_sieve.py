@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm import common, jaccard
@@ -88,3 +89,68 @@ def test_sketches_grow_with_the_set_and_compare_with_those_of_the_next_size(spar
         assert able == (n == 30_000), n  # the largest sketch is full by then
         seen.add((len(row[0]), len(row[1])))
     assert any(a == 2 * b for a, b in seen) and last == jaccard.SKETCH[1]
+
+
+def _edited(rng, words, most):
+    """Copies of one text with none to ``most`` words of their own, some of them copied again."""
+    texts = []
+    for i in range(260):
+        text = list(words)
+        for p in rng.sample(range(len(words)), i % (most + 1)):
+            text[p] = f"e{rng.randrange(10**9)}"
+        texts.append(text)
+        if i % 20 < 3:
+            again = list(text)
+            again[rng.randrange(len(words))] = f"e{rng.randrange(10**9)}"
+            texts.append(again)
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def _linked_pairs(rows, join):
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = frozenset(tuple(w[k:k + join.words]) for k in range(len(w) - join.words + 1))
+    first = {s: i for i, s in sorted(sets.items(), reverse=True)}  # copies have no links of their own
+    return {(a, b) for a in first.values() for b in first.values() if a < b and 100 * len(sets[a] & sets[b]) >= join.percent * len(sets[a] | sets[b])}
+
+
+def _told_links(monkeypatch):
+    seen, real = [], jaccard._links
+
+    def told(pairs, *rest):
+        pairs, out = pairs.cache(), real(pairs, *rest)
+        seen.append(({tuple(r) for r in pairs.collect()}, {tuple(r) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(jaccard, "_links", told)
+    return seen
+
+
+NEAR = jaccard.Join(words=5, percent=80)
+
+
+def test_copies_beyond_the_limit_are_told_apart_without_their_sets(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = _edited(rng, [f"w{i}" for i in range(150)], 12)
+    seen = _told_links(monkeypatch)
+    out = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), NEAR).collect()
+    links, want, before = _linked_pairs(rows, NEAR), {i: i for i, _ in rows}, None
+    while before != want:
+        before = dict(want)
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    first = {t: i for i, t in sorted(rows, reverse=True)}
+    assert {r.doc_id: r.component_id for r in out} == {i: want[first[t]] for i, t in rows}
+    assert len(seen) == 2 and len(seen[1][0]) <= len(rows) // 4
+
+
+@pytest.mark.parametrize("join", [NEAR, jaccard.Join()])
+def test_crowded_entries_lose_no_link(spark, monkeypatch, join):
+    """Without pivots every link is found among the pairs of an entry."""
+    rows = _edited(random.Random(7), [f"w{i}" for i in range(150)], 6)
+    monkeypatch.setattr(jaccard, "_with_pivots", lambda index, classes, join: classes.selectExpr("id x", "id y").limit(0))
+    seen = _told_links(monkeypatch)
+    jaccard.linked(spark.createDataFrame(rows + rows[:3], "doc_id long, text string"), join).collect()
+    assert seen[1][1] == _linked_pairs(rows, join) and len(seen[1][1]) > 1000
