@@ -354,7 +354,7 @@ def _own(sets: DataFrame) -> DataFrame:
                 ids.append(i)
                 held.append(t.values.to_numpy())
                 size += len(held[-1])
-                if size >= BLOCK:
+                if size >= BLOCK // 4:  # sorting takes some copies
                     yield from block()
                     ids, held, size = [], [], 0
         if size:
